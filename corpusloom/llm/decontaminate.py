@@ -241,8 +241,27 @@ def _index(items: list[tuple[int, str | None]]) -> Index:
     return _INDEX[name]
 
 
+def item_blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[list[tuple[int | None, str | None]]]:
+    """The items (id, text) in blocks of about BLOCK, dealt by a hash."""
+    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"))
+    blocks = max(1, math.ceil(items.count() / BLOCK))
+    for n in range(blocks):
+        yield sorted(((r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).collect()), key=repr)  # about BLOCK items
+
+
+def _searched(texts: list[str], held: list[tuple[int | None, str | None]]) -> Iterator[tuple[int, int, int, int, int]]:
+    """What Index.search gives, for texts taken in groups of about CHUNK_WORDS words."""
+    index, lo, size = _index([(i, t) for i, (_, t) in enumerate(held)]), 0, 0
+    for i, t in enumerate(texts):
+        size += len(t) // 5
+        if size >= CHUNK_WORDS or i == len(texts) - 1:
+            for text, *rest in index.search(texts[lo : i + 1]):
+                yield lo + text, *rest
+            lo, size = i + 1, 0
+
+
 def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(id, item_id, edits, item_words, start_word, end_word): each item found in each document, where it fits best.
+    """(id, item_id, edits, item_words, end_word): each item found in each document, where it fits best.
 
     Texts and items that are null or have no word have no match. Items within
     a tenth of their words in edits count as found. Repeated rows match each;
@@ -250,36 +269,35 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
     give an empty result; extra columns are ignored. The benchmark is taken in
     blocks of at most about 20,000 items, each against all documents.
     """
-    items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"))
-    blocks = max(1, math.ceil(items.count() / BLOCK))
     kind, out = docs.schema[id_col].dataType.simpleString(), None
-    for n in range(blocks):
-        held = sorted(((r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).collect()), key=repr)  # about BLOCK items
+    for held in item_blocks(benchmark, item_col, item_text):
         shared = docs.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            index = _index([(i, t) for i, (_, t) in enumerate(shared.value)])
             for b in batches:
-                texts, lo, size = [t or "" for t in b.column(1).to_pylist()], 0, 0
-                for i, t in enumerate(texts):
-                    size += len(t) // 5
-                    if size >= CHUNK_WORDS or i == len(texts) - 1:
-                        rows = list(index.search(texts[lo : i + 1]))
-                        at = pa.array([lo + r[0] for r in rows], pa.int64())
-                        cols = [pa.array([shared.value[r[1]][0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3))]
-                        ends = pa.array([r[4] for r in rows], pa.int64())
-                        yield pa.RecordBatch.from_arrays([b.column(0).take(at), *cols, ends], [id_col, "item_id", "edits", "item_words", "end_word"])
-                        lo, size = i + 1, 0
+                rows = list(_searched([t or "" for t in b.column(1).to_pylist()], shared.value))
+                cols = [pa.array([shared.value[r[1]][0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4))]
+                yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *cols], [id_col, "item_id", "edits", "item_words", "end_word"])
 
         found = slim(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, edits long, item_words long, end_word long")
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def clean(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The documents in which no item is found, with all their columns; a null id stays only if no null id has a match."""
-    hit = find_items(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("hit__")).distinct()
-    return docs.join(hit, docs[id_col].eqNullSafe(hit["hit__"]), "left_anti")
+def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
+    """The rows of docs in which no item is found, whole and as they are; a null text has no match and stays."""
+    at, out = docs.columns.index(text_col), docs
+    for held in item_blocks(benchmark, item_col, item_text):
+        shared = docs.sparkSession.sparkContext.broadcast(held)
+
+        def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                kept = np.ones(b.num_rows, bool)
+                kept[[r[0] for r in _searched([t or "" for t in b.column(at).to_pylist()], shared.value)]] = False
+                yield b.filter(pa.array(kept))
+
+        out = out.mapInArrow(run, docs.schema)
+    return out
 
 
 def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -191,6 +191,28 @@ def identify(docs: DataFrame, model: Identifier | None, id_col: str = "doc_id",
     return slim(docs, *fixed).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in passed) + ", lang_pred string, score double")
 
 
+def keep_identified(docs: DataFrame, model: Identifier | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
+    """The rows of docs whose text has letters and a language of at least that score, whole and as they are.
+
+    Without a model, which is to say without any known language to learn
+    from, all rows with a letter stay.
+    """
+    shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)  # weights of a fixed size for each pair of languages
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m = shared.value
+        for whole in batches:
+            for lo in range(0, whole.num_rows, 2048):
+                b = whole.slice(lo, 2048)
+                kept = np.zeros(b.num_rows, bool)
+                vectors = [(i, x) for i, t in enumerate(b.column(at).to_pylist()) if t and (x := ngrams(t)) is not None]
+                if vectors:
+                    kept[[i for i, _ in vectors]] = [s >= least for _, s in m.predict(np.array([x for _, x in vectors]))] if m else True
+                yield b.filter(pa.array(kept))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     model = train(docs.where(fold("doc_id", 3) != 1))

@@ -242,6 +242,19 @@ def toxicity_scores(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
     return _features(docs, scorer, id_col, text_col, (), True)
 
 
+def keep_civil(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of docs that score below the threshold, whole and as they are; a null text scores as the empty one."""
+    shared, at = docs.sparkSession.sparkContext.broadcast(scorer), docs.columns.index(text_col)  # at most TERMS terms
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        s = shared.value
+        for b in batches:
+            x = np.array([s.features(t or "") for t in b.column(at).to_pylist()]).reshape(b.num_rows, len(NAMES))
+            yield b.filter(pa.array(s.scores(x) < threshold))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = load(spark, sf_dir, "documents")
     labels = load(spark, sf_dir, "labels").where(fold("doc_id", 5) != 0).select("doc_id", F.col("toxic").alias("label"))
