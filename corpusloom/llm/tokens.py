@@ -1,8 +1,8 @@
 """Token ids of whole texts by a byte-level BPE file of the tokenizers library.
 
 Byte-level BPE works piece by piece: the text is cut by a pattern and each
-piece is merged on its own. So each distinct piece is given to the library
-once and remembered; a text's ids are those of its pieces in order. Texts with
+piece is merged on its own. So each distinct piece is given to the library's
+model once and remembered; a text's ids are those of its pieces in order. Texts with
 characters outside the range where both regular-expression engines provably
 cut alike go to the library whole.
 """
@@ -15,16 +15,18 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 
-import regex
 
 DEFAULT_FILE = "byte_bpe_50k.json"
-#: Distinct pieces that a worker remembers before it starts anew.
-REMEMBER = 500_000
-
+#: Distinct pieces in one generation of what a worker remembers.
+REMEMBER = 400_000
+
+#: Tab, line ends, ASCII, and Latin letters: texts of these alone are cut here. The classes are those of the library's pattern within them.
+PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*")
+_LETTER = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+_NUMBER = "0-9\xb2\xb3\xb9\xbc-\xbe"
+_BLANK = " \t\n\r"
 #: Fixed value: the pattern by which byte-level BPE of this kind cuts texts.
-PIECES = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+")
-#: ASCII without rare controls, and Latin letters.
-PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-ɏ]*")
+PIECES = re.compile(f" ?[{_LETTER}]+| ?[{_NUMBER}]+|'(?:[stmd]|re|ve|ll)| ?[^{_BLANK}{_LETTER}{_NUMBER}]+|[{_BLANK}]+(?![^{_BLANK}])|[{_BLANK}]+")
 
 
 def default_path() -> str:
@@ -33,6 +35,16 @@ def default_path() -> str:
     return public_tokenizers.path(DEFAULT_FILE)
 
 
+def _byte_letters() -> dict[int, str]:
+    """The letter that byte-level BPE writes for each byte: itself if printable, else from U+0100 on, in order."""
+    plain = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + i) for i, b in enumerate(rest)}
+
+
+LETTERS = _byte_letters()
+
+
 @cache
 def encoder(path: str) -> Encoder:
     """One a worker process and file."""
@@ -40,40 +52,43 @@ def encoder(path: str) -> Encoder:
 
 
 class Encoder(dict):
-    """Maps a piece to its ids, as little-endian unsigned 32-bit bytes."""
+    """Maps a piece to its ids, as little-endian unsigned 32-bit bytes.
+
+    Pieces are remembered in two generations: when the young one is full it
+    becomes the old one, from which pieces that occur again come back.
+    """
 
     def __init__(self, path: str) -> None:
         from tokenizers import Tokenizer
 
         super().__init__()
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-
-    def learn(self, pieces: set[str]) -> None:
-        """Gives the pieces not yet known to the library, in one call."""
+        self.merge = self.tokenizer.model.tokenize
+
+    def __missing__(self, piece: str) -> bytes:
+        known = self.old.get(piece)
+        if known is None:
+            known = array("I", [t.id for t in self.merge(piece.encode().decode("latin-1").translate(LETTERS))]).tobytes()
+        self[piece] = known
+        return known
+
+    def ids(self, text: str) -> bytes:
+        """The ids of a whole text as little-endian unsigned 32-bit bytes."""
+        if not PLAIN.fullmatch(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) > REMEMBER:
+            self.old = dict(self)
             self.clear()
-        new = [p for p in pieces if p not in self]
-        for piece, e in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False), strict=True):
-            self[piece] = array("I", e.ids).tobytes()
-
-    def ids(self, texts: list[str]) -> list[bytes]:
-        """The ids of whole texts, each as little-endian unsigned 32-bit bytes; equal texts are worked off once."""
-        cut = {t: PIECES.findall(t) if PLAIN.fullmatch(t) else None for t in texts}
-        self.learn(set().union(*(c for c in cut.values() if c)))
-        done = {
-            t: b"".join(map(self.__getitem__, c)) if c is not None else array("I", self.tokenizer.encode(t, add_special_tokens=False).ids).tobytes()
-            for t, c in cut.items()
-        }
-        return [done[t] for t in texts]
-
-
-def encoded(texts: list[str], path: str, chars: int = 2_000_000) -> Iterator[tuple[int, bytes]]:
-    """(position, ids) of each text, worked off in groups of about so many characters."""
-    e, lo, size = encoder(path), 0, 0
+        return b"".join(map(self.__getitem__, PIECES.findall(text)))
+
+
+def encoded(texts: list[str], path: str) -> Iterator[tuple[int, bytes]]:
+    """(position, ids) of each text, in order; a text that is the same as the one before isn't worked off again."""
+    e, last, ids = encoder(path), None, b""
     for i, t in enumerate(texts):
-        size += len(t)
-        if size >= chars or i == len(texts) - 1:
-            yield from enumerate(e.ids(texts[lo : i + 1]), lo)
-            lo, size = i + 1, 0
+        if t != last:
+            last, ids = t, e.ids(t)
+        yield i, ids
