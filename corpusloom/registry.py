@@ -1,4 +1,5 @@
 """The registered queries and their SQL."""
 
-QUERIES: dict = {}
-SQL: dict = {}
+from .plans.catalogue import QUERIES, SQL
+
+__all__ = ["QUERIES", "SQL"]
