@@ -223,13 +223,5 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return fps.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5) -> DataFrame:
-    """The documents without their near duplicates: of each group the one of the smallest id, once, with all columns."""
-    groups = near_duplicates(docs, id_col, text_col, shingle)
-    kept = materialize(groups.where(F.col(id_col).eqNullSafe(F.col("component_id"))).groupBy(F.col(id_col).alias("kept_id__")).agg(F.count(F.lit(1)).alias("n")), "kept")
-    out = docs.join(kept, docs[id_col].eqNullSafe(kept["kept_id__"]), "left_semi")
-    return out if kept.where("n > 1").isEmpty() else out.dropDuplicates([id_col])
-
-
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(load(spark, sf_dir, "documents")).select("doc_id", "fingerprint", "component_id", "copies")
