@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import materialize, new_path, shared_dir
 
-__all__ = ["fold", "load", "materialize", "new_path", "partitions", "shared_dir", "slim", "texts"]
+__all__ = ["fold", "load", "materialize", "new_path", "partitions", "shared_dir", "slices", "slim"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -24,9 +26,11 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
-def texts(batch: pa.RecordBatch, name: str) -> list[str]:
-    """A string column as a list; null becomes the empty text."""
-    return [t or "" for t in batch.column(name).to_pylist()]
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.RecordBatch]:
+    """The batches in parts of so many rows, so that few texts are Python objects at a time."""
+    for b in batches:
+        for lo in range(0, max(1, b.num_rows), rows):
+            yield b.slice(lo, rows)
 
 
 def slim(docs: DataFrame, *columns: str) -> DataFrame:

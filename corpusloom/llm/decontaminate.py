@@ -26,15 +26,15 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, slim
+from .common import load, slices, slim
 from .toxicity import PUNCTUATION
 
 #: Edits allowed for each word of an item, target recall, coordinates a repetition, most repetitions.
 EDITS, RECALL, COORDINATES, REPETITIONS = 0.1, 0.98, 3, 40
 #: Items held at once; a larger benchmark is worked off in several passes.
 BLOCK = 20_000
-REMEMBER = 400_000
-CHUNK_WORDS = 1 << 20
+REMEMBER = 200_000
+CHUNK_WORDS = 1 << 19
 OTHER, EDGE, FIRST = 0, 1, 2
 
 
@@ -241,6 +241,12 @@ def _index(items: list[tuple[int, str | None]]) -> Index:
     return _INDEX[name]
 
 
+def forget() -> None:
+    """Workers are used again: what this one remembers of words goes, the index stays."""
+    for index in _INDEX.values():
+        index.memory.clear()
+
+
 def item_blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[list[tuple[int | None, str | None]]]:
     """The items (id, text) in blocks of about BLOCK, dealt by a hash."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"))
@@ -274,10 +280,11 @@ def find_items(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", te
         shared = docs.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 rows = list(_searched([t or "" for t in b.column(1).to_pylist()], shared.value))
                 cols = [pa.array([shared.value[r[1]][0] for r in rows], pa.int64()), *(pa.array([r[k] for r in rows], pa.int64()) for k in (2, 3, 4))]
                 yield pa.RecordBatch.from_arrays([b.column(0).take(pa.array([r[0] for r in rows], pa.int64())), *cols], [id_col, "item_id", "edits", "item_words", "end_word"])
+            forget()
 
         found = slim(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, item_id long, edits long, item_words long, end_word long")
         out = found if out is None else out.unionByName(found)
@@ -291,10 +298,11 @@ def keep_uncontaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "
         shared = docs.sparkSession.sparkContext.broadcast(held)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
-            for b in batches:
+            for b in slices(batches):
                 kept = np.ones(b.num_rows, bool)
                 kept[[r[0] for r in _searched([t or "" for t in b.column(at).to_pylist()], shared.value)]] = False
                 yield b.filter(pa.array(kept))
+            forget()
 
         out = out.mapInArrow(run, docs.schema)
     return out

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import load, slim
+from .common import load, slices, slim
 from .gif import read_gif, write_gif
 
 UNIT = 64
@@ -30,7 +30,7 @@ def encode_text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             lo, held, sizes, media = 0, 0, [], []
             for i, t in enumerate(b.column(1).to_pylist()):
                 raw = (t or "").encode("utf-8", "surrogatepass")

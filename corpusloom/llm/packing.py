@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import load, materialize, partitions, slim
+from .common import load, materialize, partitions, slices, slim
 from .tokens import default_path, encoded
 
 WINDOW = 2048
@@ -35,7 +35,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(end_id).to_bytes(4, "little")
         step = 4 * window
-        for b in batches:
+        for b in slices(batches):
             rows = b.column(0)
             texts = [t or "" for t in b.column(1).to_pylist()]
             at, start, length, crc, total, ids, held = [], [], [], [], [], [], 0

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import fold, load, materialize, slim
+from .common import fold, load, materialize, slices, slim
 
 FEATURES = 192
 RIDGE = 1e-3
@@ -56,7 +56,7 @@ def document_statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     """(id, stats): the statistics of each whole text; a null text counts as empty."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             rows = [statistics(t or "") for t in b.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(rows, pa.list_(pa.float64()))], [id_col, "stats"])
 

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import load, new_path, partitions, slim
+from .common import load, new_path, partitions, slices, slim
 from .mph import MinimalPerfectHash, fingerprint
 from .tokens import default_path, encoded
 
@@ -140,7 +140,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         end = int(end_id).to_bytes(4, "little")
-        for b in batches:
+        for b in slices(batches):
             keys = b.column(0).cast(pa.int64())
             shard = np.searchsorted(bounds, keys.fill_null(np.iinfo(np.int64).min).to_numpy(), side="right").astype(np.int32)
             texts = [t or "" for t in b.column(1).to_pylist()]

@@ -18,7 +18,7 @@ from functools import cache
 
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Distinct pieces in one generation of what a worker remembers.
-REMEMBER = 400_000
+REMEMBER = 250_000
 
 #: Tab, line ends, ASCII, and Latin letters: texts of these alone are cut here. The classes are those of the library's pattern within them.
 PLAIN = re.compile("[\t\n\r\x20-\x7e\xa1-\u024f]*")

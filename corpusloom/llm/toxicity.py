@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .automaton import LexiconAutomaton
-from .common import fold, load, slim
+from .common import fold, load, slices, slim
 
 #: Labelled documents at most that lexicon and weights are learned from, chosen by a hash of their ids.
 SAMPLE = 20_000
@@ -30,7 +30,7 @@ TERMS = 400
 LEAST_RATIO, LEAST_DOCS = 16.0, 3
 STEM = (4, 10)
 WINDOW = 6
-REMEMBER = 400_000
+REMEMBER = 200_000
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’‚…–—¡¿|"
 OPENING, CLOSING, STRAIGHT = "“„«", "”»", '"'
@@ -55,7 +55,7 @@ def learn_lexicon(labelled: DataFrame, text_col: str = "text", label_col: str =
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, list[int]] = {}
-        for b in batches:
+        for b in slices(batches):
             for text, label in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
                 at = 1 if label else 0
                 for node, n in nodes(text or "").items():
@@ -213,10 +213,11 @@ def _features(rows: DataFrame, scorer: Scorer, id_col: str, text_col: str, keep:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        for b in batches:
+        for b in slices(batches):
             x = [s.features(t or "") for t in b.column(len(passed)).to_pylist()]
             value = pa.array(s.scores(np.array(x).reshape(len(x), len(NAMES)))) if scored else pa.array(x, pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([*b.columns[:-1], value], [*passed, "score" if scored else "x"])
+        s.memory = None  # workers are used again
 
     return slim(rows, *passed, text_col).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in passed) + (", score double" if scored else ", x array<double>"))
 
@@ -248,9 +249,10 @@ def keep_civil(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshol
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         s = shared.value
-        for b in batches:
+        for b in slices(batches):
             x = np.array([s.features(t or "") for t in b.column(at).to_pylist()]).reshape(b.num_rows, len(NAMES))
             yield b.filter(pa.array(s.scores(x) < threshold))
+        s.memory = None  # workers are used again
 
     return docs.mapInArrow(run, docs.schema)
 
