@@ -25,7 +25,7 @@ def read_ndjson(spark: SparkSession, paths: str | list[str], schema: t.StructTyp
 def count_malformed(spark: SparkSession, paths: str | list[str], schema: t.StructType = COMMENTS) -> int:
     bad = t.StructType([*schema.fields, t.StructField("_bad", t.StringType())])
     rows = spark.read.schema(bad).option("mode", "PERMISSIVE").option("columnNameOfCorruptRecord", "_bad").json(paths)
-    return rows.select("_bad", schema.fieldNames()[0]).where("_bad is not null").count()
+    return rows.agg(F.count_if(F.col("_bad").isNotNull()).alias("n"), F.max(schema.fieldNames()[0])).first().n
 
 
 def ingest_comments(raw: DataFrame) -> DataFrame:
@@ -37,13 +37,14 @@ def ingest_comments(raw: DataFrame) -> DataFrame:
 
 
 def read_strings(spark: SparkSession, path: str, columns: list[str], nulls: str | None = None) -> DataFrame:
-    """A CSV file with all columns as text, for cells that people typed; `nulls` is read as null, a byte-order mark skipped."""
+    """A CSV file with all columns as text, for cells that people typed; a byte-order mark is skipped.
+
+    Empty cells are empty texts, or null where `nulls` is the empty text.
+    """
     reader = spark.read.schema(t.StructType([t.StructField(c, t.StringType()) for c in columns])).option("header", True).option("multiLine", True).option("escape", '"').option("encoding", "UTF-8").option("enforceSchema", True)
     if nulls is not None:
-        reader = reader.option("nullValue", nulls).option("emptyValue", nulls)
-    else:
-        reader = reader.option("nullValue", "\u0000").option("emptyValue", "")
-    return reader.csv(path)
+        return reader.option("nullValue", nulls).option("emptyValue", nulls).csv(path)
+    return reader.csv(path).fillna("")
 
 
 def read_csv(spark: SparkSession, path: str) -> DataFrame:
