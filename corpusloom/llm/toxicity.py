@@ -106,6 +106,7 @@ class Scorer:
         self.excess = sum(x for _, _, x in lexicon)
         self.mean, self.scale = np.zeros(len(NAMES)), np.ones(len(NAMES))
         self.weights = np.zeros(len(NAMES) + 1)
+        self.fitted = False
         self.memory: _Memory | None = None
 
     def __getstate__(self) -> dict:
@@ -171,6 +172,7 @@ class Scorer:
         """Logistic regression by Newton steps, with a ridge on all but the intercept."""
         if not len(x):
             return
+        self.fitted = True
         self.mean, self.scale = x.mean(axis=0), np.where(x.std(axis=0) > 1e-9, x.std(axis=0), 1.0)
         z = np.hstack([(x - self.mean) / self.scale, np.ones((len(x), 1))])
         w, penalty = np.zeros(z.shape[1]), ridge * np.append(np.ones(z.shape[1] - 1), 1e-6)
@@ -244,7 +246,12 @@ def toxicity_scores(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", tex
 
 
 def keep_civil(docs: DataFrame, scorer: Scorer, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
-    """The rows of docs that score below the threshold, whole and as they are; a null text scores as the empty one."""
+    """The rows of docs that score below the threshold, whole and as they are; a null text scores as the empty one.
+
+    All rows stay if there was no label to learn from.
+    """
+    if not scorer.fitted:
+        return docs
     shared, at = docs.sparkSession.sparkContext.broadcast(scorer), docs.columns.index(text_col)  # at most TERMS terms
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
