@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -10,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, new_path, shared_dir
 
-__all__ = ["fold", "load", "materialize", "new_path", "partitions", "shared_dir", "slices", "slim"]
+__all__ = ["fold", "load", "materialize", "new_path", "partitions", "shared_dir", "slices", "slim", "tidy"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -33,6 +34,14 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int = 1024) -> Iterator[pa.R
             yield b.slice(lo, rows)
 
 
+def tidy() -> None:
+    """Gives freed memory back to the system; workers are used again, beside the JVM and others of their kind."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra or clashing ones never travel."""
     return docs.select(*columns)
