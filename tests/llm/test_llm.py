@@ -444,3 +444,20 @@ def test_pipeline(spark, data, empty):
         assert out.count() == 0, name
         if name != "packing":
             assert out.columns == few.columns
+
+
+def test_candidates_between_groups_are_complete():
+    """Within a bucket every pair of two groups within the radius is met, and a smaller limit says that there is more."""
+    rng = np.random.default_rng(5)
+    fp = (np.int64(0x0F0F0F0F0F0F) ^ (np.int64(1) << rng.integers(0, 62, (900, 8), dtype=np.int64)).sum(axis=1)).astype(np.int64)
+    root = rng.choice(5, 900, p=[0.7, 0.1, 0.1, 0.05, 0.05]).astype(np.int64)
+    d = np.bitwise_count(fp.view(np.uint64)[:, None] ^ fp.view(np.uint64)[None, :])
+    want = {(min(a, b), max(a, b)) for a, b in np.argwhere((d <= similar.RADIUS) & (root[:, None] != root[None, :])).tolist()}
+    m, o, more = similar.nearest_across(fp, root, None, len(fp))
+    assert want and {(min(a, b), max(a, b)) for a, b in zip(m.tolist(), o.tolist(), strict=True)} == want and not more.any()
+    m, o, more = similar.nearest_across(fp, root, None, 8)
+    assert more.any() and {(min(a, b), max(a, b)) for a, b in zip(m.tolist(), o.tolist(), strict=True)} < want
+    side = (np.arange(900) % 2).astype(np.int64)
+    halves = {(a, b) for a, b in want if side[a] != side[b]}
+    m, o, _ = similar.nearest_across(fp, root, side, len(fp))
+    assert {(min(a, b), max(a, b)) for a, b in zip(m.tolist(), o.tolist(), strict=True)} == halves
