@@ -110,6 +110,16 @@ def test_similar_awkward(spark, awkward, empty):
     assert similar.keep_one(empty).count() == 0
 
 
+def test_similar_keeps_one_row_of_each_group(spark, empty):
+    """Null and repeated ids lose no text that is not a near duplicate, and save none that is."""
+    long = " ".join(f"w{i}" for i in range(200))
+    rows = [(None, f"text {i} without an id " * 3) for i in range(100)] + [(None, "text 7 without an id " * 3)]
+    rows += [(1, long), (None, long + " more"), (2, "one text"), (2, "another text"), (2, "another text"), (3, "ANOTHER text"), (None, None)]
+    docs = spark.createDataFrame([(i, t, "en") for i, t in rows], "doc_id long, text string, lang string").repartition(3)
+    got = collections.Counter((r.doc_id, r.text) for r in similar.keep_one(docs).collect())
+    assert got == collections.Counter([*rows[:100], (1, long), (2, "one text"), (2, "another text"), (None, None)])
+
+
 # --- classifiers
 
 
