@@ -110,6 +110,29 @@ def test_similar_awkward(spark, awkward, empty):
     assert similar.keep_one(empty).count() == 0
 
 
+def test_similar_recall_under_block_edits(spark):
+    """Isolated pairs at a similarity of 0.8 and little more, by blocks cut off, put in or replaced, and by scattered words."""
+    rng, rows, pairs = np.random.default_rng(3), [], collections.defaultdict(list)
+    vocabulary = np.array([f"w{i}" for i in range(5000)])
+    for k in range(400):
+        n = int(rng.integers(100, 600))
+        w = (rng.choice(vocabulary, n) if k % 2 else np.array([f"d{k}x{i}" for i in range(n)])).tolist()
+        at = int(rng.integers(0, n // 2))
+        other = [f"e{k}x{i}" for i in range(n)]
+        scattered = list(w)
+        for p in rng.choice(n, n // 50, replace=False).tolist():
+            scattered[p] = other[p]
+        edits = {"cut": w[: int(n * 0.82)], "added": w + other[: int(n * 0.23)], "put in": w[:at] + other[: int(n * 0.2)] + w[at:], "replaced": w[:at] + other[: int(n * 0.08)] + w[at + int(n * 0.08) :], "scattered": scattered}
+        kind = list(edits)[k % 5]
+        if similar.jaccard(*(similar.shingle_set(similar.words_of(" ".join(x))) for x in (w, edits[kind]))) >= 0.8:
+            pairs[kind].append((len(rows), len(rows) + 1))
+            rows += [(len(rows), " ".join(w)), (len(rows) + 1, " ".join(edits[kind]))]
+    got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    caught = {kind: np.mean([got[a] == got[b] for a, b in p]) for kind, p in pairs.items()}
+    assert len(pairs) == 5 and all(len(p) > 50 for p in pairs.values()) and min(caught.values()) >= 0.97, caught
+    assert similar.plan(0.8) == (17, similar.RADIUS)
+
+
 def test_similar_keeps_one_row_of_each_group(spark, empty):
     """Null and repeated ids lose no text that is not a near duplicate, and save none that is."""
     long = " ".join(f"w{i}" for i in range(200))
