@@ -6,9 +6,12 @@ each step it puts out the word it stands on and moves on by one or none, as a
 random bit for that step and word says. Sequences of small edit distance have
 embeddings of small Hamming distance. Each repetition has its own random bits
 and samples a few coordinates of the embedding; windows and items that agree
-on all of them are candidates. The number of repetitions follows from the
-target recall and a simulation of the agreement of items with edited copies of
-themselves. Each candidate is verified by its exact edit distance, in words.
+on all of them are candidates. Repetitions, each with a walk of its own, are
+added until the recall of edited copies of the items, measured on them, reaches
+the target. Where the walks don't suffice (long items), items are cut into one
+segment more than edits are allowed: one of them at least is in any copy as it
+is, and every place of it is a candidate, so none is lost. Each candidate is
+verified by its exact edit distance, in words.
 
 Items are grouped by length; a document's windows of that length begin at
 every word. A window whose words are too rarely words of items can't be within
@@ -29,8 +32,8 @@ from pyspark.sql import functions as F
 from .common import load, slices, slim
 from .toxicity import PUNCTUATION
 
-#: Edits allowed for each word of an item, target recall, coordinates a repetition, most repetitions.
-EDITS, RECALL, COORDINATES, REPETITIONS = 0.1, 0.98, 3, 40
+#: Edits allowed for each word of an item, target recall, coordinates a repetition, most repetitions, edited copies that recall is measured on.
+EDITS, RECALL, COORDINATES, REPETITIONS, COPIES = 0.1, 0.98, 3, 16, 1024
 #: Items held at once; a larger benchmark is worked off in several passes.
 BLOCK = 20_000
 REMEMBER = 200_000
@@ -82,35 +85,53 @@ class _Class:
         padded = np.full((len(items), self.most + steps + 2), EDGE, np.int64)
         for r, (_, w) in enumerate(items):
             padded[r, : len(w)] = w
-        self.repetitions = []
-        rate = self._agreement(padded, bits, steps, rng)
-        count = min(REPETITIONS, max(2, math.ceil(math.log(1 - RECALL) / math.log(1 - min(rate, 0.99)))))
-        for k in range(count):
+        self.repetitions, self.segments = [], []
+        copies = self._copies(padded, rng)
+        met = np.zeros(len(copies) // 2, bool)
+        for k in range(len(bits)):
             at = np.sort(rng.choice(steps, min(COORDINATES, steps), replace=False))
-            seen = walk(padded, np.arange(len(items)) * padded.shape[1], bits[k % len(bits)], at)
+            seen = walk(padded, np.arange(len(items)) * padded.shape[1], bits[k], at)
             key = mix_key(seen)
             order = np.argsort(key, kind="stable")
             first = np.zeros(bits.shape[-1], bool)
             first[seen[:, 0]] = True
-            self.repetitions.append((k % len(bits), at, first, key[order], order))
-
-    def _agreement(self, padded: np.ndarray, bits: np.ndarray, steps: int, rng: np.random.Generator) -> float:
-        """How often an item and a copy of it with all the edits allowed agree on all coordinates of a repetition."""
-        agreed, tried = 0, 0
-        for r in rng.integers(0, len(padded), 64):
+            self.repetitions.append((k, at, first, key[order], order))
+            both = walk(copies, np.arange(len(copies)) * copies.shape[1], bits[k], at)
+            met |= (both[::2] == both[1::2]).all(axis=1)
+            if k and met.mean() - 2 * math.sqrt(RECALL * (1 - RECALL) / len(met)) >= RECALL:  # its lower bound
+                break
+        else:
+            self.repetitions, self.segments = [], self._segments(bits.shape[-1])
+
+    def _copies(self, padded: np.ndarray, rng: np.random.Generator) -> np.ndarray:
+        """Pairs of rows: an item and a copy of it with all the edits allowed."""
+        width = 2 * padded.shape[1]
+        count = min(COPIES, max(16, (1 << 21) // width))
+        out = np.full((2 * count, width), EDGE, np.int64)
+        for n, r in enumerate(rng.integers(0, len(padded), count)):
             w = list(self.items[r][1])
             copy = list(w)
             for _ in range(allowed(len(w))):
                 p, kind = int(rng.integers(0, len(copy))), int(rng.integers(0, 3))
                 copy[p : p + (kind != 1)] = [] if kind == 0 else [OTHER]
-            two = np.full((2, padded.shape[1] + len(w)), EDGE, np.int64)
-            two[0, : len(w)], two[1, : len(copy)] = w, copy
-            for k in range(4):
-                at = np.sort(rng.choice(steps, min(COORDINATES, steps), replace=False))
-                seen = walk(two, np.array([0, two.shape[1]]), bits[k % len(bits)], at)
-                agreed += bool((seen[0] == seen[1]).all())
-                tried += 1
-        return max(agreed, 1) / max(tried, 1)
+            out[2 * n, : len(w)], out[2 * n + 1, : len(copy)] = w, copy
+        return out
+
+    def _segments(self, signs: int) -> list[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """(words of a segment, first words, sorted keys, items, offsets) for each length of segment."""
+        groups: dict[int, list[tuple[int, int]]] = {}
+        for i, (_, w) in enumerate(self.items):
+            parts = allowed(len(w)) + 1
+            groups.setdefault(len(w) // parts, []).extend((i, k * len(w) // parts) for k in range(parts))
+        out = []
+        for n, places in groups.items():
+            seen = np.array([self.items[i][1][o : o + n] for i, o in places], np.int64)
+            key, first = mix_key(seen), np.zeros(signs, bool)
+            first[seen[:, 0]] = True
+            order = np.argsort(key, kind="stable")
+            at = np.array(places)[order]
+            out.append((n, first, key[order], at[:, 0], at[:, 1]))
+        return out
 
 
 def allowed(n: int) -> int:
@@ -153,7 +174,7 @@ class Index:
             groups.setdefault(math.floor(2 * math.log2(len(w))), []).append((item, w))
         rng = np.random.default_rng(seed)
         longest = max((len(w) for _, w in known), default=1)
-        bits = rng.integers(0, 1 << 64, (16, 2 * longest // 64 + 1, FIRST + len(self.vocabulary)), np.uint64)
+        bits = rng.integers(0, 1 << 64, (REPETITIONS, 2 * longest // 64 + 1, FIRST + len(self.vocabulary)), np.uint64)
         self.classes = [_Class(g, bits, rng) for _, g in sorted(groups.items())]
         self.bits, self.longest = bits, longest
         self.memory = _Words(self.vocabulary)
@@ -199,6 +220,16 @@ class Index:
                 hit = np.nonzero(hi > lo)[0]
                 for h in hit.tolist():
                     pairs.update((int(place[h]), int(i)) for i in order[lo[h] : hi[h]])
+            for n, first, keys, who, offset in c.segments:
+                place = np.nonzero(first[flat[:size]])[0]
+                place = place[known[place + n] - known[place] == n]
+                if not len(place):
+                    continue
+                key = mix_key(np.stack([flat[place + k] for k in range(n)], axis=1))
+                lo, hi = np.searchsorted(keys, key, side="left"), np.searchsorted(keys, key, side="right")
+                for h in np.nonzero(hi > lo)[0].tolist():
+                    begins = int(bounds[np.searchsorted(bounds, place[h], side="right") - 1])
+                    pairs.update((max(begins, int(place[h] - offset[x])), int(who[x])) for x in range(lo[h], hi[h]))
             for p, i in sorted(pairs):
                 item, w = c.items[i]
                 d = int(np.searchsorted(bounds, p, side="right")) - 1

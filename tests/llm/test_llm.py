@@ -283,6 +283,23 @@ def test_decontamination_finds_all_verbatim_and_most_edited(spark, data):
     assert hit >= 0.9 * len(items)
 
 
+@pytest.mark.parametrize("n", [37, 400, 1200])
+def test_decontamination_finds_edited_copies_of_long_items(n):
+    """All the edits allowed, at any place of a document, its beginning and end as well."""
+    rng, hit = np.random.default_rng(n), 0
+    items = [(i, " ".join(f"w{x}" for x in rng.integers(0, 3000, n))) for i in range(6)]
+    index = decontaminate.Index(items)
+    for trial in range(60):
+        w = items[trial % 6][1].split()
+        for _ in range(decontaminate.allowed(n)):
+            p, kind = int(rng.integers(0, len(w))), int(rng.integers(0, 3))
+            w[p : p + (kind != 1)] = [] if kind == 0 else [f"other{p}"]
+        around = [f"w{x}" for x in rng.integers(0, 6000, 40)]
+        at = (0, 14, 40)[trial % 3]
+        hit += any(i == trial % 6 for _, i, *_ in index.search(["w1 w2", " ".join([*around[:at], *w, *around[at:]])]))
+    assert hit >= 0.96 * 60 if n < 400 else hit == 60
+
+
 def test_decontamination_awkward(spark, awkward, empty, monkeypatch):
     items = spark.createDataFrame([(1, "the cat sat on the mat and the dog did too"), (2, None), (3, ""), (None, "long " * 30), (4, "two words"), (4, "two words")], "item_id long, text string")
     rows = decontaminate.find_items(awkward, items).collect()
