@@ -9,9 +9,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..session import materialize, new_path, shared_dir
+from ..session import materialize, new_path, release, shared_dir
 
-__all__ = ["fold", "load", "materialize", "new_path", "partitions", "shared_dir", "slices", "slim", "tidy"]
+__all__ = ["fold", "load", "materialize", "new_path", "partitions", "release", "shared_dir", "slices", "slim", "tidy"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:

@@ -35,7 +35,7 @@ from .toxicity import PUNCTUATION
 #: Edits allowed for each word of an item, target recall, coordinates a repetition, most repetitions, edited copies that recall is measured on.
 EDITS, RECALL, COORDINATES, REPETITIONS, COPIES = 0.1, 0.98, 3, 16, 1024
 #: Items held at once; a larger benchmark is worked off in several passes.
-BLOCK = 20_000
+BLOCK, BLOCK_CHARS = 20_000, 1 << 24
 REMEMBER = 200_000
 CHUNK_WORDS = 1 << 19
 OTHER, EDGE, FIRST = 0, 1, 2
@@ -75,7 +75,7 @@ def edits_within(pattern: list[int], text: list[int]) -> tuple[int, int]:
 class _Class:
     """Items of similar length, with their repetitions."""
 
-    def __init__(self, items: list[tuple[int, list[int]]], bits: np.ndarray, rng: np.random.Generator) -> None:
+    def __init__(self, items: list[tuple[int, list[int]]], hashes: np.ndarray, draws: np.ndarray, rng: np.random.Generator) -> None:
         self.items = items
         self.least = min(len(w) for _, w in items)
         self.most = max(len(w) for _, w in items)
@@ -88,20 +88,20 @@ class _Class:
         self.repetitions, self.segments = [], []
         copies = self._copies(padded, rng)
         met = np.zeros(len(copies) // 2, bool)
-        for k in range(len(bits)):
+        for k in range(len(draws)):
             at = np.sort(rng.choice(steps, min(COORDINATES, steps), replace=False))
-            seen = walk(padded, np.arange(len(items)) * padded.shape[1], bits[k], at)
+            seen = walk(padded, np.arange(len(items)) * padded.shape[1], hashes, draws[k], at)
             key = mix_key(seen)
             order = np.argsort(key, kind="stable")
-            first = np.zeros(bits.shape[-1], bool)
+            first = np.zeros(len(hashes), bool)
             first[seen[:, 0]] = True
             self.repetitions.append((k, at, first, key[order], order))
-            both = walk(copies, np.arange(len(copies)) * copies.shape[1], bits[k], at)
+            both = walk(copies, np.arange(len(copies)) * copies.shape[1], hashes, draws[k], at)
             met |= (both[::2] == both[1::2]).all(axis=1)
             if k and met.mean() - 2 * math.sqrt(RECALL * (1 - RECALL) / len(met)) >= RECALL:  # its lower bound
                 break
         else:
-            self.repetitions, self.segments = [], self._segments(bits.shape[-1])
+            self.repetitions, self.segments = [], self._segments(len(hashes))
 
     def _copies(self, padded: np.ndarray, rng: np.random.Generator) -> np.ndarray:
         """Pairs of rows: an item and a copy of it with all the edits allowed."""
@@ -138,14 +138,19 @@ def allowed(n: int) -> int:
     return int(EDITS * n)
 
 
-def walk(words: np.ndarray, start: np.ndarray, bits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """The words at the coordinates `at` of the embeddings that begin at the given places."""
+def walk(words: np.ndarray, start: np.ndarray, hashes: np.ndarray, draws: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """The words at the coordinates `at` of the embeddings that begin at the given places.
+
+    The bit of a step and word is the top bit of the step's odd factor times
+    the word's hash, so bits need no table.
+    """
     flat, pos, out = words.ravel(), start.copy(), []
-    for j in range(int(at[-1]) + 1):
-        w = flat[pos]
-        if j in at:
-            out.append(w)
-        pos += ((bits[j >> 6][w] >> np.uint64(j & 63)) & np.uint64(1)).astype(np.int64)
+    hashed = hashes[flat]
+    with np.errstate(over="ignore"):
+        for j in range(int(at[-1]) + 1):
+            if j in at:
+                out.append(flat[pos])
+            pos += ((hashed[pos] * draws[j]) >> np.uint64(63)).astype(np.int64)
     return np.stack(out, axis=1)
 
 
@@ -174,9 +179,10 @@ class Index:
             groups.setdefault(math.floor(2 * math.log2(len(w))), []).append((item, w))
         rng = np.random.default_rng(seed)
         longest = max((len(w) for _, w in known), default=1)
-        bits = rng.integers(0, 1 << 64, (REPETITIONS, 2 * longest // 64 + 1, FIRST + len(self.vocabulary)), np.uint64)
-        self.classes = [_Class(g, bits, rng) for _, g in sorted(groups.items())]
-        self.bits, self.longest = bits, longest
+        self.hashes = rng.integers(0, 1 << 64, FIRST + len(self.vocabulary), np.uint64)
+        self.draws = rng.integers(0, 1 << 64, (REPETITIONS, 2 * longest), np.uint64) | np.uint64(1)
+        self.classes = [_Class(g, self.hashes, self.draws, rng) for _, g in sorted(groups.items())]
+        self.longest = longest
         self.memory = _Words(self.vocabulary)
 
     def search(self, texts: list[str]) -> Iterator[tuple[int, int, int, int, int]]:
@@ -194,7 +200,7 @@ class Index:
             size += len(ids) + 1
             bounds.append(size)
         flat, bounds = np.concatenate([*parts, np.full(3 * self.longest + 8, EDGE)]), np.array(bounds)
-        known = np.concatenate([[0], np.cumsum(flat >= FIRST)])
+        known, hashed = np.concatenate([[0], np.cumsum(flat >= FIRST)]), self.hashes[flat]
         best: dict[tuple[int, int], tuple[int, int, int]] = {}
         for c in self.classes:
             begin = np.nonzero(known[c.least : c.least + size] - known[:size] >= c.needed)[0]
@@ -203,16 +209,16 @@ class Index:
                 place, pos, j = begin, begin.copy(), 0
                 seen: list[np.ndarray] = []
                 for step in range(int(at[-1]) + 1):
-                    w = flat[pos]
                     if step == at[j]:
+                        w = flat[pos]
                         seen.append(w)
                         j += 1
                         if j == 1:
                             keep = first[w]
-                            place, pos, w, seen = place[keep], pos[keep], w[keep], [w[keep]]
+                            place, pos, seen = place[keep], pos[keep], [w[keep]]
                         if j == len(at):
                             break
-                    pos += ((self.bits[k][step >> 6][w] >> np.uint64(step & 63)) & np.uint64(1)).astype(np.int64)
+                    pos += ((hashed[pos] * self.draws[k][step]) >> np.uint64(63)).astype(np.int64)
                 if not len(place):
                     continue
                 key = mix_key(np.stack(seen, axis=1))
@@ -279,11 +285,12 @@ def forget() -> None:
 
 
 def item_blocks(benchmark: DataFrame, item_col: str, item_text: str) -> Iterator[list[tuple[int | None, str | None]]]:
-    """The items (id, text) in blocks of about BLOCK, dealt by a hash."""
+    """The items (id, text) in blocks of about BLOCK items and BLOCK_CHARS characters, dealt by a hash; an item longer than that is as long as it is."""
     items = benchmark.select(F.col(item_col).cast("long").alias("item"), F.col(item_text).alias("text"))
-    blocks = max(1, math.ceil(items.count() / BLOCK))
+    size = items.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum(F.length("text")), F.lit(0)).alias("chars")).first()
+    blocks = max(1, math.ceil(size.n / BLOCK), math.ceil(size.chars / BLOCK_CHARS))
     for n in range(blocks):
-        yield sorted(((r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).collect()), key=repr)  # about BLOCK items
+        yield sorted(((r.item, r.text) for r in items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == n).collect()), key=repr)  # one block
 
 
 def _searched(texts: list[str], held: list[tuple[int | None, str | None]]) -> Iterator[tuple[int, int, int, int, int]]:

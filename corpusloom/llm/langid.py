@@ -4,7 +4,10 @@ Texts become hashed counts of letter n-grams (one to three letters, with word
 edges), square-rooted and normalised. A linear SVM for each family, one
 against the rest, chooses the family; within it a linear SVM for each pair of
 languages casts a vote, margins breaking ties. The machines are trained here,
-on a bounded sample of documents of each language.
+on a bounded sample of documents of each language. How far the deciding
+machines are from a toss-up is the score; what score a document must have to
+count as identified is learnt from a part of the sample that the machines at
+that point have not seen.
 """
 
 from __future__ import annotations
@@ -24,6 +27,8 @@ DIM = 4096
 SAMPLE = 1_500
 #: Characters of a text that are hashed at once.
 CHUNK = 1 << 20
+#: Share of known documents that may fall under the least score, the highest that it may be, and letters from which it holds in full.
+LOST, HIGHEST, LETTERS = 0.002, 0.3, 100
 UNDETERMINED = "und"
 
 #: Families of languages by ISO 639-1 code. A language not listed is a family of its own.
@@ -52,20 +57,33 @@ def _letters() -> np.ndarray:
     return _LETTER
 
 
-def ngrams(text: str) -> np.ndarray | None:
-    """Unit vector of the hashed n-grams of a whole text; None if it has no letter."""
-    counts, letters, any_letter = np.zeros(DIM, np.int64), _letters(), False
+def _codes(text: str) -> Iterator[np.ndarray]:
+    """The text's letters in lower case, and single blanks for all else, in parts of about CHUNK characters."""
+    letters = _letters()
     for lo in range(0, len(text), CHUNK):
-        u = np.frombuffer(text[max(0, lo - 2) : lo + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
-        is_letter = letters[u]
-        any_letter |= bool(is_letter.any())
-        c = np.concatenate([[32], np.where(is_letter, u, 32), [32]]).astype(np.uint32)
+        u = np.frombuffer(text[lo : lo + CHUNK].lower().encode("utf-32-le", "surrogatepass"), np.uint32)
+        yield np.where(letters[u], u, 32).astype(np.uint32)
+
+
+def ngrams(text: str) -> np.ndarray | None:
+    """Unit vector of the hashed n-grams of a whole text; None if it has no letter.
+
+    Long texts are hashed in parts, the last two characters of a part going
+    before the next, so that each n-gram counts once as in one piece.
+    """
+    counts, held, any_letter = np.zeros(DIM, np.int64), np.array([32], np.uint32), False
+    first = True
+    for part in itertools.chain(_codes(text), [np.array([32], np.uint32)]):
+        c = np.concatenate([held, part])
         blank = c == 32
         c = c[~(blank & np.concatenate([[False], blank[:-1]]))]
-        two = c[1:] + c[:-1] * np.uint32(0x9E3779B1)
-        three = two[1:] + c[:-2] * np.uint32(0x85EBCA77)
-        for g in (c[c != 32] * np.uint32(0xC2B2AE3D), two * np.uint32(0x27D4EB2F), three * np.uint32(0x165667B1)):
+        any_letter |= bool((c != 32).any())
+        old = 0 if first else len(held)  # n-grams wholly within the held characters are counted already
+        two, three = c[1:] + c[:-1] * np.uint32(0x9E3779B1), c[2:] + c[1:-1] * np.uint32(0x9E3779B1) + c[:-2] * np.uint32(0x85EBCA77)
+        one = c[old:]
+        for g in (one[one != 32] * np.uint32(0xC2B2AE3D), two[max(0, old - 1) :] * np.uint32(0x27D4EB2F), three[max(0, old - 2) :] * np.uint32(0x165667B1)):
             counts += np.bincount(((g ^ (g >> np.uint32(15))) * np.uint32(0x2C1B3C6D)) >> np.uint32(20), minlength=DIM)
+        held, first = c[-2:], False
     if not any_letter:
         return None
     x = np.sqrt(counts.astype(np.float32))
@@ -95,6 +113,8 @@ def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, epochs: int
 class Identifier:
     """The trained machines; predicts from vectors of `ngrams`."""
 
+    least = 0.0  # the score from which a document counts as identified
+
     def __init__(self, x: np.ndarray, lang: list[str]) -> None:
         self.langs = sorted(set(lang))
         names = np.array(lang)
@@ -110,16 +130,15 @@ class Identifier:
                 self.pair_w[a, b] = linear_svm(x[rows], np.where(names[rows] == a, 1, -1).astype(np.float32))
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
-        """(language, score) for each vector; the score is the smaller of the sigmoids of the two deciding margins."""
+        """(language, score) for each vector; the score is 0 for a toss-up in either step and nears 1 with the smaller of the two deciding margins."""
         x = np.hstack([x, np.ones((len(x), 1), np.float32)])
-        sigmoid = lambda m: 1 / (1 + np.exp(-4 * np.clip(m, -8, 8)))
         if self.family_w is None:
-            at, sure = np.zeros(len(x), int), np.ones(len(x))
+            at, sure = np.zeros(len(x), int), np.full(len(x), np.inf)
         else:
             margin = x @ self.family_w.T
             at = margin.argmax(axis=1)
             best = np.sort(margin, axis=1)
-            sure = sigmoid((best[:, -1] - best[:, -2]) / 2)
+            sure = (best[:, -1] - best[:, -2]) / 2
         votes = {f: np.zeros((len(x), len(m))) for f, m in self.members.items()}
         least = {f: np.full((len(x), len(m)), np.inf) for f, m in self.members.items()}
         for (a, b), w in self.pair_w.items():
@@ -132,11 +151,21 @@ class Identifier:
         for r, k in enumerate(at):
             f = self.families[k]
             best = int(votes[f][r].argmax())
-            near = least[f][r, best]
-            out.append((self.members[f][best], float(min(sure[r], sigmoid(near) if np.isfinite(near) else 1.0))))
+            out.append((self.members[f][best], float(np.tanh(2 * max(0.0, min(sure[r], least[f][r, best]))))))
         return out
 
 
+def least_score(x: np.ndarray, lang: list[str]) -> float:
+    """The score that all but LOST of the documents have whose language machines trained on the others tell, HIGHEST at most."""
+    held = np.arange(len(x)) % 5 == 0
+    names = np.array(lang)
+    if not held.any() or held.all():
+        return 0.0
+    found = Identifier(x[~held], names[~held].tolist()).predict(x[held])
+    right = [score for (k, score), true in zip(found, names[held].tolist(), strict=True) if k == true]
+    return min(HIGHEST, 0.9 * float(np.quantile(right, LOST))) if right else 0.0
+
+
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Identifier | None:
     """An identifier from a sample of about `sample` documents of each language, chosen by a hash of the id; None without any."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
@@ -160,7 +189,10 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
     x = np.zeros((len(rows), DIM), np.float32)
     for i, r in enumerate(rows):
         x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["x"], np.float32)
-    return Identifier(x, [r["lang"] for r in rows])
+    lang = [r["lang"] for r in rows]
+    model = Identifier(x, lang)
+    model.least = least_score(x, lang)
+    return model
 
 
 def identify(docs: DataFrame, model: Identifier | None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
@@ -191,23 +223,30 @@ def identify(docs: DataFrame, model: Identifier | None, id_col: str = "doc_id",
     return slim(docs, *fixed).mapInArrow(run, ", ".join(f"`{c}` {kinds[c]}" for c in passed) + ", lang_pred string, score double")
 
 
-def keep_identified(docs: DataFrame, model: Identifier | None, text_col: str = "text", least: float = 0.5) -> DataFrame:
-    """The rows of docs whose text has letters and a language of at least that score, whole and as they are.
+def keep_identified(docs: DataFrame, model: Identifier | None, text_col: str = "text", least: float | None = None) -> DataFrame:
+    """The rows of docs whose text has letters and a language of at least the least score, whole and as they are.
 
-    Without a model, which is to say without any known language to learn
-    from, all rows with a letter stay.
+    The least score is the model's own unless given; a text of fewer than
+    LETTERS letters needs its part of it, as it has less to tell by. So texts
+    half in one language and half in another, of unknown languages, or of
+    random letters go, and null texts and those without a letter. Repeated
+    rows stay or go each; an empty table stays empty. Without a model, which
+    is to say without any known language to learn from, all rows with a letter
+    stay.
     """
     shared, at = docs.sparkSession.sparkContext.broadcast(model), docs.columns.index(text_col)  # weights of a fixed size for each pair of languages
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
+        floor = 0.0 if m is None else m.least if least is None else least
         for whole in batches:
             for lo in range(0, whole.num_rows, 2048):
                 b = whole.slice(lo, 2048)
-                kept = np.zeros(b.num_rows, bool)
-                vectors = [(i, x) for i, t in enumerate(b.column(at).to_pylist()) if t and (x := ngrams(t)) is not None]
+                kept, texts = np.zeros(b.num_rows, bool), b.column(at).to_pylist()
+                vectors = [(i, x) for i, t in enumerate(texts) if t and (x := ngrams(t)) is not None]
                 if vectors:
-                    kept[[i for i, _ in vectors]] = [s >= least for _, s in m.predict(np.array([x for _, x in vectors]))] if m else True
+                    letters = [min(LETTERS, sum(map(str.isalpha, texts[i][: 8 * LETTERS]))) / LETTERS for i, _ in vectors]
+                    kept[[i for i, _ in vectors]] = [s >= floor * k for (_, s), k in zip(m.predict(np.array([x for _, x in vectors])), letters, strict=True)] if m else True
                 yield b.filter(pa.array(kept))
 
     return docs.mapInArrow(run, docs.schema)

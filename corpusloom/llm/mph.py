@@ -4,13 +4,19 @@ On each level every key left hashes to one bit of an array of GAMMA bits a
 key; keys alone on their bit are settled, the others go on to the next level.
 A key's slot is the number of set bits before its own. The few keys that no
 level settles are kept in a sorted list, so that construction never fails.
+`probe` asks stored levels for one key and reads no more than one block of
+bits and one count of each level it comes to: two levels on average.
 """
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import numpy as np
 
 GAMMA, LEVELS = 2.0, 24
+#: Bits between two stored counts of the set bits before.
+BLOCK = 512
 
 
 def mix(keys: np.ndarray, seed: int) -> np.ndarray:
@@ -63,3 +69,23 @@ class MinimalPerfectHash:
             found = self.rest[k] == keys[todo]
             out[todo[found]] = self.settled + k[found]
         return out
+
+    def counts(self) -> list[np.ndarray]:
+        """For each level, the set bits (of this and earlier levels) before each block of BLOCK bits."""
+        return [np.ascontiguousarray(rank[::BLOCK]).astype("<u8") for rank in self.ranks]
+
+
+def probe(key: int, sizes: list[int], bits: Callable[[int, int, int], bytes], count: Callable[[int, int], int]) -> int:
+    """The slot of one key by stored levels; -1 if no level settles it.
+
+    bits(level, first, n) gives n bytes of a level's bit array from byte
+    `first` on; count(level, block) the set bits before a block.
+    """
+    one = np.array([key], np.int64).view(np.uint64)
+    for level, size in enumerate(sizes):
+        at = int(mix(one, level)[0] % np.uint64(size))
+        block, within = divmod(at, BLOCK)
+        held = int.from_bytes(bits(level, block * BLOCK // 8, within // 8 + 1), "little")
+        if held >> within & 1:
+            return count(level, block) + (held & ((1 << within) - 1)).bit_count()
+    return -1

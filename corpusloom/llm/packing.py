@@ -8,8 +8,11 @@ else open new packs; equal packs are kept as one pattern with a count. The
 patterns then go back to the pieces by rank: the r-th piece of a length takes
 the slot that the patterns' counts assign to rank r.
 
-Ranks are dealt in two levels, by length and a hash bucket, so that a length
-which a large part of all pieces share is never ordered within one task.
+Ranks are dealt in two levels, by length and a hash bucket of id, start,
+content and place in the stored file, so that neither a length which a large
+part of all pieces share, nor rows repeated that often, are ever ordered
+within one task. Pieces that agree in all but the place are equal rows, which
+may change places.
 """
 
 from __future__ import annotations
@@ -60,7 +63,7 @@ def pieces(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: st
             yield out()
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return slim(docs, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
+    return slim(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, start long, length long, ids_crc32 long, doc_tokens long" + ", ids binary" * keep_ids)
 
 
 def shortest_pack_first(histogram: dict[int, int], window: int = WINDOW) -> list[tuple[int, tuple[int, ...]]]:
@@ -120,12 +123,12 @@ class Plan:
 
 
 def assign(cut: DataFrame, id_col: str = "doc_id", window: int = WINDOW) -> DataFrame:
-    """Adds sequence_id and offset to a stored table of pieces (id, start, length, ...)."""
+    """Adds sequence_id and offset to a table of pieces (id, start, length, ...) as read from Parquet files."""
     spark = cut.sparkSession
     histogram = {r["length"]: r["n"] for r in cut.groupBy("length").agg(F.count(F.lit(1)).alias("n")).collect()}  # at most `window` rows
     plan = Plan(shortest_pack_first(histogram, window))
     buckets = 8 * partitions(spark)
-    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64(id_col, "start"), F.lit(buckets)).cast("int"))
+    keyed = cut.withColumn("bucket", F.pmod(F.xxhash64(id_col, "start", "ids_crc32", "_metadata.row_index"), F.lit(buckets)).cast("int"))
     sizes = keyed.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = sizes.select("length", "bucket", (F.sum("n").over(Window.partitionBy("length").orderBy("bucket")) - F.col("n")).alias("before"))
     own = F.row_number().over(Window.partitionBy("length", "bucket").orderBy(id_col, "start", "ids_crc32")) - 1

@@ -110,16 +110,29 @@ def normal_equations(rows: DataFrame, mapper: FourierMap) -> tuple[np.ndarray, n
     return out[:, :side], out[:, side]
 
 
-def isotonic(position: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Pool adjacent violators over bins in order: the centre and the rate of each block."""
+def _pooled(centre: np.ndarray, positive: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """Blocks (centre, positive, total) in order, whose rates rise from each to the next."""
     blocks: list[list[float]] = []
-    for x, a, n in zip(position, positive, total, strict=True):
+    for x, a, n in zip(centre, positive, total, strict=True):
         blocks.append([x * n, a, n])
         while len(blocks) > 1 and blocks[-2][1] * blocks[-1][2] >= blocks[-1][1] * blocks[-2][2]:
             last = blocks.pop()
             blocks[-1] = [p + q for p, q in zip(blocks[-1], last, strict=True)]
-    b = np.array(blocks)
-    return b[:, 0] / b[:, 2], (b[:, 1] + 0.5) / (b[:, 2] + 1)
+    out = np.array(blocks)
+    out[:, 0] /= out[:, 2]
+    return out
+
+
+def isotonic(position: np.ndarray, positive: np.ndarray, total: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pool adjacent violators over bins in order: the centre and the rate of each block.
+
+    Half a case of either label is added to each block, so that no rate is 0
+    or 1; a small block moves more by that than a large one, so blocks are
+    pooled once more and rates rise strictly.
+    """
+    x, a, n = _pooled(position, positive, total).T
+    x, a, n = _pooled(x, a + 0.5, n + 1).T
+    return x, a / n
 
 
 def fit_and_score(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -> DataFrame:

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import golay
-from .common import load, materialize, slices, slim
+from .common import load, materialize, release, slices, slim
 
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 RADIUS = 2
@@ -35,6 +35,8 @@ RADIUS = 2
 PAIRWISE = 256
 #: Buckets above this size leave the task: their members go through a shuffle on flip neighbours.
 IN_MEMORY = 65_536
+#: Edges up to which components are found in one task.
+IN_TASK = 1 << 20
 
 
 def fingerprint(text: str, shingle: int = 3, seed: int = 42) -> int:
@@ -65,7 +67,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(fp, pa.int64())], [id_col, "fp"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return slim(docs, id_col, text_col).mapInArrow(run, f"{id_col} {kind}, fp long")
+    return slim(docs, id_col, text_col).mapInArrow(run, f"`{id_col}` {kind}, fp long")
 
 
 def golay_keys(fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -187,12 +189,25 @@ def links(distinct: DataFrame) -> DataFrame:
     return edges.union(near.join(lowest, "near").where("a <> b").select("a", "b")).distinct()
 
 
+def _united(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, root) of all edges (a, b) of one task."""
+    held = [(b.column(0).to_numpy(zero_copy_only=False), b.column(1).to_numpy(zero_copy_only=False)) for b in batches]
+    a, b = (np.concatenate([x[i] for x in held]) if held else np.zeros(0, np.int64) for i in (0, 1))
+    node, of = np.unique(np.concatenate([a, b]), return_inverse=True)
+    root = _roots(len(node), of[: len(a)], of[len(a) :])
+    yield pa.RecordBatch.from_arrays([pa.array(node), pa.array(node[root])], ["node", "root"])
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, root): the smallest reachable node for every node of the undirected edges (a, b).
 
-    Labels travel over the edges and are then shortened by following the
-    label of the label; each round is written to the shared folder.
+    Up to IN_TASK edges, of sixteen bytes each, are united in one task.
+    Beyond that, labels travel over the edges and are then shortened by
+    following the label of the label; each round is written to the shared
+    folder. The result is the same.
     """
+    if edges.count() <= IN_TASK:
+        return materialize(edges.select("a", "b").coalesce(1).mapInArrow(_united, "node long, root long"), "labels")
     both = materialize(edges.select("a", "b").union(edges.select("b", "a")), "edges")
     labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("root")), "labels")
     while True:
@@ -200,9 +215,27 @@ def components(edges: DataFrame) -> DataFrame:
         step = labels.join(seen, "node").select("node", F.col("root").alias("old"), F.least("root", "m").alias("root"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("further"))
         step = materialize(step.join(up, "root").select("node", "old", F.least("root", "further").alias("root")), "labels")
-        labels = step.select("node", "root")
+        release(labels)
+        labels = step
         if step.where("old <> root").isEmpty():
-            return labels
+            release(both)
+            return step.select("node", "root")
+
+
+def skewed_join(rows: DataFrame, classes: DataFrame, key: str) -> DataFrame:
+    """rows joined to their class by a key that one class has once and rows may have very often.
+
+    The keys of a thousandth of all rows and more, a thousand at most, are
+    joined by broadcast; the others by a shuffle in which no key is large.
+    """
+    counted = rows.groupBy(key).agg(F.count(F.lit(1)).alias("n__"))
+    total = counted.agg(F.coalesce(F.sum("n__"), F.lit(0)).alias("n")).first().n
+    hot = counted.where(F.col("n__") * 1000 >= max(1000, total)).select(key)
+    hot_classes = classes.join(hot, key, "left_semi")
+    few = F.broadcast(hot.withColumn("hot__", F.lit(True)))  # a thousand keys at most
+    split = rows.join(few, key, "left")
+    often = split.where("hot__").drop("hot__").join(F.broadcast(hot_classes), key)  # a thousand rows at most
+    return often.unionByName(split.where("hot__ is null").drop("hot__").join(classes, key))
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 3, seed: int = 42) -> DataFrame:
@@ -210,17 +243,18 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     A null or blank text has the fingerprint zero and links like any other; a
     null id counts as larger than all others and is a component id only if a
-    component has no other. Repeated rows stay, with equal values. An empty
-    table gives an empty result. Extra columns are ignored.
+    component has no other. Repeated rows and ties stay, with equal values;
+    texts of any length count whole. An empty table gives an empty result.
+    Extra columns are ignored.
     """
-    fps = materialize(fingerprints(docs, id_col, text_col, shingle, seed), "fps")
-    distinct = materialize(fps.groupBy("fp").agg(F.min(id_col).alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
+    fps = materialize(fingerprints(docs, id_col, text_col, shingle, seed).withColumnRenamed(id_col, "id__"), "fps")
+    distinct = materialize(fps.groupBy("fp").agg(F.min("id__").alias("low"), F.count(F.lit(1)).alias("n")), "distinct")
     roots = components(links(distinct))
     of = distinct.join(roots, distinct.fp == roots.node, "left").select("fp", "low", "n", F.coalesce("root", "fp").alias("root"))
     of = materialize(of, "rooted")
     totals = of.groupBy("root").agg(F.min("low").alias("component_id"), F.sum("n").alias("copies"))
-    classes = of.join(totals, "root").select("fp", "component_id", "copies")
-    return fps.join(classes, "fp").select(id_col, F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
+    classes = materialize(skewed_join(of.select("fp", "root"), totals, "root").select("fp", "component_id", "copies"), "classes")
+    return skewed_join(fps, classes, "fp").select(F.col("id__").alias(id_col), F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "copies")
 
 
 def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

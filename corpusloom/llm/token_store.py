@@ -2,10 +2,12 @@
 
 A store is a folder of shards in ascending key order and a manifest. A shard
 holds the ids of its documents one after another (2 bytes an id if the
-vocabulary allows, else 4, little-endian), then a directory (keys, offsets),
+vocabulary allows, else 4, little-endian), then a directory (keys, lengths),
 then the index: for each slot of the minimal perfect hash a fingerprint of
-the key and the ordinal of its record. A keyed read asks the hash for the
-slot, compares the fingerprint, and reads one range of the payload.
+the key, the key, and the offset and length of its ids. A keyed read takes
+constant time and bytes, whatever the size of the shard: the footer, a block
+of bits and a count for each level of the hash it comes to, one slot, and one
+range of the payload. Sequential reads use the directory.
 
 Only key bounds, and one line a shard, pass through the driver. A shard is
 written under a temporary name and then moved, with the same bytes at any
@@ -14,6 +16,7 @@ attempt, so a task that runs again after a lost executor does no harm.
 
 from __future__ import annotations
 
+import bisect
 import io
 import json
 import uuid
@@ -26,13 +29,15 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 
 from .common import load, new_path, partitions, slices, slim
-from .mph import MinimalPerfectHash, fingerprint
+from .mph import MinimalPerfectHash, fingerprint, probe
 from .tokens import default_path, encoded
 
 MAGIC = b"CLTOKEN1"
 END_ID = 0
 #: Bytes of payload that a reader holds at once, or one document.
 CHUNK = 1 << 23
+#: Fixed value: one slot of the index; offset and length count ids.
+SLOT = np.dtype([("print", "<u4"), ("key", "<i8"), ("offset", "<i8"), ("length", "<i8")])
 
 
 def _open(uri: str) -> tuple[fs.FileSystem, str]:
@@ -66,11 +71,12 @@ class ShardWriter:
         unique = keys[record].view(np.uint64)
         hash_ = MinimalPerfectHash.build(unique)
         slots = hash_.slots(unique)
-        prints, ordinals = np.zeros(len(record), "<u4"), np.zeros(len(record), "<u4")
-        prints[slots], ordinals[slots] = fingerprint(unique), record
-        parts = {"keys": keys, "lengths": np.array(self.lengths, "<i8"), "nulls": np.packbits(nulls), "prints": prints, "ordinals": ordinals, "rest": hash_.rest.astype("<u8")}
-        parts |= {f"level{i}": x for i, x in enumerate(hash_.levels)}
-        at, footer = len(MAGIC) + int(sum(self.lengths)) * self.width, {"width": self.width, "n": len(keys), "sizes": hash_.sizes, "parts": {}}
+        lengths, index = np.array(self.lengths, "<i8"), np.zeros(len(record), SLOT)
+        index["print"][slots], index["key"][slots] = fingerprint(unique), keys[record]
+        index["offset"][slots], index["length"][slots] = (np.cumsum(lengths) - lengths)[record], lengths[record]
+        parts = {"keys": keys, "lengths": lengths, "nulls": np.packbits(nulls), "index": index, "rest": hash_.rest.astype("<u8")}
+        parts |= {f"level{i}": x for i, x in enumerate(hash_.levels)} | {f"count{i}": x for i, x in enumerate(hash_.counts())}
+        at, footer = len(MAGIC) + int(lengths.sum()) * self.width, {"width": self.width, "n": len(keys), "sizes": hash_.sizes, "settled": hash_.settled, "parts": {}}
         for name, x in parts.items():
             data = x.tobytes()
             footer["parts"][name] = (at, len(data))
@@ -84,44 +90,75 @@ class ShardWriter:
 
 
 class Shard:
-    """One shard file, opened for keyed and sequential reads."""
+    """One shard file, opened for keyed reads; `bytes_read` counts what they read."""
 
     def __init__(self, folder: str, name: str) -> None:
         files, base = _open(folder)
-        self.file = files.open_input_file(f"{base}/{name}")
+        self.file, self.bytes_read = files.open_input_file(f"{base}/{name}"), 0
         size = self.file.size()
-        tail = self.file.read_at(16, size - 16)
+        tail = self._read(size - 16, 16)
         if tail[8:] != MAGIC:
             raise ValueError(f"{name} is no shard of a token store")
         n = int.from_bytes(tail[:8], "little")
-        footer = json.loads(self.file.read_at(n, size - 16 - n))
-        part = lambda name, kind: np.frombuffer(self.file.read_at(footer["parts"][name][1], footer["parts"][name][0]), kind)
-        self.width = footer["width"]
-        self.keys, self.nulls = part("keys", "<i8"), np.unpackbits(part("nulls", np.uint8))[: footer["n"]].astype(bool)
+        self.footer = json.loads(self._read(size - 16 - n, n))
+        self.width = self.footer["width"]
+
+    def _read(self, at: int, n: int) -> bytes:
+        self.bytes_read += n
+        return self.file.read_at(n, at)
+
+    def _part(self, name: str, first: int = 0, n: int | None = None) -> bytes:
+        """n bytes of a part of the file from byte `first` on, or all."""
+        at, size = self.footer["parts"][name]
+        return self._read(at + first, size - first if n is None else min(n, size - first))
+
+    def _slot(self, key: int) -> int:
+        slot = probe(key, self.footer["sizes"], lambda level, first, n: self._part(f"level{level}", first, n), lambda level, block: int.from_bytes(self._part(f"count{level}", 8 * block, 8), "little"))
+        lo, hi, unsigned = 0, self.footer["parts"]["rest"][1] // 8, key % (1 << 64)
+        while slot < 0 and lo < hi:  # the few keys that no level settles, in order
+            middle = (lo + hi) // 2
+            found = int.from_bytes(self._part("rest", 8 * middle, 8), "little")
+            if found == unsigned:
+                return self.footer["settled"] + middle
+            lo, hi = (middle + 1, hi) if found < unsigned else (lo, middle)
+        return slot
+
+    def get(self, key: int) -> np.ndarray | None:
+        """The ids under a key, of its first record; None if the shard has no such key."""
+        slot = self._slot(key)
+        if slot < 0:
+            return None
+        found = np.frombuffer(self._part("index", slot * SLOT.itemsize, SLOT.itemsize), SLOT)[0]
+        if found["print"] != fingerprint(np.array([key], np.int64).view(np.uint64))[0] or found["key"] != key:
+            return None
+        return self.ids(int(found["offset"]), int(found["offset"] + found["length"]))
+
+    def ids(self, lo: int, hi: int) -> np.ndarray:
+        """The payload's ids lo to hi-1, as unsigned 32-bit integers."""
+        return np.frombuffer(self._read(len(MAGIC) + lo * self.width, (hi - lo) * self.width), f"<u{self.width}").astype("<u4")
+
+
+class WholeShard(Shard):
+    """A shard with its directory and index in memory, for sequential reads and for many keys at once."""
+
+    def __init__(self, folder: str, name: str) -> None:
+        super().__init__(folder, name)
+        part = lambda name, kind: np.frombuffer(self._part(name), kind)
+        self.keys, self.nulls = part("keys", "<i8"), np.unpackbits(part("nulls", np.uint8))[: self.footer["n"]].astype(bool)
         self.offsets = np.concatenate([[0], np.cumsum(part("lengths", "<i8"))])
-        self.prints, self.ordinals = part("prints", "<u4"), part("ordinals", "<u4")
-        self.hash = MinimalPerfectHash([part(f"level{i}", np.uint8) for i in range(len(footer["sizes"]))], footer["sizes"], part("rest", "<u8"))
+        self.index = part("index", SLOT)
+        self.hash = MinimalPerfectHash([part(f"level{i}", np.uint8) for i in range(len(self.footer["sizes"]))], self.footer["sizes"], part("rest", "<u8"))
 
     def find(self, keys: np.ndarray) -> np.ndarray:
-        """The ordinal of the first record of each key, -1 where the index has no such fingerprint."""
-        keys = np.asarray(keys, np.int64).view(np.uint64)
-        slot = self.hash.slots(keys)
+        """The offset of the first record of each key, -1 where the index has no such key."""
+        unsigned = np.asarray(keys, np.int64).view(np.uint64)
+        slot = self.hash.slots(unsigned)
         ok = slot >= 0
-        ok[ok] = self.prints[slot[ok]] == fingerprint(keys[ok])
+        ok[ok] = (self.index["print"][slot[ok]] == fingerprint(unsigned[ok])) & (self.index["key"][slot[ok]] == keys[ok])
         out = np.full(len(keys), -1, np.int64)
-        out[ok] = self.ordinals[slot[ok]]
+        out[ok] = self.index["offset"][slot[ok]]
         return out
 
-    def ids(self, lo: int, hi: int) -> np.ndarray:
-        """Ids of the records lo to hi-1, as unsigned 32-bit integers."""
-        at, to = int(self.offsets[lo]), int(self.offsets[hi])
-        return np.frombuffer(self.file.read_at((to - at) * self.width, len(MAGIC) + at * self.width), f"<u{self.width}").astype("<u4")
-
-    def get(self, key: int) -> np.ndarray | None:
-        """The ids under a key, of its first record; None if the shard has no such key."""
-        k = int(self.find(np.array([key]))[0])
-        return None if k < 0 or self.keys[k] != key else self.ids(k, k + 1)
-
 
 def write_store(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shards: int | None = None, vocabulary: int = 50_257) -> dict:
     """Writes the texts' ids, each followed by the end id, and returns the manifest, which it also stores.
@@ -169,7 +206,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
     dealt = rows.mapInArrow(encode, "key long, shard int, payload binary").repartitionById(len(bounds) + 1, "shard")
     # a line a shard
     lines = sorted(map(tuple, dealt.sortWithinPartitions("shard", "key", "payload").mapInArrow(write, "shard int, name string, n long, tokens long").collect()))
-    manifest = {"folder": folder, "bounds": bounds.tolist(), "shards": [], "documents": 0, "tokens": 0}
+    manifest = {"folder": folder, "bounds": bounds.tolist(), "names": {str(shard): name for shard, name, _, _ in lines}, "shards": [], "documents": 0, "tokens": 0}
     for shard, name, n, tokens in lines:
         manifest["shards"].append({"shard": shard, "name": name, "n": n, "start": manifest["tokens"]})
         manifest["documents"] += n
@@ -189,9 +226,9 @@ def open_store(folder: str) -> dict:
 
 def lookup(manifest: dict, key: int) -> np.ndarray | None:
     """Keyed access: the ids of one document, by bounds, hash and one read of its range."""
-    at = int(np.searchsorted(np.array(manifest["bounds"], np.int64), key, side="right"))
-    shard = next((s for s in manifest["shards"] if s["shard"] == at), None)
-    return Shard(manifest["folder"], shard["name"]).get(key) if shard else None
+    shard = bisect.bisect_right(manifest["bounds"], key)
+    name = manifest["names"].get(str(shard))
+    return Shard(manifest["folder"], name).get(key) if name else None
 
 
 def read_store(spark: SparkSession, manifest: dict, key_name: str = "doc_id", with_ids: bool = False) -> DataFrame:
@@ -205,15 +242,16 @@ def read_store(spark: SparkSession, manifest: dict, key_name: str = "doc_id", wi
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for i in b.column(0).to_pylist():
-                s = Shard(folder, lines[i]["name"])
+                s = WholeShard(folder, lines[i]["name"])
                 n = len(s.keys)
-                found = s.find(s.keys[~s.nulls])
-                if (found < 0).any() or (s.keys[found] != s.keys[~s.nulls]).any():
+                known = np.nonzero(~s.nulls)[0]
+                first = known[np.searchsorted(s.keys[known], s.keys[known], side="left")]  # keys are in order
+                if (s.find(s.keys[known]) != s.offsets[first]).any():
                     raise ValueError(f"the index of {lines[i]['name']} misses keys")
                 lo = 0
                 while lo < n:
                     hi = max(lo + 1, int(np.searchsorted(s.offsets, s.offsets[lo] + CHUNK // 4, side="right")) - 1)
-                    ids, at = s.ids(lo, hi), s.offsets[lo : hi + 1] - s.offsets[lo]
+                    ids, at = s.ids(int(s.offsets[lo]), int(s.offsets[hi])), s.offsets[lo : hi + 1] - s.offsets[lo]
                     data = memoryview(ids).cast("B")
                     cuts = [data[4 * a : 4 * z] for a, z in zip(at[:-1], at[1:], strict=True)]
                     cols = [pa.array(s.keys[lo:hi], mask=s.nulls[lo:hi]), pa.array(s.offsets[lo:hi] + lines[i]["start"]), pa.array(np.diff(at)), pa.array([zlib.crc32(c) for c in cuts], pa.int64())]

@@ -4,7 +4,7 @@ Byte-level BPE works piece by piece: the text is cut by a pattern and each
 piece is merged on its own. So each distinct piece is given to the library's
 model once and remembered; a text's ids are those of its pieces in order. Texts with
 characters outside the range where both regular-expression engines provably
-cut alike go to the library whole.
+cut alike, and texts that hold one of the file's added tokens, go to the library whole.
 """
 
 from __future__ import annotations
@@ -15,7 +15,6 @@ from array import array
 from collections.abc import Iterator
 from functools import cache
 
-
 DEFAULT_FILE = "byte_bpe_50k.json"
 #: Distinct pieces in one generation of what a worker remembers.
 REMEMBER = 250_000
@@ -65,7 +64,8 @@ class Encoder(dict):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         self.old: dict[str, bytes] = {}
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        added = sorted(t.content for t in self.tokenizer.get_added_tokens_decoder().values())
+        self.added = re.compile("|".join(map(re.escape, added)) if added else "(?!)").search
         self.merge = self.tokenizer.model.tokenize
 
     def __missing__(self, piece: str) -> bytes:
@@ -77,7 +77,7 @@ class Encoder(dict):
 
     def ids(self, text: str) -> bytes:
         """The ids of a whole text as little-endian unsigned 32-bit bytes."""
-        if not PLAIN.fullmatch(text):
+        if not PLAIN.fullmatch(text) or self.added(text):
             return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
         if len(self) > REMEMBER:
             self.old = dict(self)

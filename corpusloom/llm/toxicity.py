@@ -4,9 +4,11 @@ The lexicon comes from labelled documents: every beginning of a word is a trie
 node, and nodes that stand out in toxic documents by their log-likelihood
 ratio become terms, the strongest of each branch alone. A word that is a term,
 begins with one, or is within the term's edits of one is a hit. Each hit is
-seen in its context window: inside quotation marks, or near a word of
-reporting, it counts as quoted, which the model weighs apart; hits that
-stand close together add up in the window's score.
+seen in its context window. Only what stands inside quotation marks, or in a
+line that begins with the mark of a quoted reply, is a quotation, and wholly
+one if a word of reporting is in the window too; such hits count apart and
+little. A word of reporting alone excuses nothing ("I said you are an ...").
+Hits that stand close together add up in the window's score.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ TERMS = 400
 LEAST_RATIO, LEAST_DOCS = 16.0, 3
 STEM = (4, 10)
 WINDOW = 6
+#: What a hit still counts in its window's score inside quotation marks, and there beside a word of reporting.
+QUOTED, REPORTED = 0.5, 0.25
 REMEMBER = 200_000
 
 PUNCTUATION = "!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~«»„“”‘’‚…–—¡¿|"
@@ -126,13 +130,14 @@ class Scorer:
         kinds, at, score = set(), [], []
         if any(codes):
             inside = self._quoted(words) if any(q in text for q in OPENING + STRAIGHT) else None
+            reply = self._reply(text) if ">" in text else None
             for i in np.nonzero(codes)[0].tolist():
                 term, kind = divmod(codes[i] - 1, 3)
                 weight = self.lift[term]
-                around = words[max(0, i - WINDOW) : i + WINDOW + 1]
-                if (inside and inside[i]) or any(w.lower().strip(PUNCTUATION) in self.reporting for w in around):
+                if (inside and inside[i]) or (reply and reply[i]):
+                    around = words[max(0, i - WINDOW) : i + WINDOW + 1]
                     quoted += weight
-                    weight *= 0.25
+                    weight *= REPORTED if any(w.lower().strip(PUNCTUATION) in self.reporting for w in around) else QUOTED
                 elif kind == 0:
                     direct += weight
                     ratio += weight
@@ -151,6 +156,14 @@ class Scorer:
         per = 100 / n
         return [math.log1p(direct), math.log1p(direct * per), math.log1p(quoted), math.log1p(near), math.log1p(near * per), math.log1p(begun), math.log1p(begun * per), math.log1p(len(kinds)), math.log1p(window), math.copysign(math.log1p(abs(ratio)), ratio), math.log1p(len(words))]
 
+    @staticmethod
+    def _reply(text: str) -> list[bool]:
+        """Whether each word is in a line of a quoted reply, which begins with ">"."""
+        out: list[bool] = []
+        for line in text.splitlines():
+            out += [line.lstrip().startswith(">")] * len(line.split())
+        return out
+
     @staticmethod
     def _quoted(words: list[str]) -> list[bool]:
         """Whether each word is within quotation marks; a mark that nothing closes within 200 words quotes nothing."""

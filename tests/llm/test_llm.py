@@ -10,10 +10,9 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from corpusloom.llm import chat, decontaminate, gif, golay, langid, lm, media, mph, packing, quality, similar, simhash, token_store, tokens, toxicity
+from corpusloom.llm import chat, decontaminate, gif, golay, langid, lm, media, mph, packing, pitman_yor, quality, similar, simhash, token_store, tokens, toxicity
 from corpusloom.llm.automaton import LexiconAutomaton, tolerance
 from corpusloom.llm.common import fold, load
-from corpusloom.llm.pitman_yor import PitmanYor
 from corpusloom.llm.registry import QUERIES
 
 
@@ -105,8 +104,10 @@ def test_similar_against_brute_force(spark, data):
 def test_similar_awkward(spark, awkward, empty):
     kept = similar.keep_one(awkward)
     assert kept.columns == awkward.columns
-    ids = [r.doc_id for r in kept.select("doc_id").collect()]
-    assert len(ids) == len(set(ids)) and 0 in ids and 1 not in ids and 7 not in ids
+    rows = collections.Counter((r.doc_id, r.text) for r in kept.select("doc_id", "text").collect())
+    ids = {i for i, _ in rows}
+    assert max(rows.values()) == 1 and 0 in ids and 1 not in ids and 7 not in ids
+    assert len([t for i, t in rows if i == 6]) == 2  # another text under the same id stays
     assert similar.keep_one(empty).count() == 0
 
 
@@ -130,7 +131,7 @@ def test_similar_recall_under_block_edits(spark):
     got = {r.doc_id: r.component_id for r in similar.similar_groups(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     caught = {kind: np.mean([got[a] == got[b] for a, b in p]) for kind, p in pairs.items()}
     assert len(pairs) == 5 and all(len(p) > 50 for p in pairs.values()) and min(caught.values()) >= 0.97, caught
-    assert similar.plan(0.8) == (17, similar.RADIUS)
+    assert similar.plan(0.8)[0] == 17
 
 
 def test_similar_keeps_one_row_of_each_group(spark, empty):
@@ -179,6 +180,13 @@ def test_quotation_and_misspelling():
     assert plain[names["direct"]] > 0 and plain[names["quoted"]] == 0
     assert quoted[names["direct"]] == 0 and quoted[names["quoted"]] > 0
     assert bad[names["near"]] > 0
+    for text in ("I said you are an idiot", "she wrote: you idiot", "they called him stupid, he said"):
+        said = s.features(text)
+        assert said[names["direct"]] > 0 and said[names["quoted"]] == 0, text
+    reply = s.features("> you idiot\nplease stay calm")
+    assert reply[names["direct"]] == 0 and reply[names["quoted"]] > 0
+    reported, bare = (s.features(t)[names["window"]] for t in ('he called her an "idiot" there', 'there was an "idiot" over there'))
+    assert 0 < reported < bare < plain[names["window"]]
     assert all(map(math.isfinite, s.features("")))
 
 
@@ -215,7 +223,16 @@ def test_classifiers_awkward(spark, awkward, empty, data):
         rows = langid.identify(docs, model).collect()
         assert len(rows) == n and {r.lang_pred for r in rows if r.doc_id in (0, 1, 2, 3)} <= {"und"}
         assert langid.keep_identified(docs, model).columns == docs.columns
-    assert quality.isotonic(np.arange(3.0), np.array([3, 1, 4]), np.array([4, 4, 4]))[1].tolist() == sorted(quality.isotonic(np.arange(3.0), np.array([3, 1, 4]), np.array([4, 4, 4]))[1].tolist())
+
+
+def test_isotonic_rates_rise():
+    rng = np.random.default_rng(11)
+    for k in range(1, 200):
+        n = rng.integers(1, 40, k)
+        x, y = quality.isotonic(np.arange(float(k)), rng.binomial(n, rng.random(k)), n)
+        assert (np.diff(x) > 0).all() and (np.diff(y) > 0).all() and 0 < y.min() and y.max() < 1
+    x, y = quality.isotonic(np.arange(2.0), np.array([0, 1]), np.array([1, 10]))
+    assert len(x) == 1 or y[0] < y[1]
 
 
 # --- language model
@@ -224,11 +241,50 @@ def test_classifiers_awkward(spark, awkward, empty, data):
 def test_pitman_yor_sums_to_one():
     rng = np.random.default_rng(4)
     key, n = np.unique(rng.zipf(1.5, 5000) % 1000, return_counts=True)
-    m = PitmanYor(key, n, 10, 3)
+    m = pitman_yor.PitmanYor(key, n, 10, 3)
     for context in (0, 12, 57, 99):
         assert math.isclose(m.probability(context * 10 + np.arange(10)).sum(), 1, rel_tol=1e-9)
 
 
+def test_stirling_numbers():
+    for d in (0.1, 0.5, 0.9):
+        exact = np.exp(pitman_yor.log_stirling(d)[:6, :6])
+        assert np.allclose(exact[3, 1:4], [(1 - d) * (2 - d), 3 * (1 - d), 1])
+        c, row = 3000, np.full(401, -np.inf)
+        row[1] = 0
+        for n in range(1, c):
+            row[1:] = np.logaddexp(row[:-1], np.where(np.arange(1, 401) <= n, np.log(np.maximum(n - d * np.arange(1, 401), 1e-300)) + row[1:], -np.inf))
+        k = np.array([1.0, 2, 5, 20, 100, 400])
+        error = pitman_yor.log_stirling_large(np.full(6, float(c)), k, d) - row[k.astype(int)]
+        assert np.ptp(error) < 0.08
+
+
+def test_sweeps_have_the_distribution_of_all_seatings():
+    """Tables of one restaurant with three dishes, over many sweeps, against the enumeration of all table counts."""
+    c, p, d, r = [5, 3, 1], np.array([0.2, 0.5, 0.3]), 0.4, 6000
+    s = np.exp(pitman_yor.log_stirling(d)[:6, :6])
+    want: dict[tuple[int, ...], float] = {}
+    for k in itertools.product(*(range(1, n + 1) for n in c)):
+        t = sum(k)
+        want[k] = math.prod(s[n, j] * q**j for n, j, q in zip(c, k, p, strict=True)) * math.prod(pitman_yor.STRENGTH + d * i for i in range(1, t))
+    whole = sum(want.values())
+    names = np.arange(r, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    seats = pitman_yor.Restaurants(np.repeat(np.arange(r), 3), np.tile(c, r), mph.mix(np.arange(3 * r), 3), mph.mix(names, 4), d)
+    for step in range(1, 9):
+        seats.sweep(np.tile(p, r), step)
+    got = collections.Counter(map(tuple, seats.t.reshape(r, 3).astype(int).tolist()))
+    for k, w in want.items():
+        q = w / whole
+        assert abs(got[k] / r - q) < 5 * math.sqrt(q * (1 - q) / r) + 1e-3, (k, q, got[k] / r)
+
+
+def test_gamma_draws():
+    key = np.arange(100_000, dtype=np.uint64)
+    for shape in (0.3, 1.0, 2.5, 80.0):
+        g = pitman_yor.gamma(np.full(len(key), shape), key, 3)
+        assert abs(g.mean() - shape) < 0.02 * shape + 0.01 and abs(g.var() - shape) < 0.05 * shape + 0.02
+
+
 def test_lm_against_brute_force(spark, data):
     got = {r.doc_id: r for r in lm.op4_lm(spark, data).collect()}
     docs = docs_of(spark, data)
@@ -243,6 +299,48 @@ def test_lm_against_brute_force(spark, data):
     assert sum(r.score for r in held) > sum(r.base_score for r in held)
 
 
+def test_lm_scores_do_not_depend_on_partitions(spark, data):
+    docs = load(spark, data, "documents")
+    few = [{r.doc_id: r.score for r in lm.score(d, lm.fit(d)).collect()} for d in (docs.repartition(1), docs.repartition(7))]
+    assert few[0].keys() == few[1].keys() and all(math.isclose(few[0][i], few[1][i], rel_tol=1e-6) for i in few[0])
+
+
+def test_lm_probabilities_sum_to_one(spark):
+    """After a frequent word, the start, and another known word; and what a text's score is made of."""
+    rng = np.random.default_rng(17)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(60)], 30, p=np.arange(60, 0, -1) / 1830)) for _ in range(40)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = lm.fit(docs, frequent=8)
+    rows = m.lexicon.toArrow()
+    contexts, others, measures = lm._Contexts(rows, m), lm._Others(rows, m), np.array(m.measures[1:])
+    own, left = contexts.settle()
+    follows = left @ measures
+    follows[contexts.of, contexts.sign] += own
+    assert len(contexts.h) == len({w for t in texts for w in t.split()}) + 1
+    assert np.allclose(follows.sum(axis=1), 1) and np.allclose((10.0 ** m.log_next).sum(axis=1), 1, atol=1e-5)
+    total = lm.STRENGTH + m.rare_tokens
+    p_other = (others.c - m.rare_discount * others.mean_tables() + m.free * others.base) / total
+    p_unseen = m.free * m.unseen / total
+    assert math.isclose(p_other.sum() + p_unseen, 1, rel_tol=1e-9) and p_unseen > 0
+    at = {int(h): i for i, h in enumerate(contexts.h)}
+    word = {int(contexts.h[i]): p for i, p in zip(others.at.tolist(), p_other.tolist(), strict=True)}
+    unseen = np.append(measures.mean(axis=0), 0)
+
+    def expected(text):
+        sum_, before = 0.0, lm.START
+        for h in [*lm.hashes([w.encode() for w in text.split()]).tolist(), None]:
+            sign = m.alphabet - 1 if h is None else int(m.signs(np.array([h]))[0])
+            sum_ += math.log10(follows[at[before]][sign] if before in at else unseen[sign])
+            if sign == len(m.frequent):
+                sum_ += math.log10(word.get(h, p_unseen))
+            before = h
+        return sum_
+
+    some = [*texts[:5], "", "never", "never seen w1", "w1 never w59 w59", "w58 w59 w57"]
+    got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string"), m).collect()}
+    assert all(math.isclose(got[i], expected(t), rel_tol=1e-5) for i, t in enumerate(some))
+
+
 def test_lm_awkward(spark, awkward, empty):
     for train in (awkward, empty):
         model = lm.fit(train)
@@ -319,9 +417,8 @@ def test_ids_equal_the_librarys(spark, data):
 
     path = tokens.default_path()
     t = Tokenizer.from_file(path)
-    t.encode_special_tokens = True
     rng = np.random.default_rng(7)
-    texts = list(docs_of(spark, data).values()) + ["".join(rng.choice(list("abAB019 .,'’\t\n\r<|>éßñ\xa0\x85漢🙂ſ\x1c\x00_"), 40)) for _ in range(500)] + ["it's we'LL <|endoftext|>  \n x"]
+    texts = list(docs_of(spark, data).values()) + ["".join(rng.choice(list("abAB019 .,'’\t\n\r<|>éßñ\xa0\x85漢🙂ſ\x1c\x00_"), 40)) for _ in range(500)] + ["it's we'LL <|endoftext|>  \n x", "hi <|endoftext|> there", "<|endoftext|><|endoftext|>"]
     for i, ids in tokens.encoded(texts, path):
         assert np.frombuffer(ids, "<u4").tolist() == t.encode(texts[i], add_special_tokens=False).ids
 
@@ -368,7 +465,10 @@ def test_minimal_perfect_hash():
     for n in (0, 1, 2, 1000, 50_000):
         keys = np.random.default_rng(n).choice(1 << 40, n, replace=False).astype(np.uint64)
         h = mph.MinimalPerfectHash.build(keys)
-        assert sorted(h.slots(keys).tolist()) == list(range(n))
+        slots, counts = h.slots(keys), h.counts()
+        assert sorted(slots.tolist()) == list(range(n))
+        for key, slot in list(zip(keys.tolist(), slots.tolist(), strict=True))[:200]:
+            assert mph.probe(key, h.sizes, lambda level, first, size, h=h: h.levels[level][first : first + size].tobytes(), lambda level, block, c=counts: int(c[level][block])) in (slot, -1)
 
 
 def test_token_store(spark, data, tmp_path):
@@ -385,6 +485,26 @@ def test_token_store(spark, data, tmp_path):
     assert token_store.lookup(m, 10**12) is None
 
 
+def test_keyed_read_takes_constant_bytes(tmp_path):
+    read = {}
+    for n in (1_000, 300_000):
+        w = token_store.ShardWriter(f"file://{tmp_path}/{n}", 0, 2)
+        rng = np.random.default_rng(n)
+        keys = np.sort(rng.choice(1 << 40, n, replace=False))
+        for k in keys.tolist():
+            w.add(k, np.array([k % 50_000, 7], "<u2").tobytes())
+        _, name, *_ = w.close()
+        read[n] = []
+        for k in rng.choice(keys, 300).tolist():
+            s = token_store.Shard(f"file://{tmp_path}/{n}", name)
+            opened = s.bytes_read
+            assert s.get(k).tolist() == [k % 50_000, 7]
+            read[n].append(s.bytes_read - opened)
+        assert all(s.get(k) is None for k in rng.choice(1 << 50, 300).tolist() if k not in set(keys.tolist()))
+        assert opened < 4_000 and max(read[n]) < 1_500
+    assert abs(np.mean(read[1_000]) - np.mean(read[300_000])) < 50
+
+
 def test_token_store_awkward(spark, awkward, empty, tmp_path):
     m = token_store.write_store(awkward, f"file://{tmp_path}/a", tokens.default_path(), shards=3)
     rows = token_store.read_store(spark, m, with_ids=True).collect()
@@ -496,18 +616,69 @@ def test_pipeline(spark, data, empty):
             assert out.columns == few.columns
 
 
-def test_candidates_between_groups_are_complete():
-    """Within a bucket every pair of two groups within the radius is met, and a smaller limit says that there is more."""
-    rng = np.random.default_rng(5)
-    fp = (np.int64(0x0F0F0F0F0F0F) ^ (np.int64(1) << rng.integers(0, 62, (900, 8), dtype=np.int64)).sum(axis=1)).astype(np.int64)
-    root = rng.choice(5, 900, p=[0.7, 0.1, 0.1, 0.05, 0.05]).astype(np.int64)
-    d = np.bitwise_count(fp.view(np.uint64)[:, None] ^ fp.view(np.uint64)[None, :])
-    want = {(min(a, b), max(a, b)) for a, b in np.argwhere((d <= similar.RADIUS) & (root[:, None] != root[None, :])).tolist()}
-    m, o, more = similar.nearest_across(fp, root, None, len(fp))
-    assert want and {(min(a, b), max(a, b)) for a, b in zip(m.tolist(), o.tolist(), strict=True)} == want and not more.any()
-    m, o, more = similar.nearest_across(fp, root, None, 8)
-    assert more.any() and {(min(a, b), max(a, b)) for a, b in zip(m.tolist(), o.tolist(), strict=True)} < want
-    side = (np.arange(900) % 2).astype(np.int64)
-    halves = {(a, b) for a, b in want if side[a] != side[b]}
-    m, o, _ = similar.nearest_across(fp, root, side, len(fp))
-    assert {(min(a, b), max(a, b)) for a, b in zip(m.tolist(), o.tolist(), strict=True)} == halves
+def test_exact_joins_between_groups(monkeypatch):
+    rng = np.random.default_rng(12)
+    base = rng.integers(0, 1 << 62, 60, np.uint64)
+    sets = [np.unique(np.concatenate([base[rng.random(60) < 0.9], rng.integers(0, 1 << 62, rng.integers(0, 9), np.uint64)])) for _ in range(150)] + [np.zeros(0, np.uint64)] * 2
+    root = rng.integers(0, 40, len(sets))
+    exact = np.array([[len(np.intersect1d(a, b)) for b in sets] for a in sets])
+    assert (similar.overlaps(sets, sets) == exact).all()
+    asks = np.nonzero(root != 3)[0]
+    found = similar.joining([sets[i] for i in asks], root[asks], sets, root, 0.8)
+    want = [(int(root[a]), int(root[b])) for a in asks for b in range(len(sets)) if root[a] != root[b] and len(sets[a]) and similar.jaccard(sets[a], sets[b]) >= 0.8]
+    same = lambda pairs: simhash._roots(40, np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs])).tolist()
+    assert want and len(found) < 40 and same(found) == same(want + [(int(root[-1]), int(root[-2]))] if root[-1] != root[-2] else want)
+
+
+def test_components_beyond_one_task(spark, monkeypatch):
+    rng = np.random.default_rng(13)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(0, 400, (300, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    one = {tuple(r) for r in simhash.components(edges).collect()}
+    monkeypatch.setattr(simhash, "IN_TASK", -1)
+    assert {tuple(r) for r in simhash.components(edges).collect()} == one and len(one) == len({x for p in pairs for x in p})
+
+
+def test_skewed_join(spark):
+    rows = spark.createDataFrame([(i % 3 if i % 2 else i, i) for i in range(3000)], "k long, v long")
+    classes = spark.createDataFrame([(i, f"c{i}") for i in range(0, 3000, 1)], "k long, name string")
+    got = simhash.skewed_join(rows, classes, "k")
+    assert sorted(map(tuple, got.select("k", "v", "name").collect())) == sorted((i % 3 if i % 2 else i, i, f"c{i % 3 if i % 2 else i}") for i in range(3000))
+
+
+def test_buckets_that_span_batches():
+    rng = np.random.default_rng(14)
+    key = np.sort(rng.integers(0, 300, 1000))
+    h = np.arange(1000)
+    import pyarrow as pa
+
+    want = {(int(k), int(x)) for k, x in zip(key, h, strict=True) if (key == k).sum() > 1}
+    for step in (1, 2, 7, 100, 1000):
+        batches = [pa.RecordBatch.from_arrays([pa.array(key[i : i + step]), pa.array(h[i : i + step])], ["key", "h"]) for i in range(0, 1000, step)]
+        got = [(k, x) for b in similar._shared(iter(batches)) for k, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True)]
+        assert len(got) == len(set(got)) and set(got) == want
+
+
+def test_long_texts_have_the_same_ngrams(monkeypatch):
+    rng = np.random.default_rng(15)
+    texts = ["".join(rng.choice(list("abcé .,1"), n)) for n in (1, 5, 50, 400)] + ["   ", "..a..", "ab"]
+    whole = [langid.ngrams(t) for t in texts]
+    for chunk in (1, 2, 3, 10):
+        monkeypatch.setattr(langid, "CHUNK", chunk)
+        for t, w in zip(texts, whole, strict=True):
+            x = langid.ngrams(t)
+            assert (w is None) == (x is None) and (w is None or np.allclose(w, x))
+
+
+def test_language_stage_rejects_toss_ups(spark, data):
+    docs = load(spark, data.replace("sf0.001", "sf0.01"), "documents")
+    model = langid.train(docs)
+    by = {k: [r.text for r in docs.where(f"lang = '{k}' and size(split(text, ' ')) > 80").orderBy("doc_id").limit(40).collect()] for k in ("en", "de", "fr", "es")}
+    half = lambda a, b: [" ".join(x.split()[:60] + y.split()[:60]) for x, y in zip(by[a], by[b], strict=False)]
+    rng = np.random.default_rng(16)
+    odd = half("en", "de") + half("fr", "es") + half("en", "fr") + ["".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz    "), 500)) for _ in range(40)]
+    odd += ["Все люди рождаются свободными и равными в своем достоинстве и правах, они наделены разумом и совестью", "人人生而自由在尊严和权利上一律平等他们赋有理性和良心并应以兄弟关系的精神相对待"]
+    table = spark.createDataFrame([(i, t) for i, t in enumerate(odd)], "doc_id long, text string")
+    assert langid.keep_identified(table, model).count() <= 0.25 * len(odd)
+    known = docs.where("text rlike '[a-z]'")
+    assert langid.keep_identified(known, model).count() >= 0.985 * known.count()
