@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 import zipfile
@@ -63,7 +64,29 @@ def new_path(spark: SparkSession, tag: str) -> str:
 
 
 def materialize(df: DataFrame, tag: str) -> DataFrame:
-    """Cuts the lineage: the rows are written once to the shared folder and read from there."""
+    """Cuts the lineage: the rows are written once to the shared folder and read from there.
+
+    `release` deletes them when nothing reads them any more.
+    """
     spark, path = df.sparkSession, new_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.stored_at = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that `materialize` wrote, once what was made of them is stored itself.
+
+    The session is also asked to collect what is no longer referred to, by
+    which Spark removes the shuffle files of jobs that are done.
+    """
+    for t in tables:
+        path = t.__dict__.pop("stored_at", None)
+        if path:
+            jvm = t.sparkSession._jvm
+            there = jvm.org.apache.hadoop.fs.Path(path)
+            there.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
+    if tables:
+        gc.collect()
+        tables[0].sparkSession._jvm.System.gc()
