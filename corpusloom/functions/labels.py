@@ -67,3 +67,13 @@ def logit(p: Column, edge: float = 1e-6) -> Column:
 def agree_or(a: Column, b: Column, fallback: Column) -> Column:
     """The label both gave, or the fallback; null if either is null."""
     return F.when(a.isNull() | b.isNull(), None).when(a == b, a).otherwise(fallback)
+
+
+def mapped(c: Column, names: dict[str, str]) -> Column:
+    """The value under each key of a small dictionary; null for keys that it lacks."""
+    return reduce(lambda w, kv: w.when(c == kv[0], kv[1]), list(names.items())[1:], F.when(c == next(iter(names)), next(iter(names.values()))))
+
+
+def dummies(c: Column, levels: list[str], prefix: str) -> list[Column]:
+    """A 0/1 column for each level but the first, which is the reference level."""
+    return [(c == v).cast("int").alias(f"{prefix}_{v}") for v in levels[1:]]

@@ -25,10 +25,11 @@ CLEANING = [
     (r"(?m)^#{1,6}\s*", ""),
     (r"\s+", " "),
 ]
-FUNCTION_WORDS = (
-    "the and to of a in is it you that for on this but not with are have be was i my we they do so if just like can what how "
-    "why would about there their from all get one out up more will"
-).split()
+FUNCTION_WORDS = [
+    "the", "and", "to", "of", "a", "in", "is", "it", "you", "that", "for", "on", "this", "but", "not", "with", "are", "have", "be", "was", "i", "my",
+    "we", "they", "do", "so", "if", "just", "like", "can", "what", "how", "why", "would", "about", "there", "their", "from", "all", "get", "one",
+    "out", "up", "more", "will",
+]
 RELEVANCE_PATTERN = (
     r"\b(a\.?i\.?|artificial intelligence|agi|asi|llm|llms|gpt[0-9.-]*|chat ?gpt|openai|open ai|sam altman|altman|claude|anthropic|gemini|bard|"
     r"deepseek|qwen|llama|mistral|grok|xai|copilot|perplexity|midjourney|dall[- ]?e|stable diffusion|sora|veo|nano ?banana|flux|"
@@ -38,18 +39,20 @@ RELEVANCE_PATTERN = (
 )
 SECOND_PERSON = ["you", "your", "yours", "u", "ur"]
 VULGARITY = ["fuck", "fucking", "fucked", "shit", "shitty", "bullshit", "ass", "asshole", "damn", "crap", "piss", "bitch", "bastard", "dick", "cunt", "wtf", "stfu", "fck", r"f\*+k", r"sh\*+t"]
-NAME_CALLING = (
-    "idiot idiots moron morons stupid dumb dumbass clown clowns loser losers pathetic braindead brain-dead delusional shill shills sheep npc incel "
-    "grifter grifters fanboy fanboys cultist cultists troll trolls"
-).split()
+NAME_CALLING = [
+    "idiot", "idiots", "moron", "morons", "stupid", "dumb", "dumbass", "clown", "clowns", "loser", "losers", "pathetic", "braindead", "brain-dead",
+    "delusional", "shill", "shills", "sheep", "npc", "incel", "grifter", "grifters", "fanboy", "fanboys", "cultist", "cultists", "troll", "trolls",
+]
 LYING = ["lying", "liar", "liars", "lie", "lies", "astroturf", "astroturfing", "bot", "bots", "bad faith", "shilling", "paid", "psyop", "gaslighting"]
-STOPWORDS = (
-    "i me my myself we our ours ourselves you your yours yourself yourselves he him his himself she her hers herself it its itself they them their theirs "
-    "themselves what which who whom this that these those am is are was were be been being have has had having do does did doing would should could ought "
-    "a an the and but if or because as until while of at by for with about against between into through during before after above below to from up down in "
-    "out on off over under again further then once here there when where why how all any both each few more most other some such no nor not only own same so "
-    "than too very will just"
-).split()
+STOPWORDS = [
+    "i", "me", "my", "myself", "we", "our", "ours", "ourselves", "you", "your", "yours", "yourself", "yourselves", "he", "him", "his", "himself",
+    "she", "her", "hers", "herself", "it", "its", "itself", "they", "them", "their", "theirs", "themselves", "what", "which", "who", "whom", "this",
+    "that", "these", "those", "am", "is", "are", "was", "were", "be", "been", "being", "have", "has", "had", "having", "do", "does", "did", "doing",
+    "would", "should", "could", "ought", "a", "an", "the", "and", "but", "if", "or", "because", "as", "until", "while", "of", "at", "by", "for",
+    "with", "about", "against", "between", "into", "through", "during", "before", "after", "above", "below", "to", "from", "up", "down", "in", "out",
+    "on", "off", "over", "under", "again", "further", "then", "once", "here", "there", "when", "where", "why", "how", "all", "any", "both", "each",
+    "few", "more", "most", "other", "some", "such", "no", "nor", "not", "only", "own", "same", "so", "than", "too", "very", "will", "just",
+]
 
 TOKEN = r"[\p{L}\p{N}_]+"
 
@@ -68,6 +71,11 @@ def normalise(c: Column) -> Column:
     return F.trim(cleaned)
 
 
+def valid_utf8(c: Column) -> Column:
+    """The text with every malformed byte sequence as U+FFFD."""
+    return F.make_valid_utf8(c)
+
+
 def word_count(c: Column) -> Column:
     return F.regexp_count(c, F.lit(r"(?U)\S+")).cast("long")
 
@@ -119,9 +127,9 @@ def caps_ratio(c: Column) -> Column:
     return ratio(F.regexp_count(c, F.lit("[A-Z]")), F.regexp_count(c, F.lit("[A-Za-z]")))
 
 
-def is_english(c: Column, n_words: Column, least_words: float = 0.08, least_latin: float = 0.45) -> Column:
-    """Function words and Latin letters each make up their share."""
-    return (ratio(tokens_in(tokens(c), FUNCTION_WORDS), n_words) >= least_words) & (latin_ratio(c) >= least_latin)
+def is_english(c: Column, n_words: Column, toks: Column | None = None, least_words: float = 0.08, least_latin: float = 0.45) -> Column:
+    """Function words and Latin letters each make up their share; toks: the tokens, where they are at hand."""
+    return (ratio(tokens_in(tokens(c) if toks is None else toks, FUNCTION_WORDS), n_words) >= least_words) & (latin_ratio(c) >= least_latin)
 
 
 def word_flag(c: Column, words: list[str]) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.labels import agree_or, decile
+from ..functions.labels import agree_or, decile, mean_of
 
 
 def long_pairs(df: DataFrame, pairs: dict[str, tuple[str, str]]) -> DataFrame:
@@ -26,6 +26,45 @@ def krippendorff(long: DataFrame, by: str = "variable") -> DataFrame:
     return both.select(by, "n", F.when(F.col("k") > 1, 1 - F.try_divide(observed, expected)).alias("alpha"), (F.col("same") / F.col("n")).alias("pct_agree"))
 
 
+def reliability(long: DataFrame, positive: dict[str, str], least: float = 0.667, by: str = "variable") -> DataFrame:
+    """(by, n, alpha, pct_agree, prevalence, low): alpha with the share of the positive value over both raters, marked where below the least."""
+    value = F.coalesce(*(F.when(F.col(by) == k, F.lit(v)) for k, v in positive.items()))
+    share = F.avg(((F.col("a") == value).cast("int") + (F.col("b") == value).cast("int")) / 2)
+    return krippendorff(long, by).join(long.groupBy(by).agg(share.alias("prevalence")), by).withColumn("low", F.col("alpha") < least)
+
+
+def provisional(df: DataFrame, adjudicated: str, first: str) -> DataFrame:
+    """Adds label__ and standard__: the adjudicated label, else one coder's, marked "provisional"."""
+    return df.withColumns({"label__": F.coalesce(adjudicated, first), "standard__": F.when(F.col(adjudicated).isNotNull(), "adjudicated").when(F.col(first).isNotNull(), "provisional")})
+
+
+def disagreements(df: DataFrame, a: str, b: str) -> DataFrame:
+    """The rows that both raters labelled, and differently."""
+    return df.where(F.col(a) != F.col(b))
+
+
+def pass_scores(long: DataFrame, passes: list[str], splits: list[str]) -> DataFrame:
+    """(pass, split, n, macro_f1, accuracy, kappa) of rows (pass, split, truth, pred); "all" is every split, and an empty pass has n = 0 and no scores."""
+    everything = long.withColumn("split", F.explode(F.array("split", F.lit("all"))))
+    wanted = long.sparkSession.createDataFrame([(p, s) for p in passes for s in splits], "pass string, split string")
+    found = scoreboard(everything, ["pass", "split"])
+    return wanted.join(found, ["pass", "split"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
+
+
+def variant_table(long: DataFrame, variables: list[str]) -> DataFrame:
+    """(variant, variables..., mean_f1): macro-F1 of each variable, and their mean, of rows (variant, variable, truth, pred)."""
+    by = ["variant", "variable"]
+    scores = macro_f1(per_class(confusion(long, by), by), by)
+    wide = scores.groupBy("variant").pivot("variable", variables).agg(F.first("macro_f1"))
+    return wide.withColumn("mean_f1", mean_of([F.col(v) for v in variables]))
+
+
+def held_out(df: DataFrame, truth: str, pred: str) -> DataFrame:
+    """(n, accuracy, kappa, macro_f1) of one instrument on the rows at hand."""
+    cells = confusion(df.select(F.col(truth).alias("truth"), F.col(pred).alias("pred")), [])
+    return cohen_kappa(cells, []).crossJoin(macro_f1(per_class(cells, []), []))  # one row each
+
+
 def confusion(long: DataFrame, by: list[str]) -> DataFrame:
     """(by..., truth, pred, n) of rows where both are known."""
     return long.where("truth is not null and pred is not null").groupBy(*by, "truth", "pred").agg(F.count(F.lit(1)).alias("n"))
@@ -69,6 +108,12 @@ def adjudicate(df: DataFrame, variable: str, a: str, b: str, conservative: str)
     return df.withColumns({variable: agree_or(F.col(a), F.col(b), F.lit(conservative)), f"{variable}_disputed": F.col(a) != F.col(b)})
 
 
+def adjudicate_flag(df: DataFrame, variable: str, a: str, b: str) -> DataFrame:
+    """Adds whether both raters ticked the flag, and whether they differ; a null tick leaves both null."""
+    both = F.when(F.col(a).isNotNull() & F.col(b).isNotNull(), F.col(a) & F.col(b))
+    return df.withColumns({variable: both, f"{variable}_disputed": F.col(a) != F.col(b)})
+
+
 def ensemble(a: Column, b: Column, fill: Column | None = None) -> Column:
     """The label both gave, else what a third source says, else null."""
     both = F.when(a == b, a)
@@ -94,3 +139,10 @@ def batch_completeness(batches: DataFrame, ids: str, results: str) -> DataFrame:
     """(returned, n_batches, share, incomplete): how many results batches brought."""
     g = batches.groupBy(F.size(results).cast("long").alias("returned"), (F.size(results) < F.size(ids)).alias("incomplete")).agg(F.count(F.lit(1)).alias("n_batches"))
     return g.withColumn("share", F.col("n_batches") / F.sum("n_batches").over(Window.partitionBy()))
+
+
+def positional_yield(batches: DataFrame, ids: str, results: str) -> DataFrame:
+    """(position, asked, answered, yield): how often the item at each position of a batch came back."""
+    rows = batches.select(F.posexplode(ids).alias("position", "id"), F.size(results).alias("n"))
+    g = rows.groupBy(F.col("position").cast("long").alias("position")).agg(F.count(F.lit(1)).alias("asked"), F.count_if(F.col("position") < F.col("n")).alias("answered"))
+    return g.withColumn("yield", F.col("answered") / F.col("asked"))

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..session import materialize
+from .sampling import ranked
 
 
 def with_default(df: DataFrame, name: str, value: object, kind: str) -> DataFrame:
@@ -42,20 +43,38 @@ def passing(df: DataFrame, steps: list[tuple[str, Column]]) -> DataFrame:
     return reduce(lambda d, s: d.where(s[1]), steps, df)
 
 
-def comment_steps(start: str, end: str) -> list[tuple[str, Column]]:
-    """The funnel of comments up to the length rule: window, tombstones, bots, stickied, moderation, four words."""
+def comment_steps(df: DataFrame, start: str, end: str) -> tuple[DataFrame, list[tuple[str, Column]]]:
+    """The funnel of comments: df with its texts cleaned and cut once, and the steps: window, tombstones, bots, stickied, moderation, four words, language."""
     body, author = F.col("body"), F.col("author")
-    return [
+    clean = df.withColumn("clean__", T.normalise(body))
+    cut = clean.withColumns({"words__": T.word_count(F.col("clean__")), "toks__": T.tokens(F.col("clean__"))})
+    return cut, [
         ("window", (F.col("created_ts") >= F.lit(start).cast("timestamp")) & (F.col("created_ts") < F.lit(end).cast("timestamp"))),
         ("tombstones", body.isNotNull() & ~body.isin(T.TOMBSTONES)),
         ("bots", ~T.is_bot(author)),
         ("stickied", ~F.coalesce(F.col("stickied"), F.lit(False))),
         ("moderation", ~T.is_moderation(author, F.col("distinguished"))),
-        ("four_words", T.word_count(T.normalise(body)) >= 4),
-        ("language", T.is_english(T.normalise(body), T.word_count(T.normalise(body)))),
+        ("four_words", F.col("words__") >= 4),
+        ("language", T.is_english(F.col("clean__"), F.col("words__"), F.col("toks__"))),
     ]
 
 
+def missing_cells(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: n, and for each column how many cells are null (c_missing) and empty (c_empty)."""
+    counts = [x for c in columns for x in (F.count_if(F.col(c).isNull()).alias(f"{c}_missing"), F.count_if(F.col(c) == "").alias(f"{c}_empty"))]
+    return df.agg(F.count(F.lit(1)).alias("n"), *counts)
+
+
+def or_sentinel(c: Column, sentinel: int = -1) -> Column:
+    """The number, or the sentinel where it is null."""
+    return F.coalesce(c, F.lit(sentinel))
+
+
+def is_finite(c: Column) -> Column:
+    """Whether a number is neither null nor infinite nor undefined."""
+    return F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+
+
 def text_features(df: DataFrame, text: str) -> DataFrame:
     """Adds counts of words, questions, exclamations and second persons, and the share of capitals."""
     c = F.col(text)
@@ -121,11 +140,7 @@ def batches(df: DataFrame, key: str, size: int, model: str, version: str, run: s
     The global order is numbered in two levels, by ranges of the key and
     within them, so no task sees all rows.
     """
-    spark = df.sparkSession
-    ranged = df.select(key).repartitionByRange(int(spark.conf.get("spark.sql.shuffle.partitions")), key).sortWithinPartitions(key).withColumn("part__", F.spark_partition_id())
-    before = Window.orderBy("part__").rowsBetween(Window.unboundedPreceding, -1)
-    starts = ranged.groupBy("part__").agg(F.count(F.lit(1)).alias("n__")).select("part__", F.coalesce(F.sum("n__").over(before), F.lit(0)).alias("before__"))
-    numbered = ranged.withColumn("i__", F.row_number().over(Window.partitionBy("part__").orderBy(key))).join(F.broadcast(starts), "part__")  # a row a partition
-    batch = F.ceil((F.col("before__") + F.col("i__")) / size).cast("long")
+    numbered = ranked(df.select(F.lit(1).alias("all__"), key), "all__", key, name="i__")
+    batch = F.ceil(F.col("i__") / size).cast("long")
     grouped = numbered.groupBy(batch.alias("batch")).agg(F.transform(F.array_sort(F.collect_list(key)), lambda x: x.cast("string")).alias("ids"))
     return grouped.select("batch", F.md5(F.concat_ws("|", F.lit(model), F.lit(version), F.lit(run), F.array_join("ids", ","))).alias("cache_key"), "ids")

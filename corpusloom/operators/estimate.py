@@ -3,10 +3,8 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from functools import reduce
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -34,24 +32,43 @@ def analytic_se(df: DataFrame, f: str, y: str, coded: str, probability: str, pop
     return g.select("m", (F.sqrt(F.col("m") * F.col("v")) / F.col("total") * F.sqrt(1 - F.col("m") / F.col("frame"))).alias("se"))
 
 
-def bootstrap(errors: DataFrame, error: str, total: int, draws: int = 400, seed: int = 1, stratum: str | None = None) -> DataFrame:
-    """(draw, correction): means of the corrections when the coded units, a few hundred by design, are drawn again.
+def variance_table(plain: DataFrame, stratified: DataFrame, analytic: DataFrame) -> DataFrame:
+    """(low, high, boot_se, stratified_se, analytic_se, ratio): bootstrap against analytic standard error; one row each."""
+    a = analytic.select(F.col("se").alias("analytic_se"))
+    x = plain.withColumnRenamed("se", "boot_se").crossJoin(stratified).crossJoin(a)  # one row each
+    return x.select("low", "high", "boot_se", "stratified_se", "analytic_se", F.try_divide("boot_se", "analytic_se").alias("ratio"))
 
-    With a stratum each stratum is drawn within itself. Draws are spread over
-    the cluster, each from its own seed.
+
+#: The distribution of a Poisson variable of mean one: how many of these a uniform number has reached is such a variable.
+POISSON = [math.exp(-1) * sum(1 / math.factorial(j) for j in range(k + 1)) for k in range(10)]
+
+
+def bootstrap_weight(seed: str, draw: Column, key: Column) -> Column:
+    """How often a draw takes a unit: a Poisson variable of mean one by the hash of seed, draw and key."""
+    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), draw.cast("string"), key.cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
+    return reduce(lambda a, b: a + b, [(u >= t).cast("long") for t in POISSON])
+
+
+def bootstrap(errors: DataFrame, error: str, key: str, total: int, draws: int = 400, seed: str = "boot", stratum: str | None = None) -> DataFrame:
+    """(draw, correction): the corrections of the mean when the coded units are drawn again.
+
+    Each unit has Poisson weights of its own, so units are never gathered
+    and sums are merged before they are shuffled. The sum of a draw is scaled
+    to the number of units, within each stratum if there is one. A draw that
+    takes no unit of a stratum has nothing of it.
     """
-    rows = errors.select(error, F.lit("").alias("s") if stratum is None else F.col(stratum).cast("string").alias("s")).where(F.col(error).isNotNull()).toPandas()  # the coded units
-    groups = [g[error].to_numpy(float) for _, g in sorted(rows.groupby("s"))]
+    by = [] if stratum is None else [stratum]
+    rows = errors.where(F.col(error).isNotNull()).select(error, key, *by, F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("draw"))
+    w = bootstrap_weight(seed, F.col("draw"), F.col(key))
+    g = rows.withColumn("w__", w).groupBy("draw", *by).agg(F.sum("w__").alias("w"), F.sum(F.col("w__") * F.col(error)).alias("we"), F.count(F.lit(1)).alias("m"))
+    part = F.coalesce(F.try_divide(F.col("m") * F.col("we"), F.col("w")), F.lit(0.0))
+    return g.groupBy(F.col("draw").cast("long").alias("draw")).agg((F.sum(part) / F.lit(float(total))).alias("correction"))
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for p in parts:
-            out = []
-            for b in p["id"]:
-                rng = np.random.default_rng([seed, int(b)])
-                out.append(sum(float(g[rng.integers(0, len(g), len(g))].sum()) for g in groups) / total)
-            yield pd.DataFrame({"draw": p["id"], "correction": out})
 
-    return errors.sparkSession.range(draws).mapInPandas(run, "draw long, correction double")
+def interval(draws: DataFrame, value: str, naive: Column, level: float = 0.95) -> DataFrame:
+    """(low, high, se): the percentile interval and the standard error of naive + value over the draws."""
+    edge = (1 - level) / 2
+    return draws.agg((naive + F.percentile(value, edge)).alias("low"), (naive + F.percentile(value, 1 - edge)).alias("high"), F.stddev_samp(value).alias("se"))
 
 
 def crosstab(df: DataFrame, a: str, b: str, weight: Column | None = None) -> DataFrame:
@@ -105,6 +122,15 @@ def normalised_mutual_information(cells: DataFrame, a: str, b: str) -> DataFrame
     return p.agg(F.max("t").alias("n"), F.try_divide(mi, F.sqrt(hr * hc)).alias("nmi"))
 
 
+def normal_tail(z: Column) -> Column:
+    """The two-sided tail of the standard normal distribution, by a rational approximation (error below 2e-7)."""
+    # Coefficients of the approximation of the complementary error function
+    p, a = 0.3275911, [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
+    x = F.abs(z) / math.sqrt(2)
+    t = 1 / (1 + p * x)
+    return reduce(lambda s, c: (s + F.lit(c)) * t, a[::-1], F.lit(0.0)) * F.exp(-x * x)
+
+
 def removal_bound(observed: Column, removed: Column) -> Column:
     """The worst case when all that was removed counts."""
     return observed * (1 - removed) + removed

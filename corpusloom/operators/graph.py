@@ -29,7 +29,7 @@ ENTITY_RULES = [
     ("Midjourney", r"^(midjourney.*)$"),
     ("AI (general)", r"^(ai|a\.i\.|artificial intelligence|generative ai|gen ?ai|llms?|large language models?|ai models?)$"),
 ]
-SMALL_WORDS = "a an and are as at be but by en for if in is nor not of on or per so the to v[.]? via vs from into than that with".split()
+SMALL_WORDS = "a an and are as at be but by en for if in is nor not of on or per so the to v v. via vs from into than that with".split()
 ALIASES = {
     "chatgpt": ["chatgpt", "chat gpt", "gpt", "4o", "openai's model"],
     "openai": ["openai", "open ai"],
@@ -265,6 +265,18 @@ def grounded(entity: Column, text: Column) -> Column:
     return by_alias | by_word
 
 
+def whole_word(entity: Column, text: Column) -> Column:
+    """Whether the entity's name occurs in the text as whole words."""
+    norm = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    return F.concat(F.lit(" "), norm(text), F.lit(" ")).contains(F.concat(F.lit(" "), norm(entity), F.lit(" ")))
+
+
+def grounded_shares(checked: DataFrame, subject: str, obj: str) -> DataFrame:
+    """(n, subject_share, object_share, both_share) of triples whose ends occur in their texts."""
+    share = lambda c: F.avg(c.cast("double"))
+    return checked.agg(F.count(F.lit(1)).alias("n"), share(F.col(subject)).alias("subject_share"), share(F.col(obj)).alias("object_share"), share(F.col(subject) & F.col(obj)).alias("both_share"))
+
+
 def norm_alias(alias: str) -> str:
     import re
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
+
 
 def hash_order(seed: str, *keys: str) -> Column:
     """A reproducible random order: the md5 of seed and keys."""
@@ -23,14 +25,31 @@ def allocate(sizes: DataFrame, group: str, total: int, share: dict[str, float],
     return sizes.withColumn("alloc_n", n).withColumns({"incl_prob": F.col("alloc_n") / F.col("pop_n"), "design_weight": F.col("pop_n") / F.col("alloc_n")})
 
 
+def ranked(df: DataFrame, by: str, *order: str, name: str = "rank__") -> DataFrame:
+    """df with each row's place, from 1, within its group in the given order.
+
+    Numbered in two levels, so that no task sees a whole group: ranges of
+    (group, order) are sorted apart, and the rows of a range go on from where
+    their group stood before it.
+    """
+    ranges = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    sorted_ = df.repartitionByRange(ranges, by, *order).sortWithinPartitions(by, *order)
+    placed = materialize(sorted_.withColumn("at__", F.monotonically_increasing_id()), "ranked")
+    part = F.shiftright("at__", 33)  # the partition's number stands above the row's
+    runs = placed.groupBy(F.col(by).alias("by__"), part.alias("part__")).agg(F.min("at__").alias("first__"), F.count(F.lit(1)).alias("n__"))
+    before = F.sum("n__").over(Window.partitionBy("by__").orderBy("part__").rowsBetween(Window.unboundedPreceding, -1))
+    runs = runs.withColumn("before__", F.coalesce(before, F.lit(0)))
+    joined = placed.join(runs, placed[by].eqNullSafe(runs["by__"]) & (part == runs["part__"]))
+    return joined.withColumn(name, F.col("at__") - F.col("first__") + F.col("before__") + 1).select(*df.columns, name)
+
+
 def systematic(df: DataFrame, design: DataFrame, stratum: str, *order: str, offset: Column | None = None) -> DataFrame:
     """The rows that a one-in-k walk with fractional k = pop_n / alloc_n takes of each stratum, in the given order.
 
     design: stratum, pop_n, alloc_n; one row a stratum. Without an offset the
     walk starts at the first row.
     """
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    joined = df.withColumn("rank__", rank).join(F.broadcast(design), stratum)  # a row a stratum
+    joined = ranked(df, stratum, *order).join(F.broadcast(design), stratum)  # a row a stratum
     k = F.col("pop_n") / F.col("alloc_n")
     j = (F.col("rank__") - 1).cast("double") - (offset if offset is not None else F.lit(0.0))
     return joined.where((j >= 0) & (F.pmod(j, k) < 1) & (F.floor(j / k) < F.col("alloc_n"))).drop("rank__")
@@ -92,8 +111,7 @@ def randomisation_reference(df: DataFrame, design: DataFrame, stratum: str, orde
     A row's rank meets only the draws that take it: with interval k one draw
     in about k, so draws x sample rows arise, not draws x population.
     """
-    rank = F.row_number().over(Window.partitionBy(stratum).orderBy(*order))
-    rows = df.select(stratum, *order, value).withColumn("rank__", rank)
+    rows = ranked(df.select(stratum, *order, value), stratum, *order)
     starts = df.sparkSession.range(draws).withColumnRenamed("id", "draw").crossJoin(design.select(stratum, "pop_n", "alloc_n"))  # draws x strata
     u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(seed), F.col("draw").cast("string"), F.col(stratum).cast("string"))), 1, 8), 16, 10).cast("double") / float(1 << 32)
     k = F.col("pop_n") / F.col("alloc_n")
@@ -101,6 +119,26 @@ def randomisation_reference(df: DataFrame, design: DataFrame, stratum: str, orde
     return taken.join(rows, [stratum, "rank__"]).groupBy("draw").agg((F.sum(F.col("k") * F.col(value)) / F.sum("k")).alias("mean"))
 
 
-def two_stage_probability(first: Column, drawn: int, annotated: int) -> Column:
-    """First-stage probability times the share of annotated units that were drawn for the second stage."""
-    return first * (drawn / annotated)
+def percentile_of(draws: DataFrame, value: str, realised: DataFrame, point: str) -> DataFrame:
+    """(point, percentile): where one realised value stands among draws; the share of draws at or below it."""
+    both = draws.crossJoin(F.broadcast(realised.select(point)))  # one row
+    return both.groupBy(point).agg(F.avg((F.col(value) <= F.col(point)).cast("double")).alias("percentile"))
+
+
+def two_stage_probability(first: Column, second: Column, annotated: Column) -> Column:
+    """First-stage probability times the second stage's: units drawn for it (or, in the older variant, those still eligible) over units annotated."""
+    return first * second / annotated
+
+
+def composition(population: DataFrame, sample: DataFrame, by: str, weight: str) -> DataFrame:
+    """(by, population_share, sample_share, weighted_share) of each group."""
+    p = population.groupBy(by).agg(F.count(F.lit(1)).alias("n"))
+    s = sample.groupBy(by).agg(F.count(F.lit(1)).alias("m"), F.sum(weight).alias("w"))
+    part = lambda c: F.coalesce(F.col(c), F.lit(0)) / F.sum(c).over(Window.partitionBy())
+    return p.join(s, by, "left").select(by, part("n").alias("population_share"), part("m").alias("sample_share"), part("w").alias("weighted_share"))
+
+
+def weight_change(sample: DataFrame, old: str, new: str) -> DataFrame:
+    """(mean_change_pct): the mean absolute change of weights over the mean old weight, in per cent."""
+    known = sample.where(F.col(old).isNotNull() & F.col(new).isNotNull())
+    return known.agg((100 * F.avg(F.abs(F.col(new) - F.col(old))) / F.avg(old)).alias("mean_change_pct"))

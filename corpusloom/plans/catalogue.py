@@ -40,9 +40,8 @@ DOCS = "docs AS (SELECT doc_id AS id, text AS body, source AS venue, lang FROM d
 
 
 def _steps() -> list:
-    body = F.col("body")
-    n = F.regexp_count(body, F.lit(r"\S+"))
-    return [("not_empty", body.isNotNull() & ~body.isin(T.TOMBSTONES)), ("venue_kept", F.col("venue") != "src0"), ("four_words", n >= 4), ("language", T.is_english(body, n)), ("flagged", T.token_flag(T.tokens(body), ["that", "with", "from"]))]
+    body, n, toks = F.col("body"), F.col("n_words"), F.col("toks")
+    return [("not_empty", body.isNotNull() & ~body.isin(T.TOMBSTONES)), ("venue_kept", F.col("venue") != "src0"), ("four_words", n >= 4), ("language", T.is_english(body, n, toks)), ("flagged", T.token_flag(toks, ["that", "with", "from"]))]
 
 
 _FUNNEL = rf"""WITH {DOCS}, x AS (
@@ -58,7 +57,8 @@ SELECT CAST(i AS BIGINT) AS step_no, s AS step, c AS n, p - c AS dropped, round(
 
 @query(_FUNNEL)
 def funnel(spark, d):
-    return corpus.funnel(comments(spark, d), _steps())
+    c = comments(spark, d).select("body", "venue", F.regexp_count("body", F.lit(r"\S+")).alias("n_words"), T.tokens(F.col("body")).alias("toks"))  # the text is cut once
+    return corpus.funnel(c, _steps())
 
 
 @query(r"""SELECT event_type AS venue, count(*) AS n, count(DISTINCT user_id) AS authors, round(avg(CASE WHEN value > 50 THEN 1.0 ELSE 0.0 END)::DOUBLE, 6) AS high_share, round(median(value), 6) AS median_value, round(stddev_samp(value), 5) AS sd_value FROM events GROUP BY 1""")
@@ -80,7 +80,7 @@ def text_features(spark, d):
     return x.select("id", F.length("body").cast("long").alias("n_chars"), "n_words", "n_question", "n_exclaim", "n_2ndperson", F.round("caps_ratio", 6).alias("caps_ratio"))
 
 
-def _normal_sql(c: str) -> str:
+def normal_sql(c: str) -> str:
     for a, b in T.ENTITIES:
         c = f"replace({c}, '{a}', {repr(b) if b != chr(39) else repr(chr(39) * 2)[1:-1].join(chr(39) * 2)})"
     for p, r in T.CLEANING:
@@ -88,13 +88,13 @@ def _normal_sql(c: str) -> str:
     return f"trim({c})"
 
 
-@query(rf"""SELECT id, md5(t) AS digest, CAST(len(regexp_extract_all(t, '\S+')) AS BIGINT) AS n_words FROM (SELECT doc_id AS id, {_normal_sql("text")} AS t FROM documents)""")
+@query(rf"""SELECT id, md5(t) AS digest, CAST(len(regexp_extract_all(t, '\S+')) AS BIGINT) AS n_words FROM (SELECT doc_id AS id, {normal_sql("text")} AS t FROM documents)""")
 def text_normalise(spark, d):
     x = comments(spark, d).select("id", T.normalise(F.col("body")).alias("t"))
     return x.select("id", F.md5("t").alias("digest"), T.word_count(F.col("t")).alias("n_words"))
 
 
-@query(rf"""SELECT page_id AS id, md5({_normal_sql("html")}) AS digest FROM pages""")
+@query(rf"""SELECT page_id AS id, md5({normal_sql("html")}) AS digest FROM pages""")
 def page_normalise(spark, d):
     return table(spark, d, "pages").select(F.col("page_id").alias("id"), F.md5(T.normalise(F.col("html"))).alias("digest"))
 
@@ -180,54 +180,80 @@ def allocation(spark, d):
     return _design(spark, d)[1].select("stratum", "pop_n", "alloc_n", F.round("incl_prob", 6).alias("incl_prob"), F.round("design_weight", 6).alias("design_weight"))
 
 
-_SYS = f"""WITH {FRAME}, {DESIGN}, r AS (SELECT f.*, row_number() OVER (PARTITION BY f.stratum ORDER BY created, id) AS rk FROM frame f),
+SYS = f"""WITH {FRAME}, {DESIGN}, r AS (SELECT f.*, row_number() OVER (PARTITION BY f.stratum ORDER BY created, id) AS rk FROM frame f),
 picked AS (SELECT r.*, pop_n, alloc_n FROM r JOIN design USING (stratum) WHERE (rk - 1)::DOUBLE % (pop_n / alloc_n::DOUBLE) < 1 AND floor((rk - 1) / (pop_n / alloc_n::DOUBLE)) < alloc_n)"""
 
 
-def _picked(spark, d):
+def picked(spark, d):
     f, design = _design(spark, d)
     return f, sampling.systematic(f, design.drop("flag"), "stratum", "created", "id")
 
 
-@query(_SYS + " SELECT id, stratum, alloc_n FROM picked")
+@query(SYS + " SELECT id, stratum, alloc_n FROM picked")
 def systematic_sample(spark, d):
-    return _picked(spark, d)[1].select("id", "stratum", "alloc_n")
+    return picked(spark, d)[1].select("id", "stratum", "alloc_n")
 
 
-@query(_SYS + """, g AS (SELECT id, row_number() OVER (ORDER BY md5('gold:' || id), id) AS i FROM picked QUALIFY i <= 200), s AS (SELECT id, row_number() OVER (ORDER BY md5('split:' || id), id) AS j FROM g)
+@query(SYS + """, g AS (SELECT id, row_number() OVER (ORDER BY md5('gold:' || id), id) AS i FROM picked QUALIFY i <= 200), s AS (SELECT id, row_number() OVER (ORDER BY md5('split:' || id), id) AS j FROM g)
 SELECT id, CASE WHEN j <= 80 THEN 'dev' ELSE 'test' END AS gold_split FROM s""")
 def srs_gold_split(spark, d):
-    gold = sampling.simple_random(_picked(spark, d)[1].select("id"), 200, "gold", "id")
+    gold = sampling.simple_random(picked(spark, d)[1].select("id"), 200, "gold", "id")
     dev = sampling.simple_random(gold, 80, "split", "id").withColumn("dev", F.lit(True))
     return gold.join(dev, "id", "left").select("id", F.when(F.col("dev"), "dev").otherwise("test").alias("gold_split"))
 
 
-@query(_SYS + """, now AS (SELECT * FROM frame WHERE user_id % 17 <> 0), sz AS (SELECT stratum, count(*) AS new_n FROM now GROUP BY 1),
+@query(SYS + """, now AS (SELECT * FROM frame WHERE user_id % 17 <> 0), sz AS (SELECT stratum, count(*) AS new_n FROM now GROUP BY 1),
 m AS (SELECT p.id, p.stratum, p.pop_n AS pop_n_old, coalesce(sz.new_n, 0) AS pop_n, p.user_id % 17 <> 0 AS eligible FROM picked p LEFT JOIN sz USING (stratum))
 SELECT id, eligible, pop_n_old, pop_n, round(CASE WHEN eligible THEN count(*) FILTER (eligible) OVER (PARTITION BY stratum) / pop_n::DOUBLE END, 6) AS incl_prob FROM m""")
 def frame_correction(spark, d):
-    f, s = _picked(spark, d)
+    f, s = picked(spark, d)
     s = s.withColumn("incl_prob", F.col("alloc_n") / F.col("pop_n"))
     out = sampling.correct_frame(s, f.where(F.col("user_id") % 17 != 0), "id", "stratum")
     return out.select("id", "eligible", "pop_n_old", "pop_n", F.round("incl_prob", 6).alias("incl_prob"))
 
 
-@query(_SYS + """, p AS (SELECT avg(value) AS a, stddev_samp(value) AS s, avg((user_id % 10)::DOUBLE) AS a2, stddev_samp((user_id % 10)::DOUBLE) AS s2 FROM frame),
+@query(SYS + """, p AS (SELECT avg(value) AS a, stddev_samp(value) AS s, avg((user_id % 10)::DOUBLE) AS a2, stddev_samp((user_id % 10)::DOUBLE) AS s2 FROM frame),
 w AS (SELECT sum(pop_n / alloc_n::DOUBLE * value) / sum(pop_n / alloc_n::DOUBLE) AS a, sum(pop_n / alloc_n::DOUBLE * (user_id % 10)) / sum(pop_n / alloc_n::DOUBLE) AS a2 FROM picked)
 SELECT 'value' AS variable, round(p.a, 5) AS population, round(w.a, 5) AS weighted_sample, round(abs(w.a - p.a), 5) AS abs_diff, round((w.a - p.a) / p.s, 5) AS std_diff FROM p, w
 UNION ALL SELECT 'digit', round(p.a2, 5), round(w.a2, 5), round(abs(w.a2 - p.a2), 5), round((w.a2 - p.a2) / p.s2, 5) FROM p, w""")
 def sampling_balance(spark, d):
-    f, s = _picked(spark, d)
+    f, s = picked(spark, d)
     digit = (F.col("user_id") % 10).cast("double")
     s = s.withColumns({"w": F.col("pop_n") / F.col("alloc_n"), "digit": digit})
     out = sampling.balance(f.withColumn("digit", digit), s, "w", ["value", "digit"])
     return out.select("variable", *(F.round(c, 5).alias(c) for c in ("population", "weighted_sample", "abs_diff", "std_diff")))
 
 
-@query()
+_U = "('0x' || substr(md5('{}'), 1, 8))::BIGINT / 4294967296.0::DOUBLE"
+_DRAWS = f"""WITH {FRAME}, {DESIGN}, r AS (SELECT stratum, value, row_number() OVER (PARTITION BY stratum ORDER BY created, id) AS rk FROM frame), o AS (SELECT draw, stratum, pop_n, alloc_n, pop_n / alloc_n::DOUBLE AS k, {_U.format("r:' || draw || ':' || stratum || '")} * (pop_n / alloc_n::DOUBLE) AS off FROM design, (SELECT unnest(range(500)) AS draw)),
+t AS (SELECT draw, stratum, k, least(ceil(off + i * k), pop_n - 1)::BIGINT + 1 AS rk FROM (SELECT *, unnest(range(alloc_n)) AS i FROM o)), m AS (SELECT draw, sum(k * value) / sum(k) AS mean FROM t JOIN r USING (stratum, rk) GROUP BY 1)"""
+
+
+def _reference(spark, d):
+    f, design = _design(spark, d)
+    return sampling.randomisation_reference(f, design, "stratum", ["created", "id"], "value", 500, "r")
+
+
+@query(_DRAWS + " SELECT draw, round(mean, 7) AS mean FROM m")
 def randomisation_reference(spark, d):
+    return _reference(spark, d).select("draw", F.round("mean", 7).alias("mean"))
+
+
+@query(_DRAWS + """, f AS (SELECT frame.*, row_number() OVER (PARTITION BY stratum ORDER BY created, id) AS rk FROM frame), picked AS (SELECT f.*, pop_n, alloc_n FROM f JOIN design USING (stratum) WHERE (rk - 1)::DOUBLE % (pop_n / alloc_n::DOUBLE) < 1 AND floor((rk - 1) / (pop_n / alloc_n::DOUBLE)) < alloc_n),
+w AS (SELECT sum(pop_n / alloc_n::DOUBLE * value) / sum(pop_n / alloc_n::DOUBLE) AS point FROM picked) SELECT round(point, 5) AS point, round(avg((mean <= point)::INT::DOUBLE), 4) AS percentile FROM m, w GROUP BY point""")
+def realised_percentile(spark, d):
+    """Where the sample's weighted mean stands among those of random starts."""
+    w = F.col("pop_n") / F.col("alloc_n")
+    point = picked(spark, d)[1].agg((F.sum(w * F.col("value")) / F.sum(w)).alias("point"))
+    x = sampling.percentile_of(_reference(spark, d), "mean", point, "point")
+    return x.select(F.round("point", 5).alias("point"), F.round("percentile", 4).alias("percentile"))
+
+
+@query(f"""WITH {FRAME}, {DESIGN}, r AS (SELECT f.id, f.stratum, pop_n, alloc_n, pop_n / alloc_n::DOUBLE AS k, row_number() OVER (PARTITION BY f.stratum ORDER BY created, id) - 1 - {_U.format("start:' || f.stratum || '")} * (pop_n / alloc_n::DOUBLE) AS j FROM frame f JOIN design USING (stratum))
+SELECT id, stratum FROM r WHERE j >= 0 AND j % k < 1 AND floor(j / k) < alloc_n""")
+def systematic_offset(spark, d):
     f, design = _design(spark, d)
-    return sampling.randomisation_reference(f, design, "stratum", ["created", "id"], "value", 200, "r")
+    return sampling.systematic(f, design.drop("flag"), "stratum", "created", "id", offset=sampling.random_offset("start", "stratum")).select("id", "stratum")
 
 
 @query(f"WITH {FRAME} SELECT id, venue FROM frame QUALIFY row_number() OVER (PARTITION BY venue ORDER BY md5('cap:' || id), id) <= 40")
@@ -265,42 +291,42 @@ def adjudicate(spark, d):
     return agreement.adjudicate(units(spark, d), "stance", "a", "b", "non_evaluative").select("id", "stance", "stance_disputed")
 
 
-_CELLS = f"""WITH {UNITS}, long AS (SELECT 'A' AS instrument, truth, a AS pred FROM u UNION ALL SELECT 'B', truth, b FROM u), cells AS (SELECT instrument, truth, pred, count(*) AS n FROM long WHERE truth IS NOT NULL AND pred IS NOT NULL GROUP BY ALL),
+CELLS = f"""WITH {UNITS}, long AS (SELECT 'A' AS instrument, truth, a AS pred FROM u UNION ALL SELECT 'B', truth, b FROM u), cells AS (SELECT instrument, truth, pred, count(*) AS n FROM long WHERE truth IS NOT NULL AND pred IS NOT NULL GROUP BY ALL),
 sides AS (SELECT instrument, truth AS class, n AS t, 0 AS p, CASE WHEN truth = pred THEN n ELSE 0 END AS hit FROM cells UNION ALL SELECT instrument, pred, 0, n, 0 FROM cells),
 cls AS (SELECT instrument, class, CAST(sum(t) AS BIGINT) AS n, CAST(sum(p) AS BIGINT) AS n_pred, sum(hit) AS hit FROM sides GROUP BY ALL),
 f AS (SELECT *, CASE WHEN n_pred > 0 THEN hit::DOUBLE / n_pred END AS precision, CASE WHEN n > 0 THEN hit::DOUBLE / n END AS recall, coalesce(2.0::DOUBLE * hit / nullif(n + n_pred, 0), 0) AS f1 FROM cls)"""
 
 
-def _long(spark, d):
+def long_labels(spark, d):
     u = units(spark, d)
     return u.select(F.inline(F.array(*(F.struct(F.lit(k).alias("instrument"), F.col("truth"), F.col(c).alias("pred")) for k, c in (("A", "a"), ("B", "b"))))))
 
 
-@query(_CELLS + ' SELECT instrument, class, n, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f')
+@query(CELLS + ' SELECT instrument, class, n, round(precision, 6) AS precision, round(recall, 6) AS recall, round(f1, 6) AS f1 FROM f')
 def prf_by_class(spark, d):
-    x = agreement.per_class(agreement.confusion(_long(spark, d), ["instrument"]), ["instrument"])
+    x = agreement.per_class(agreement.confusion(long_labels(spark, d), ["instrument"]), ["instrument"])
     return x.select("instrument", "class", "n", *(F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")))
 
 
-@query(_CELLS + """ SELECT instrument, 'truth' AS labels, round(avg(f1) FILTER (n > 0), 6) AS macro_f1 FROM f GROUP BY 1 UNION ALL SELECT instrument, 'union', round(avg(f1), 6) FROM f GROUP BY 1 UNION ALL SELECT instrument, 'codebook', round(sum(f1) / 4, 6) FROM f GROUP BY 1""")
+@query(CELLS + """ SELECT instrument, 'truth' AS labels, round(avg(f1) FILTER (n > 0), 6) AS macro_f1 FROM f GROUP BY 1 UNION ALL SELECT instrument, 'union', round(avg(f1), 6) FROM f GROUP BY 1 UNION ALL SELECT instrument, 'codebook', round(sum(f1) / 4, 6) FROM f GROUP BY 1""")
 def macro_f1_modes(spark, d):
-    x = agreement.per_class(agreement.confusion(_long(spark, d), ["instrument"]), ["instrument"])
+    x = agreement.per_class(agreement.confusion(long_labels(spark, d), ["instrument"]), ["instrument"])
     modes = [agreement.macro_f1(x, ["instrument"], m, 4).withColumn("labels", F.lit(m)) for m in ("truth", "union", "codebook")]
     return modes[0].unionByName(modes[1]).unionByName(modes[2]).select("instrument", "labels", F.round("macro_f1", 6).alias("macro_f1"))
 
 
-_KAPPA = _CELLS + ", k AS (SELECT instrument, sum(n)::DOUBLE AS n, sum(CASE WHEN truth = pred THEN n ELSE 0 END) AS hit FROM cells GROUP BY 1), x AS (SELECT instrument, sum(n::DOUBLE * n_pred) AS cr FROM cls GROUP BY 1)"
+_KAPPA = CELLS + ", k AS (SELECT instrument, sum(n)::DOUBLE AS n, sum(CASE WHEN truth = pred THEN n ELSE 0 END) AS hit FROM cells GROUP BY 1), x AS (SELECT instrument, sum(n::DOUBLE * n_pred) AS cr FROM cls GROUP BY 1)"
 
 
 @query(_KAPPA + " SELECT instrument, CAST(n AS BIGINT) AS n, round(hit / n, 6) AS accuracy, round((hit / n - cr / (n * n)) / (1 - cr / (n * n)), 6) AS kappa FROM k JOIN x USING (instrument)")
 def cohen_kappa(spark, d):
-    x = agreement.cohen_kappa(agreement.confusion(_long(spark, d), ["instrument"]), ["instrument"])
+    x = agreement.cohen_kappa(agreement.confusion(long_labels(spark, d), ["instrument"]), ["instrument"])
     return x.select("instrument", "n", F.round("accuracy", 6).alias("accuracy"), F.round("kappa", 6).alias("kappa"))
 
 
 @query(_KAPPA + ", m AS (SELECT instrument, avg(f1) FILTER (n > 0) AS macro_f1 FROM f GROUP BY 1) SELECT instrument, CAST(n AS BIGINT) AS n, round(hit / n, 6) AS accuracy, round((hit / n - cr / (n * n)) / (1 - cr / (n * n)), 6) AS kappa, round(macro_f1, 6) AS macro_f1 FROM k JOIN x USING (instrument) JOIN m USING (instrument)")
 def scoreboard(spark, d):
-    x = agreement.scoreboard(_long(spark, d), ["instrument"])
+    x = agreement.scoreboard(long_labels(spark, d), ["instrument"])
     return x.select("instrument", "n", *(F.round(c, 6).alias(c) for c in ("accuracy", "kappa", "macro_f1")))
 
 
@@ -371,18 +397,45 @@ def dsl_by_category(spark, d):
     return g.select("category", F.round("naive", 6).alias("naive"), F.round("corrected", 6).alias("corrected"), F.round(real / F.sum(real).over(Window.partitionBy()), 5).alias("share_of_evaluative"))
 
 
-@query()
+_WEIGHT = " + ".join(f"(u >= {t!r}::DOUBLE)::INT" for t in estimate.POISSON)
+_BOOT = f"""{_DSL}, k AS (SELECT id, venue, (toxic - p) / pi AS e, count(*) OVER () AS m, count(*) OVER (PARTITION BY venue) AS mv FROM s WHERE coded AND toxic IS NOT NULL), nt AS (SELECT count(*) AS total FROM u),
+w AS (SELECT draw, venue, e, m, mv, {_WEIGHT} AS w FROM (SELECT k.*, draw, ('0x' || substr(md5('boot:' || draw || ':' || id), 1, 8))::BIGINT / 4294967296.0::DOUBLE AS u FROM k, (SELECT unnest(range(400)) AS draw)))"""
+
+
+def _coded(spark, d):
+    u = _dsl(spark, d)
+    return u.where("coded").select("id", ((F.col("y") - F.col("p")) / F.col("pi")).alias("e"), "venue"), u.count()
+
+
+@query(_BOOT + " SELECT draw, round(max(m) * sum(w * e) / sum(w) / max(total), 8) AS correction FROM w, nt GROUP BY draw")
 def dsl_bootstrap(spark, d):
+    e, total = _coded(spark, d)
+    return estimate.bootstrap(e, "e", "id", total, 400).withColumn("correction", F.round("correction", 8))
+
+
+_VARIANCE = _BOOT + """, b AS (SELECT draw, max(m) * sum(w * e) / sum(w) / max(total) AS c FROM w, nt GROUP BY draw),
+h AS (SELECT draw, venue, max(mv) * coalesce(sum(w * e) / nullif(sum(w), 0), 0) / max(total) AS c FROM w, nt GROUP BY ALL), hb AS (SELECT draw, sum(c) AS c FROM h GROUP BY 1),
+a AS (SELECT sqrt(count(*) * var_samp(e)) / max(total) * sqrt(1 - count(*) / max(total)::DOUBLE) AS se FROM k, nt), n AS (SELECT avg(p) AS naive FROM s),
+o AS (SELECT stddev_samp(c) AS boot, quantile_cont(c, 0.025) AS lo, quantile_cont(c, 0.975) AS hi FROM b), st AS (SELECT stddev_samp(c) AS strat FROM hb)
+SELECT round(naive + lo, 6) AS low, round(naive + hi, 6) AS high, round(boot, 6) AS boot_se, round(strat, 6) AS stratified_se, round(se, 6) AS analytic_se, round(boot / se, 4) AS ratio FROM o, st, a, n"""
+
+
+@query(_VARIANCE)
+def variance_check(spark, d):
+    """The bootstrap's interval and standard errors, plain and within strata, against the analytic one."""
     u = _dsl(spark, d)
-    total = u.count()
-    e = u.where("coded").select(((F.col("y") - F.col("p")) / F.col("pi")).alias("e"), "venue")
-    return estimate.bootstrap(e, "e", total, 400)
+    e, total = _coded(spark, d)
+    naive = u.agg(F.avg("p").alias("naive"))
+    plain = estimate.interval(estimate.bootstrap(e, "e", "id", total, 400).crossJoin(F.broadcast(naive)), "correction", F.max("naive"))  # one row
+    strata = estimate.bootstrap(e, "e", "id", total, 400, stratum="venue").agg(F.stddev_samp("correction").alias("stratified_se"))
+    x = estimate.variance_table(plain, strata, estimate.analytic_se(u, "p", "y", "coded", "pi", "total"))
+    return x.select(*(F.round(c, 6).alias(c) for c in ("low", "high", "boot_se", "stratified_se", "analytic_se")), F.round("ratio", 4).alias("ratio"))
 
 
-_CROSS = f"WITH {UNITS}, n AS (SELECT a, b, count(*) AS n FROM u WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL), la AS (SELECT DISTINCT a FROM n), lb AS (SELECT DISTINCT b FROM n), c AS (SELECT la.a, lb.b, coalesce(n.n, 0) AS n FROM la CROSS JOIN lb LEFT JOIN n ON n.a = la.a AND n.b = lb.b)"
+CROSS = f"WITH {UNITS}, n AS (SELECT a, b, count(*) AS n FROM u WHERE a IS NOT NULL AND b IS NOT NULL GROUP BY ALL), la AS (SELECT DISTINCT a FROM n), lb AS (SELECT DISTINCT b FROM n), c AS (SELECT la.a, lb.b, coalesce(n.n, 0) AS n FROM la CROSS JOIN lb LEFT JOIN n ON n.a = la.a AND n.b = lb.b)"
 
 
-@query(_CROSS + """, e AS (SELECT *, (sum(n) OVER (PARTITION BY a))::DOUBLE * (sum(n) OVER (PARTITION BY b)) / (sum(n) OVER ()) AS e, sum(n) OVER () AS t FROM c),
+@query(CROSS + """, e AS (SELECT *, (sum(n) OVER (PARTITION BY a))::DOUBLE * (sum(n) OVER (PARTITION BY b)) / (sum(n) OVER ()) AS e, sum(n) OVER () AS t FROM c),
 g AS (SELECT max(t)::BIGINT AS n, sum((n - e) * (n - e) / e) AS chi2, count(DISTINCT a) AS ka, count(DISTINCT b) AS kb, avg((e < 5)::INT::DOUBLE) AS few, min(e) AS least FROM e)
 SELECT n, round(chi2, 5) AS chi2, (ka - 1) * (kb - 1) AS df, round(sqrt(chi2 / (n * (least(ka, kb) - 1))), 6) AS cramers_v, few <= 0.2 AND least >= 1 AS cochran_ok FROM g""")
 def chi2_cramers_v(spark, d):
@@ -390,7 +443,7 @@ def chi2_cramers_v(spark, d):
     return x.select("n", F.round("chi2", 5).alias("chi2"), "df", F.round("cramers_v", 6).alias("cramers_v"), "cochran_ok")
 
 
-@query(_CROSS + """, p AS (SELECT n / (sum(n) OVER ())::DOUBLE AS p, sum(n) OVER (PARTITION BY a) / (sum(n) OVER ())::DOUBLE AS pa, sum(n) OVER (PARTITION BY b) / (sum(n) OVER ())::DOUBLE AS pb, n, sum(n) OVER () AS t FROM c)
+@query(CROSS + """, p AS (SELECT n / (sum(n) OVER ())::DOUBLE AS p, sum(n) OVER (PARTITION BY a) / (sum(n) OVER ())::DOUBLE AS pa, sum(n) OVER (PARTITION BY b) / (sum(n) OVER ())::DOUBLE AS pb, n, sum(n) OVER () AS t FROM c)
 SELECT max(t)::BIGINT AS n, round(sum(p * ln(p / (pa * pb))) / sqrt(sum(-p * ln(pa)) * sum(-p * ln(pb))), 6) AS nmi FROM p WHERE n > 0""")
 def nmi_alignment(spark, d):
     x = estimate.normalised_mutual_information(estimate.crosstab(units(spark, d), "a", "b"), "a", "b")
@@ -439,6 +492,11 @@ def _dfm(spark, d, longest: int = 1):
     return c, lexicon.document_terms(c.select("id", T.ngrams(F.col("t"), longest).alias("t")) if longest > 1 else c.select("id", "t"), "id", F.col("t"))
 
 
+def _venue_terms(spark, d):
+    """(venue, term, n): no document id travels."""
+    return lexicon.document_terms(comments(spark, d).select("venue", T.without(T.tokens(F.col("body")), T.STOPWORDS).alias("t")), "venue", F.col("t"))
+
+
 @query(f"""WITH {_DFM}, s AS (SELECT term FROM dfm GROUP BY 1 HAVING sum(n) >= 20 AND count(*) >= 10), k AS (SELECT term, count(*) AS df FROM dfm GROUP BY 1), nd AS (SELECT count(DISTINCT id) AS docs FROM dfm),
 x AS (SELECT dfm.* FROM dfm JOIN s USING (term) JOIN k USING (term), nd WHERE df <= 0.4 * docs), y AS (SELECT *, sum(n) OVER (PARTITION BY id) AS tot FROM x) SELECT id, term, n FROM y WHERE tot >= 3""")
 def dfm_trim(spark, d):
@@ -460,17 +518,20 @@ def bigram_counts(spark, d):
 @query(f"""WITH {_DFM}, c AS (SELECT venue, term, sum(n) AS n FROM dfm GROUP BY ALL), x AS (SELECT *, sum(n) OVER (PARTITION BY venue) AS total, count(*) OVER (PARTITION BY term) AS df FROM c), k AS (SELECT count(DISTINCT venue) AS k FROM dfm),
 s AS (SELECT venue, term, n / total::DOUBLE * ln(1 + k / df::DOUBLE) AS score FROM x, k), r AS (SELECT *, row_number() OVER (PARTITION BY venue ORDER BY round(score, 12) DESC, term) AS rk FROM s) SELECT venue, CAST(rk AS BIGINT) AS rank, term, round(score, 8) AS score FROM r WHERE rk <= 15""")
 def ctfidf_top(spark, d):
-    c, dfm = _dfm(spark, d)
-    x = lexicon.class_tfidf(dfm.join(c.select("id", "venue"), "id"), "venue", 15)
+    x = lexicon.class_tfidf(_venue_terms(spark, d), "venue", 15)
     return x.select("venue", "rank", "term", F.round("score", 8).alias("score"))
 
 
-@query(f"""WITH {_DFM}, g AS (SELECT term, sum(CASE WHEN venue < 'src5' THEN n ELSE 0 END)::DOUBLE AS a, sum(CASE WHEN venue < 'src5' THEN 0 ELSE n END)::DOUBLE AS b FROM dfm GROUP BY 1), t AS (SELECT sum(a) AS t1, sum(b) AS t0 FROM g), x AS (SELECT *, t1 - a AS c, t0 - b AS d, t1 + t0 AS n FROM g, t)
-SELECT term, CAST(a AS BIGINT) AS n_target, CAST(b AS BIGINT) AS n_reference, round((CASE WHEN a / t1 >= b / t0 THEN 1 ELSE -1 END) * 2 * (CASE WHEN a > 0 THEN a * ln(a * n / ((a + b) * t1)) ELSE 0 END + CASE WHEN b > 0 THEN b * ln(b * n / ((a + b) * t0)) ELSE 0 END + CASE WHEN c > 0 THEN c * ln(c * n / ((c + d) * t1)) ELSE 0 END + CASE WHEN d > 0 THEN d * ln(d * n / ((c + d) * t0)) ELSE 0 END), 3) + 0.0::DOUBLE AS g2 FROM x WHERE a + b >= 5""")
+_TERMS = rf"""terms AS (SELECT venue, term, count(*) AS n FROM (SELECT source AS venue, unnest(list_filter(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+'), lambda t: t NOT IN {_STOP})) AS term FROM documents) GROUP BY ALL)"""
+_TAIL = "((((1.061405429 * t - 1.453152027) * t + 1.421413741) * t - 0.284496736) * t + 0.254829592) * t"
+
+
+@query(f"""WITH {_TERMS}, g AS (SELECT term, coalesce(sum(n) FILTER (venue < 'src5'), 0)::DOUBLE AS a, coalesce(sum(n) FILTER (NOT venue < 'src5'), 0)::DOUBLE AS b FROM terms GROUP BY 1), t AS (SELECT sum(a) AS t1, sum(b) AS t0 FROM g), x AS (SELECT *, t1 - a AS c, t0 - b AS d, t1 + t0 AS n FROM g, t WHERE a + b >= 5),
+y AS (SELECT term, a, b, 2 * (if(a > 0, a * ln(a * n / ((a + b) * t1)), 0) + if(b > 0, b * ln(b * n / ((a + b) * t0)), 0) + if(c > 0, c * ln(c * n / ((c + d) * t1)), 0) + if(d > 0, d * ln(d * n / ((c + d) * t0)), 0)) AS g, if(a / t1 >= b / t0, 1.0::DOUBLE, -1.0::DOUBLE) AS s FROM x),
+z AS (SELECT *, sqrt(abs(g)) / sqrt(2.0::DOUBLE) AS u, 1 / (1 + 0.3275911::DOUBLE * sqrt(abs(g)) / sqrt(2.0::DOUBLE)) AS t FROM y) SELECT term, a::BIGINT AS n_target, b::BIGINT AS n_reference, round(s * g, 2) + 0.0::DOUBLE AS g2, round({_TAIL} * exp(-u * u), 5) + 0.0::DOUBLE AS p FROM z""")
 def keyness_g2(spark, d):
-    c, dfm = _dfm(spark, d)
-    x = lexicon.keyness(dfm.join(c.select("id", "venue"), "id"), F.col("venue") < "src5")
-    return x.where("n_target + n_reference >= 5").select("term", "n_target", "n_reference", F.round("g2", 3).alias("g2"))
+    x = lexicon.keyness(_venue_terms(spark, d), F.col("venue") < "src5")
+    return x.where("n_target + n_reference >= 5").select("term", "n_target", "n_reference", F.round("g2", 2).alias("g2"), F.round("p", 5).alias("p"))
 
 
 _POS, _NEG = ["with", "for", "that"], ["from", "was", "by"]
@@ -498,7 +559,7 @@ def share_within(spark, d):
 
 
 @query(f"WITH {UNITS} SELECT id, 'n_chars' AS measure, n_chars AS value FROM u UNION ALL SELECT id, 'n_words', n_words FROM u")
-def unpivot_long(spark, d):
+def unpivotlong_labels(spark, d):
     return units(spark, d).select("id", "n_chars", "n_words").unpivot("id", ["n_chars", "n_words"], "measure", "value")
 
 
@@ -582,6 +643,14 @@ def kg_modularity(spark, d):
     return graph.modularity(u, labels, weighted=True).select(F.round("modularity", 6).alias("modularity"))
 
 
+@query(f"""WITH {TRIPLES}, e AS (SELECT least(subject, object) AS a, greatest(subject, object) AS b FROM edges WHERE subject <> object GROUP BY ALL), k AS (SELECT c, count(*) AS k FROM (SELECT unnest([substring(a, 1, 7), substring(b, 1, 7)]) AS c FROM e) GROUP BY 1), t AS (SELECT count(*) AS m, count(*) FILTER (substring(a, 1, 7) = substring(b, 1, 7)) AS i FROM e)
+SELECT round(max(i) / max(m)::DOUBLE - sum(k * k) / (4.0::DOUBLE * max(m) * max(m)), 6) AS modularity FROM k, t""")
+def kg_modularity_unweighted(spark, d):
+    u = graph.undirected(graph.edges(triples(spark, d)))
+    labels = u.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("community", F.substring("node", 1, 7))
+    return graph.modularity(u, labels).select(F.round("modularity", 6).alias("modularity"))
+
+
 @query()
 def kg_betweenness(spark, d):
     return graph.betweenness(graph.edges(triples(spark, d)))
@@ -596,8 +665,7 @@ def kg_leiden(spark, d):
 
 
 def _vectors(spark, d):
-    v = table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("y"), (F.col("vec_id") % 7).cast("double").alias("s1"))
-    return v.where("y is not null")
+    return table(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "embedding", F.col("label").alias("y"), (F.col("vec_id") % 7).cast("double").alias("s1"))
 
 
 @query()
@@ -606,44 +674,38 @@ def distill_scores(spark, d):
 
     v = learn.features(_vectors(spark, d), "embedding", ["s1"]).withColumn("y", (F.col("y") % 2).cast("double"))
     test = F.pmod(F.xxhash64("id"), F.lit(5)) == 0
-    model = learn.elastic_net(v.where(~test), "y", penalties=(0.1, 0.01), k=3)
-    scored = model.transform(v).withColumn("p", vector_to_array("probability")[1])
-    slope, intercept = learn.platt(scored.where(test), "p", "y")
+    known = F.col("y").isNotNull()
+    model = learn.elastic_net(v.where(known & ~test), "y")
+    scored = model.transform(v).withColumn("p", vector_to_array("probability")[1])  # the whole corpus
+    slope, intercept = learn.platt(scored.where(known & test), "p", "y")
     return scored.select("id", "p", learn.calibrated(F.col("p"), slope, intercept).alias("p_calibrated"), (F.col("p") > 0.5).alias("pred"))
 
 
 @query()
 def kmeans_pca(spark, d):
-    return learn.cluster(_vectors(spark, d), "embedding", 14, 8).select("id", "cluster")
+    return learn.cluster(_vectors(spark, d), "embedding", 14, 50).select("id", "cluster")
+
+
+_SEEDS = {f"topic{i}": words for i, words in enumerate((["that", "with"], ["des", "les"], ["der", "die"], ["para", "por"], ["from", "have"], ["est", "dans"], ["und", "nicht"], ["los", "una"], ["this", "not"], ["pour", "qui"]), 1)}
 
 
 @query()
 def seeded_topics(spark, d):
     dfm = lexicon.trim(_dfm(spark, d)[1], "id", 20, 10, 0.4, 3)
-    return learn.seeded_topics(dfm, "id", {"first": ["that", "with"], "second": ["des", "les"], "third": ["der", "die"]}, residual=2, sweeps=3)
+    return learn.seeded_topics(dfm, "id", _SEEDS, residual=4)
 
 
 @query()
 def mixed_logit(spark, d):
     c = replies(spark, d).select("link_id", (F.length("body") % 3 == 0).cast("double").alias("y"), F.log1p(F.length("body")).alias("log_length"), (F.col("author") == "assistant").cast("double").alias("assistant"))
-    return learn.mixed_logit(c, "y", ["log_length", "assistant"], "link_id", rounds=3)
+    return learn.mixed_logit(c, "y", ["log_length", "assistant"], "link_id")
 
 
 @query()
 def cascade_logit(spark, d):
     r = replies(spark, d).select("id", "parent_id", "link_id", (F.length("body") % 3 == 0).cast("double").alias("y"))
     p = r.select(F.concat(F.lit("t1_"), "id").alias("parent_id"), F.col("y").alias("parent_y"))
-    return learn.mixed_logit(r.join(p, "parent_id"), "y", ["parent_y"], "link_id", rounds=3)
-
-
-@query()
-def annotate_cache(spark, d):
-    b = corpus.batches(comments(spark, d), "id", 8, "m", "v1", "A")
-    body = comments(spark, d).select(F.col("id").cast("string").alias("id"), "body")
-    t = b.select("cache_key", F.posexplode("ids").alias("i", "id")).join(body, "id").groupBy("cache_key").agg(F.array_sort(F.collect_list(F.struct("i", "id", "body"))).alias("x"))
-    t = t.select("cache_key", F.transform("x", lambda x: x["id"]).alias("ids"), F.transform("x", lambda x: x["body"]).alias("texts"))
-    done = annotate.annotate(t, annotate.keyword_annotator).withColumn("results", F.transform("results", lambda r: F.from_json(r, "id string, relevance string, stance string")))
-    return annotate.repair_ids(done).select("cache_key", "position", "id", F.col("result.stance").alias("stance"))
+    return learn.mixed_logit(r.join(p, "parent_id"), "y", ["parent_y"], "link_id")
 
 
 @query(f"""WITH {UNITS} SELECT 'units' AS quantity, CAST(count(*) AS DOUBLE) AS value FROM u UNION ALL SELECT 'labelled', CAST(count(quality) AS DOUBLE) FROM u UNION ALL SELECT 'mean_words', round(avg(n_words), 6) FROM u""")

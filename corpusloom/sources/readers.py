@@ -87,6 +87,12 @@ def read_cache(spark: SparkSession, path: str, result: str) -> DataFrame:
     return spark.read.parquet(path).withColumn("results", F.transform("results", lambda r: F.from_json(r, result)))
 
 
+def read_json_cache(spark: SparkSession, glob: str, result: str) -> DataFrame:
+    """(cache_key, position, result...) of annotation batches kept as JSON files {"cache_key", "results"}: one row a result; files that are no JSON are left out."""
+    batches = spark.read.schema(f"cache_key string, results array<struct<{result}>>").option("multiLine", True).option("mode", "DROPMALFORMED").json(glob)
+    return batches.select("cache_key", F.posexplode("results").alias("position", "r")).select("cache_key", F.col("position").cast("long").alias("position"), "r.*")
+
+
 def wide_vector(df: DataFrame, prefix: str, out: str = "embedding") -> DataFrame:
     """Columns prefix0, prefix1, ... gathered as one array column."""
     names = sorted((c for c in df.columns if c.startswith(prefix) and c[len(prefix) :].isdigit()), key=lambda c: int(c[len(prefix) :]))

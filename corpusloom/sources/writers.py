@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -58,6 +60,19 @@ def write_json(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").json(path)
 
 
+def append_log(spark: SparkSession, folder: str, **entry: object) -> None:
+    """One line of a run's log, as JSON with the time, in a file of its own under the folder; `spark.read.json(folder)` reads them all."""
+    at = datetime.now(UTC).isoformat(timespec="milliseconds")
+    write_text(spark, f"{folder}/{at.replace(':', '')}-{uuid.uuid4().hex[:8]}.json", json.dumps({"at": at, **entry}) + "\n")
+
+
+def markdown(df: DataFrame, rows: int = 100) -> str:
+    """A small result as a Markdown table."""
+    held = df.limit(rows).collect()
+    line = lambda cells: "| " + " | ".join("" if c is None else str(c).replace("|", "\\|") for c in cells) + " |"
+    return "\n".join([line(df.columns), line(["-"] * len(df.columns)), *(line(r) for r in held)]) + "\n"
+
+
 def render(template: str, **values: str) -> str:
     """A template with its __NAME__ marks filled."""
     for k, v in values.items():

@@ -2,11 +2,12 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from corpusloom.functions import codebook, labels, text
-from corpusloom.operators import agreement, annotate, corpus, estimate, graph, learn, lexicon, sampling
+from corpusloom.operators import agreement, annotate, corpus, estimate, graph, learn, lexicon, report, sampling
 from corpusloom.sources import readers, writers
 from corpusloom.streaming.incremental import resume
 
@@ -50,7 +51,7 @@ def test_funnel_of_comments(spark):
         ("g", "the the the the", "x", True, None, "2026-03-02 00:00:00"), ("h", "the the the the", "x", None, "moderator", "2026-03-02 00:00:00"), ("i", "the the the the", "x", None, None, "2026-09-01 00:00:00"), ("j", None, "x", None, None, "2026-03-02 00:00:00"),
     ]
     df = spark.createDataFrame(rows, "id string, body string, author string, stickied boolean, distinguished string, ts string").withColumn("created_ts", F.to_timestamp("ts"))
-    steps = corpus.comment_steps("2026-03-01", "2026-09-01")
+    df, steps = corpus.comment_steps(df, "2026-03-01", "2026-09-01")
     assert [r.n for r in corpus.funnel(df, steps).orderBy("step_no").collect()] == [10, 9, 7, 5, 4, 2, 1, 1]
     assert [r.id for r in corpus.passing(df, steps).collect()] == ["a"]
 
@@ -111,24 +112,81 @@ def test_sampling_invariants(spark):
     assert n == got
     off = sampling.systematic(df, design.drop("g"), "stratum", "id", offset=sampling.random_offset("x", "stratum"))
     assert abs(off.count() - sum(got.values())) <= 2
+    ranks = sampling.ranked(df.repartition(5), "stratum", "id").collect()
+    assert all(r.rank__ == (r.id + 1 if r.id < 15 else r.id - 14) for r in ranks) and len(ranks) == 1000
+    nulls = spark.createDataFrame([(None, 2), (None, 1), ("a", 1)], "g string, v long")
+    assert {(r.g, r.v): r.rank__ for r in sampling.ranked(nulls, "g", "v").collect()} == {(None, 1): 1, (None, 2): 2, ("a", 1): 1}
+    assert sampling.ranked(nulls.where("false"), "g", "v").count() == 0
+
+
+def test_bootstrap_and_tails(spark):
+    e = spark.range(400).select("id", (F.col("id") % 7).cast("double").alias("e"), (F.col("id") % 2).alias("s"))
+    draws = estimate.bootstrap(e, "e", "id", 400, 200).agg(F.avg("correction").alias("m"), F.stddev("correction").alias("s")).first()
+    assert abs(draws.m - 2.99) < 0.05 and abs(draws.s - 2 / 20) < 0.02
+    assert estimate.bootstrap(e, "e", "id", 400, 50, stratum="s").count() == 50
+    for z in (0.0, 0.5, 1.96, 4.0):
+        assert abs(one(spark, str(z), lambda c: estimate.normal_tail(c.cast("double"))) - math.erfc(z / math.sqrt(2))) < 1e-6
 
 
 def test_annotation(spark):
     b = spark.createDataFrame([("k1", ["1", "2", "3"], ["a b", "c", "d e f"]), ("k2", [], [])], "cache_key string, ids array<string>, texts array<string>")
     done = annotate.annotate(b, annotate.keyword_annotator, ceiling=30)
+    assert [annotate.next_pause(*x) for x in ((0.0, False), (0.0, True), (100.0, True), (150.0, True), (12.0, False), (100.0, False))] == [0.0, 12 * 1.6, 160.0, 180.0, 12.0, 90.0]
     assert {r.cache_key: len(r.results) for r in done.collect()} == {"k1": 3, "k2": 0}
     cache = spark.createDataFrame([("k", ["1", "2"], [("9", "x"), ("2", "y")])], "cache_key string, ids array<string>, results array<struct<id:string,s:string>>")
     assert [r.id for r in annotate.repair_ids(cache).orderBy("position").collect()] == ["1", "2"]
+    assert [(r.cache_key, r.purge) for r in annotate.purge_plan(done).orderBy("cache_key").collect()] == [("k1", False), ("k2", False)] and annotate.purge_short(done).count() == 2
     rules = annotate.label_rules({"relevance": F.lit("not_relevant"), "stance": F.lit("trust")}, {})
     assert spark.range(1).select(annotate.first_fault(rules).alias("r")).first().r == "stance without relevance"
 
 
+def test_annotators(spark, tmp_path):
+    import http.server
+    import json
+    import sys
+    import threading
+
+    script = tmp_path / "a.py"
+    script.write_text("import json, sys\nasked = json.load(sys.stdin)\nprint('Sure:', json.dumps({'results': [{'id': i['id'], 'stance': 'trust'} for i in asked['items']]}))\n")
+    assert annotate.command_annotator([sys.executable, str(script)])(["1", "2"], ["a", "b"], 9) == [{"id": "1", "stance": "trust"}, {"id": "2", "stance": "trust"}]
+    with pytest.raises(OSError):
+        annotate.command_annotator([sys.executable, "-c", "raise SystemExit(1)"])(["1"], ["a"], 9)
+    seen = []
+
+    class Handler(http.server.BaseHTTPRequestHandler):
+        def do_POST(self):
+            asked = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((asked["response_format"]["type"], asked["max_tokens"]))
+            ids = [i["id"] for i in json.loads(asked["messages"][1]["content"])]
+            answer = json.dumps({"choices": [{"message": {"content": "```json\n" + json.dumps({"results": [{"id": i, "stance": "trust" if i == "1" else "odd"} for i in ids]}) + "\n```"}}]}).encode()
+            self.send_response(200), self.end_headers(), self.wfile.write(answer)
+
+        def log_message(self, *args):
+            pass
+
+    server = http.server.HTTPServer(("127.0.0.1", 0), Handler)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = annotate.endpoint_annotator(f"http://127.0.0.1:{server.server_port}/v1", "m", "k", "label these", {"type": "object"})
+    assert [r["id"] for r in ask(["1", "2"], ["a", "b"], 50)] == ["1", "2"]
+    b = spark.createDataFrame([("k1", ["1", "2"], ["a", "b"])], "cache_key string, ids array<string>, texts array<string>")
+    kept = annotate.annotate(b, ask, ceiling=50, fields={"stance": ["trust", "distrust"]}).first().results
+    server.shutdown()
+    assert [json.loads(r)["id"] for r in kept] == ["1"] and seen == [("json_schema", 50)] * 2 + [("json_schema", 100), ("json_schema", 200)]
+    with pytest.raises(ValueError):
+        annotate.results_in("no answer")
+
+
 def test_lexicon(spark):
     assert one(spark, "Jobs and job-hunting; jobless", lambda c: lexicon.dictionary_hits(c, ["job*", "made up"])) == 3
     got = spark.createDataFrame([("not good but bad",)], "v string").select(text.tokens(F.col("v")).alias("t"))
     x = lexicon.net_tone(F.col("t"), ["good"], ["bad"])
     assert got.select(x["pos"].alias("p"), x["neg"].alias("n"), x["label"].alias("l")).first()[:] == (0, 2, "distrust")
-    assert lexicon.stem_english("running") == "runn" and lexicon.stem_english("glass") == "glass"
+    want = {"running": "run", "glass": "glass", "relational": "relat", "hopping": "hop", "ponies": "poni", "agreed": "agre", "generalizations": "gener", "oscillators": "oscil", "controlling": "control", "happy": "happi", "sky": "sky", "adoption": "adopt", "feed": "feed", "filing": "file", "be": "be", "été": "été"}
+    assert {w: lexicon.stem_english(w) for w in want} == want
+    assert spark.createDataFrame([(["running", "glass"],), (None,)], "t array<string>").select(lexicon.stems(F.col("t")).alias("s")).collect()[0].s == ["run", "glass"]
+    d = {"good": ["good", "very good"], "not_good": ["not good"], "any": ["job*"]}
+    t = spark.createDataFrame([("not good very good good jobless",), ("",)], "v string").select(text.tokens(F.col("v")).alias("t"))
+    assert [tuple(r.k) for r in t.select(lexicon.dictionary_counts(F.col("t"), d).alias("k")).collect()] == [(2, 1, 1), (0, 0, 0)]
 
 
 def test_learned(spark):
@@ -138,6 +196,31 @@ def test_learned(spark):
     assert scored.where("prediction = y").count() > 70
     assert learn.elastic_net(learn.features(v.where("y = 1"), "e", []), "y") is None
     assert learn.separated(v, "y", "y").count() == 2
+    three = v.withColumn("y", (F.col("id") % 3).cast("double"))
+    m = learn.elastic_net(learn.features(three, "e", []), "y", penalties=(0.01,), k=3)
+    assert m.numClasses == 3 and m.transform(learn.features(three, "e", [])).where("prediction = y").count() > 70
+    for method in ("kmeans", "bisecting"):
+        assert learn.cluster(v, "e", 3, 2, method=method).select("cluster").distinct().count() <= 3
+    with pytest.raises(ValueError):
+        learn.cluster(v, "e", 3, 2, method="other")
+    dfm = spark.createDataFrame([(i, t, 1) for i in range(40) for t in (("sun", "moon", "star") if i % 2 else ("fish", "crab", "eel"))], "id long, term string, n long")
+    topics = learn.seeded_topics(dfm, "id", {"sky": ["sun"], "sea": ["fish"]}, residual=0, sweeps=4)
+    assert sum(r.topic == ("sky" if r.id % 2 else "sea") for r in topics.collect()) >= 36
+    assert {(r.topic, r.term) for r in learn.top_terms(dfm, topics, "id", 3).where("topic = 'sky'").collect()} == {("sky", t) for t in ("sun", "moon", "star")}
+    hits = spark.createDataFrame([(2, 1), (0, 0), (1, 1)], "a int, b int")
+    assert [r.t for r in hits.select(learn.seed_topic({"x": F.col("a"), "y": F.col("b")}).alias("t")).collect()] == ["x", None, "x"]
+
+
+def test_mixed_logit_finds_its_effects(spark):
+    rng = np.random.default_rng(5)
+    rows = []
+    for g in range(150):
+        u = float(rng.normal(0, 1.0))
+        for _ in range(20):
+            x = float(rng.normal())
+            rows.append((g, x, float(rng.random() < 1 / (1 + math.exp(-(-0.5 + 1.0 * x + u))))))
+    got = {r.term: r for r in learn.mixed_logit(spark.createDataFrame(rows, "g long, x double, y double"), "y", ["x"], "g").collect()}
+    assert abs(got["x"].estimate - 1.0) < 0.2 and abs(got["(intercept)"].estimate + 0.5) < 0.3 and 0.6 < got["(sd)"].estimate < 1.3 and got["x"].p < 1e-6
 
 
 def test_sources_and_sinks(spark, tmp_path):
@@ -163,3 +246,40 @@ def test_sources_and_sinks(spark, tmp_path):
     store = str(tmp_path / "cache")
     resume(spark, b.limit(1), store, lambda d: d)
     assert resume(spark, b, store, lambda d: d).count() == 2
+
+
+def test_more_sources_and_sinks(spark, tmp_path):
+    import json
+
+    table = spark.createDataFrame([(1, "a|b"), (2, None)], "id long, note string")
+    writers.write_csv(table, str(tmp_path / "csv"))
+    back = readers.read_csv(spark, str(tmp_path / "csv"))
+    assert dict(back.dtypes)["id"] == "int" and back.count() == 2
+    writers.write_json(table, str(tmp_path / "json"))
+    assert spark.read.json(str(tmp_path / "json")).count() == 2
+    assert "| 1 | a\\|b |" in writers.markdown(table.orderBy("id"))
+    assert writers.render("<b>__CODER__</b>", coder="x") == "<b>x</b>"
+    for i in range(3):
+        writers.append_log(spark, str(tmp_path / "log"), step=i)
+    assert sorted(r.step for r in spark.read.json(str(tmp_path / "log")).collect()) == [0, 1, 2]
+    (tmp_path / "na.csv").write_text("id,note\n1,NA\n2,\n")
+    assert readers.read_strings(spark, str(tmp_path / "na.csv"), ["id", "note"], nulls="NA").where("id = 1").first().note is None
+    (tmp_path / "bom.csv").write_bytes(b"\xef\xbb\xbfid,note\n1,x\n")
+    assert readers.read_csv(spark, str(tmp_path / "bom.csv")).columns == ["id", "note"]
+    for k in "ab":
+        (tmp_path / f"batch-{k}.json").write_text(json.dumps({"cache_key": k, "results": [{"id": "1"}, {"id": "2"}]}))
+    (tmp_path / "batch-c.json").write_text("broken")
+    assert readers.read_json_cache(spark, str(tmp_path / "batch-*.json"), "id string").count() == 4
+    spark.createDataFrame([("k", ["1"], ['{"id": "1", "s": "x"}'])], "cache_key string, ids array<string>, results array<string>").write.parquet(str(tmp_path / "cache.parquet"))
+    assert readers.read_cache(spark, str(tmp_path / "cache.parquet"), "id string, s string").first().results[0].s == "x"
+    there = str(tmp_path / "cache.parquet")
+    assert readers.preferred(spark, [there], lambda: 1, lambda: 2) == 1 and readers.preferred(spark, [there, there + "x"], lambda: 1, lambda: 2) == 2
+    wide = spark.createDataFrame([(1, 0.5, 0.25, 0.125)], "id long, e0 double, e10 double, e2 double")
+    assert readers.wide_vector(wide, "e").first().embedding == [0.5, 0.125, 0.25]
+    for name in ("x", "y"):
+        (tmp_path / f"raw-{name}.json").write_text('{"id":"%s","body":"b"}\n' % name)
+    assert readers.read_ndjson(spark, str(tmp_path / "raw-*.json")).count() == 2
+    assert corpus.with_default(table, "stickied", False, "boolean").first().stickied is False and corpus.with_default(table, "note", "z", "string") is table
+    assert "a|b" in report.listing(table, "L1") and report.listing(table, "L1").startswith("== L1")
+    assert report.throughput(table, 2, 7200)["rows"] == 2
+    assert graph.title_case(F.lit("x")) is not None and one(spark, "google v. oracle vs meta v us", graph.title_case) == "Google v. Oracle vs Meta v Us"
