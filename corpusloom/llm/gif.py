@@ -2,7 +2,8 @@
 
 The reader decodes the LZW code streams, applies global and local palettes,
 interlace, disposal and transparency, and gives timed frames, both as the
-stored samples and as the composed canvas.
+stored samples and as the composed canvas. What a file declares is checked
+against limits before anything of that size is made.
 """
 
 from __future__ import annotations
@@ -14,6 +15,8 @@ from dataclasses import dataclass
 import numpy as np
 
 MAX_BITS = 12
+#: Pixels of a screen or frame, and of all frames together, at most.
+PIXELS, ALL_PIXELS = 1 << 24, 1 << 28
 #: First row and step of the four passes of interlaced images.
 PASSES = ((0, 8), (4, 8), (2, 4), (1, 2))
 
@@ -142,12 +145,18 @@ class Frame:
     canvas: np.ndarray  # height x width x 4, as shown
 
 
-def read_gif(data: bytes) -> Iterator[Frame]:
-    """The frames of a GIF in order; stops at the trailer or where the data ends."""
+def read_gif(data: bytes, pixels: int = PIXELS, all_pixels: int = ALL_PIXELS) -> Iterator[Frame]:
+    """The frames of a GIF in order; stops at the trailer or where the data ends.
+
+    A ValueError for data that are no GIF, and for one that declares a screen
+    or frame of more pixels than `pixels`, or frames of more than `all_pixels`.
+    """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
     wide, high, flags, _, _ = struct.unpack_from("<HHBBB", data, 6)
-    at, palette = 13, None
+    if wide * high > pixels:
+        raise ValueError("a screen beyond the limit")
+    at, palette, painted = 13, None, 0
 
     def colours(flag: int) -> np.ndarray:
         nonlocal at
@@ -185,6 +194,9 @@ def read_gif(data: bytes) -> Iterator[Frame]:
             table = colours(packed) if packed & 0x80 else palette
             size = data[at]
             at += 1
+            painted += max(w * h, wide * high)
+            if w * h > pixels or painted > all_pixels or not 1 <= size <= 8:
+                raise ValueError("a frame beyond the limits")
             samples = lzw_decode(joined(), size, w * h).ljust(w * h, b"\0")
             if packed & 0x40:
                 rows = np.frombuffer(samples, np.uint8).reshape(h, w)

@@ -25,8 +25,10 @@ _FRAME_ARROW = pa.struct(
 def encode_text_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_bytes, media): each whole text as UTF-8, zero-padded to a positive multiple of 64, as samples of a GIF.
 
-    A null or empty text has no byte and one row of padding. Repeated rows
-    stay; equal texts give equal media. Extra columns are ignored.
+    A null or empty text has no byte and one row of padding; texts of any
+    length are stored whole, in as many frames as it takes. Repeated rows and
+    null ids stay; equal texts give equal media. An empty table gives an empty
+    result. Extra columns are ignored.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -56,8 +58,10 @@ def colour_histogram(canvas: np.ndarray) -> list[int]:
 def decode_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
     """(id, keep..., media, frames): the timed frames of each GIF, with samples and colour histograms.
 
-    Null media, or bytes that are no GIF, have null frames; a GIF without
-    images has an empty list. The columns `keep` are passed on.
+    Null media, bytes that are no GIF, and a GIF that declares more pixels
+    than the limits of `gif` have null frames; a GIF without images has an
+    empty list. Repeated rows and null ids are rows each; an empty table gives
+    an empty result; of other columns only `keep` are passed on.
     """
     fixed = [id_col, *keep, media_col]
     picked = slim(rows, *fixed)

@@ -181,9 +181,9 @@ def fit_and_score(stats: DataFrame, labels: DataFrame, id_col: str = "doc_id") -
 def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, raw, score) for every row of docs; labels: (id, label, calibrate).
 
-    A null text scores as the empty one; null ids, repeated rows and ties are
-    scored each on its own; an empty table gives an empty result; extra
-    columns are ignored.
+    A null text scores as the empty one; texts of any length count whole; null
+    ids, repeated rows and ties are scored each on its own; an empty table
+    gives an empty result; extra columns are ignored.
     """
     return fit_and_score(materialize(document_statistics(docs, id_col, text_col), "stats"), labels, id_col)
 

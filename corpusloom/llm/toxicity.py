@@ -251,9 +251,10 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
 def toxicity_scores(docs: DataFrame, scorer: Scorer, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, score) for every row of docs.
 
-    A null text scores as the empty one; repeated rows and null ids are scored
-    each; an empty table gives an empty result; extra columns are ignored. A
-    scorer that had no label to learn from gives 0.5 throughout.
+    A null text scores as the empty one; texts of any length are scored whole;
+    equal texts tie; repeated rows and null ids are scored each; an empty
+    table gives an empty result; extra columns are ignored. A scorer that had
+    no label to learn from gives 0.5 throughout.
     """
     return _features(docs, scorer, id_col, text_col, (), True)
 
