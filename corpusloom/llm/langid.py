@@ -25,6 +25,8 @@ from .common import fold, load, slim
 DIM = 4096
 #: Documents of each language, about, that the machines are trained on.
 SAMPLE = 1_500
+#: Documents of all languages together, about; of more than thirty languages each has its part of these.
+SAMPLE_OF_ALL = 45_000
 #: Characters of a text that are hashed at once.
 CHUNK = 1 << 20
 #: Share of known documents that may fall under the least score, the highest that it may be, and letters from which it holds in full.
@@ -90,20 +92,40 @@ def ngrams(text: str) -> np.ndarray | None:
     return x / max(float(np.linalg.norm(x)), 1e-9)
 
 
-def linear_svm(x: np.ndarray, y: np.ndarray, penalty: float = 1e-4, epochs: int = 12, seed: int = 5) -> np.ndarray:
+class Sparse:
+    """Vectors of `ngrams` by their coordinates that aren't zero; a few rows at a time become dense, with a one for the bias."""
+
+    def __init__(self, at: list[np.ndarray], values: list[np.ndarray]) -> None:
+        self.at, self.values = at, values
+
+    def __len__(self) -> int:
+        return len(self.at)
+
+    def rows(self, which: np.ndarray) -> Sparse:
+        return Sparse([self.at[i] for i in which.tolist()], [self.values[i] for i in which.tolist()])
+
+    def dense(self, which: np.ndarray) -> np.ndarray:
+        out = np.zeros((len(which), DIM + 1), np.float32)
+        for r, i in enumerate(which.tolist()):
+            out[r, self.at[i]] = self.values[i]
+        out[:, DIM] = 1
+        return out
+
+
+def linear_svm(x: Sparse, y: np.ndarray, penalty: float = 1e-4, epochs: int = 12, seed: int = 5) -> np.ndarray:
     """Weights (bias last) of a linear SVM for y in {-1, 1}: averaged stochastic subgradients of the hinge loss, classes weighted alike."""
-    x = np.hstack([x, np.ones((len(x), 1), np.float32)])
     share = np.where(y > 0, 0.5 / max(1, (y > 0).sum()), 0.5 / max(1, (y < 0).sum())).astype(np.float32) * len(y)
-    rng, w = np.random.default_rng(seed), np.zeros(x.shape[1], np.float32)
+    rng, w = np.random.default_rng(seed), np.zeros(DIM + 1, np.float32)
     mean, step, t0 = np.zeros_like(w), 0, 20.0
     for epoch in range(epochs):
         order = rng.permutation(len(x))
         for lo in range(0, len(order), 32):
             i = order[lo : lo + 32]
-            wrong = y[i] * (x[i] @ w) < 1
+            some = x.dense(i)
+            wrong = y[i] * (some @ w) < 1
             rate = 1 / (penalty * 1e3 * (t0 + step))
             w *= 1 - rate * penalty
-            w += rate * ((share[i] * y[i] * wrong) @ x[i]) / len(i)
+            w += rate * ((share[i] * y[i] * wrong) @ some) / len(i)
             step += 1
             if epoch >= epochs // 2:
                 mean += w
@@ -115,7 +137,7 @@ class Identifier:
 
     least = 0.0  # the score from which a document counts as identified
 
-    def __init__(self, x: np.ndarray, lang: list[str]) -> None:
+    def __init__(self, x: Sparse, lang: list[str]) -> None:
         self.langs = sorted(set(lang))
         names = np.array(lang)
         of = {k: family(k) for k in self.langs}
@@ -126,8 +148,8 @@ class Identifier:
         self.pair_w = {}
         for members in self.members.values():
             for a, b in itertools.combinations(members, 2):
-                rows = (names == a) | (names == b)
-                self.pair_w[a, b] = linear_svm(x[rows], np.where(names[rows] == a, 1, -1).astype(np.float32))
+                rows = np.nonzero((names == a) | (names == b))[0]
+                self.pair_w[a, b] = linear_svm(x.rows(rows), np.where(names[rows] == a, 1, -1).astype(np.float32))
 
     def predict(self, x: np.ndarray) -> list[tuple[str, float]]:
         """(language, score) for each vector; the score is 0 for a toss-up in either step and nears 1 with the smaller of the two deciding margins."""
@@ -155,24 +177,25 @@ class Identifier:
         return out
 
 
-def least_score(x: np.ndarray, lang: list[str]) -> float:
+def least_score(x: Sparse, lang: list[str]) -> float:
     """The score that all but LOST of the documents have whose language machines trained on the others tell, HIGHEST at most."""
     held = np.arange(len(x)) % 5 == 0
     names = np.array(lang)
     if not held.any() or held.all():
         return 0.0
-    found = Identifier(x[~held], names[~held].tolist()).predict(x[held])
+    machines, test = Identifier(x.rows(np.nonzero(~held)[0]), names[~held].tolist()), np.nonzero(held)[0]
+    found = [r for lo in range(0, len(test), 2048) for r in machines.predict(x.dense(test[lo : lo + 2048])[:, :DIM])]
     right = [score for (k, score), true in zip(found, names[held].tolist(), strict=True) if k == true]
     return min(HIGHEST, 0.9 * float(np.quantile(right, LOST))) if right else 0.0
 
 
 def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE) -> Identifier | None:
-    """An identifier from a sample of about `sample` documents of each language, chosen by a hash of the id; None without any."""
+    """An identifier from a sample of about `sample` documents of each language, SAMPLE_OF_ALL at most, chosen by a hash of the id; None without any."""
     known = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.col(lang_col).alias("lang")).where("text is not null and lang is not null")
     sizes = {r["lang"]: r["n"] for r in known.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}  # a row a language
     if not sizes:
         return None
-    span = 1 << 30
+    span, sample = 1 << 30, min(sample, SAMPLE_OF_ALL // len(sizes))
     limit = F.coalesce(*(F.when(F.col("lang") == k, F.lit(min(span, int(span * sample / n)))) for k, n in sizes.items()))
     drawn = known.where(F.pmod(F.xxhash64("id"), F.lit(span)) < limit).select("text", "lang")
 
@@ -182,13 +205,11 @@ def train(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_
             at = [np.nonzero(x)[0].astype(np.int16) for _, x in rows]
             yield pa.RecordBatch.from_arrays([pa.array([k for k, _ in rows], pa.string()), pa.array([a.tobytes() for a in at], pa.binary()), pa.array([x[a].tobytes() for (_, x), a in zip(rows, at, strict=True)], pa.binary())], ["lang", "at", "x"])
 
-    rows = drawn.mapInArrow(run, "lang string, at binary, x binary").collect()  # about `sample` rows a language
+    rows = drawn.mapInArrow(run, "lang string, at binary, x binary").collect()  # about `sample` rows a language, SAMPLE_OF_ALL in all, each of a few thousand bytes
     rows.sort(key=lambda r: (r["lang"], bytes(r["x"])))
     if not rows:
         return None
-    x = np.zeros((len(rows), DIM), np.float32)
-    for i, r in enumerate(rows):
-        x[i, np.frombuffer(r["at"], np.int16)] = np.frombuffer(r["x"], np.float32)
+    x = Sparse([np.frombuffer(r["at"], np.int16) for r in rows], [np.frombuffer(r["x"], np.float32) for r in rows])
     lang = [r["lang"] for r in rows]
     model = Identifier(x, lang)
     model.least = least_score(x, lang)
@@ -199,8 +220,10 @@ def identify(docs: DataFrame, model: Identifier | None, id_col: str = "doc_id",
     """(id, keep..., lang_pred, score) for every row of docs.
 
     A text that is null or has no letter is `und` with score 0; so is every
-    text if there was nothing to learn from. Repeated rows are predicted each;
-    an empty table gives an empty result; extra columns are ignored.
+    text if there was nothing to learn from. Texts of any length count whole.
+    Languages that tie in votes and margins go by their order. Repeated rows
+    and null ids are predicted each; an empty table gives an empty result;
+    extra columns are ignored.
     """
     fixed = list(dict.fromkeys([id_col, *keep, text_col]))
     passed = [c for c in fixed if c in (id_col, *keep)]
