@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, new_path, release, shared_dir
 
-__all__ = ["fold", "load", "materialize", "new_path", "partitions", "release", "shared_dir", "slices", "slim", "tidy"]
+__all__ = ["fold", "join_uneven", "load", "materialize", "new_path", "partitions", "release", "shared_dir", "slices", "slim", "tidy"]
 
 
 def load(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
@@ -45,3 +45,25 @@ def tidy() -> None:
 def slim(docs: DataFrame, *columns: str) -> DataFrame:
     """Only the named columns, so that extra or clashing ones never travel."""
     return docs.select(*columns)
+
+
+def join_uneven(left: DataFrame, right: DataFrame, key: str, joins: Column, share: int = 1000) -> DataFrame:
+    """left with right's other columns, null where no row matches, however uneven the keys of left are.
+
+    right has one row a key, and in n__ the number of left's rows of it. Keys
+    with more than one in `share` of left's rows are fewer than `share`, and are broadcast; the
+    others meet their rows by a shuffle, in which the rows that do not join
+    (`joins` false or null) or have met already are spread. Rows of left travel once and
+    aren't sorted.
+    """
+    total = left.count()
+    many = F.col("n__") * share > total
+    values = [c for c in right.columns if c not in (key, "n__")]
+    hot = right.where(many).select(F.col(key).alias("key__"), F.struct(*values).alias("hot__"))
+    rest = right.where(~many).select(F.col(key).alias("key__"), F.struct(*values).alias("rest__"))
+    met = left.join(F.broadcast(hot), F.col(key) == F.col("key__"), "left").drop("key__")  # fewer than `share` rows
+    own = F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))
+    spread = met.withColumn("with__", F.when(joins & F.col("hot__").isNull(), F.concat(F.lit("+"), F.col(key))).otherwise(own))
+    rest = rest.withColumn("key__", F.concat(F.lit("+"), F.col("key__"))).hint("shuffle_hash")
+    out = spread.join(rest, F.col("with__") == F.col("key__"), "left")
+    return out.select(*left.columns, *(F.coalesce(F.col("hot__")[c], F.col("rest__")[c]).alias(c) for c in values))
