@@ -39,9 +39,9 @@ BLOCK = 1 << 21
 
 def _parts(data: np.ndarray, most: int, block: int) -> Iterator[tuple[np.ndarray, int]]:
     """A long text in parts cut where words end, and how many of a part's first words the part before it had as its last."""
-    at, carried = 0, 0
+    at, carried, fresh = 0, 0, 0
     while at < len(data):
-        fresh = min(at + block, len(data))
+        fresh = min(fresh + block, len(data))
         while fresh < len(data):  # on to the next byte that is in no word
             rest = np.flatnonzero(WORD[data[fresh : fresh + block]] == 0)
             if len(rest):

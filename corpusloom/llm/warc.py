@@ -116,7 +116,7 @@ class ArchiveWriter:
         self.files.move(self.temp, self.final)
 
 
-def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES) -> DataFrame:
+def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_col: str = "url", html_col: str = "html", least_bytes: int = LEAST_BYTES, file_bytes: int = FILE_BYTES, sample_bytes: int = SAMPLE_BYTES) -> DataFrame:
     """Archives every page under `folder`; the index: (id, record_id, record_type, file, offset, length), a row a record.
 
     A null html is an empty payload. Of the pages whose equal payloads have
@@ -150,7 +150,7 @@ def write_archives(pages: DataFrame, folder: str, id_col: str = "page_id", url_c
                 name, r = page_record(pages_[i], urls[i], b.column(2)[i].as_py(), keys[i], refers[i])
                 waiting.append((pages_[i], name, "response" if refers[i] is None else "revisit", r))
                 held += len(r)
-                if writer or held >= SAMPLE_BYTES:
+                if writer or held >= sample_bytes:
                     flush()
                     if writer.at >= file_bytes:
                         writer.close()

@@ -141,7 +141,7 @@ def pages_of(spark):
 
 def test_archives_round_trip(spark, empty, tmp_path):
     pages, folder = pages_of(spark), str(tmp_path)
-    index = warc.write_archives(pages, folder, file_bytes=20_000)
+    index = warc.write_archives(pages, folder, file_bytes=1_000, sample_bytes=5_000)
     names = index.select("file").distinct()
     assert names.count() > 3  # files are begun anew beyond their size
     read = warc.read_archives(spark, folder, names, with_payload=True)
