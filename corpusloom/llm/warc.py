@@ -91,7 +91,7 @@ class ArchiveWriter:
         self.files.create_dir(base, recursive=True)
         self.name = f"{uuid.uuid4().hex}.warc.zst"
         self.final, self.temp, self.at = f"{base}/{self.name}", f"{base}/.{self.name}", 0
-        self.out = self.files.open_output_stream(self.temp)
+        self.out = self.files.open_output_stream(self.temp, compression=None)  # the name would have it compressed once more
         trained = dictionary(sample)
         if trained:
             trained.precompute_compress(level=LEVEL)
@@ -219,11 +219,11 @@ def _page(headers: dict[str, str], block: bytes) -> tuple:
 def read_archive(folder: str, name: str) -> Iterator[tuple[dict[str, str], bytes]]:
     """(headers, block) of each record of a file, in order."""
     files, base = _open(folder)
-    with files.open_input_stream(f"{base}/{name}") as f:
+    with files.open_input_stream(f"{base}/{name}", compression=None) as f:
         trained, rest = _dictionary_of(f.read(8), f)
         if rest:
             f.close()
-            f = files.open_input_stream(f"{base}/{name}")  # noqa: PLW2901 - a file without a dictionary begins with a record
+            f = files.open_input_stream(f"{base}/{name}", compression=None)  # noqa: PLW2901 - a file without a dictionary begins with a record
         zstd = zstandard.ZstdDecompressor(dict_data=trained) if trained else zstandard.ZstdDecompressor()
         stream = io.BufferedReader(zstd.stream_reader(f, read_across_frames=True), 1 << 16)
         while (found := parse_record(stream)) is not None:
@@ -263,7 +263,7 @@ def read_archives(spark: SparkSession, folder: str, names: DataFrame, id_type: s
 
     kinds = "page string, record_id string, record_type string, url string, refers_to string, payload_bytes long, payload_digest string" + ", payload binary" * with_payload
     n = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = names.select("file").repartition(n, "file").mapInArrow(read, kinds)
+    found = names.select("file").repartitionByRange(n, "file").mapInArrow(read, kinds)
     return found.withColumnRenamed("page", id_col).withColumn(id_col, F.col(id_col).cast(id_type))
 
 
