@@ -651,16 +651,6 @@ def kg_modularity_unweighted(spark, d):
     return graph.modularity(u, labels).select(F.round("modularity", 6).alias("modularity"))
 
 
-@query()
-def kg_betweenness(spark, d):
-    return graph.betweenness(graph.edges(triples(spark, d)))
-
-
-@query()
-def kg_leiden(spark, d):
-    return graph.communities(graph.undirected(graph.edges(triples(spark, d))))
-
-
 # --- learning and annotation ------------------------------------------------------------------
 
 
@@ -689,25 +679,6 @@ def kmeans_pca(spark, d):
 _SEEDS = {f"topic{i}": words for i, words in enumerate((["that", "with"], ["des", "les"], ["der", "die"], ["para", "por"], ["from", "have"], ["est", "dans"], ["und", "nicht"], ["los", "una"], ["this", "not"], ["pour", "qui"]), 1)}
 
 
-@query()
-def seeded_topics(spark, d):
-    dfm = lexicon.trim(_dfm(spark, d)[1], "id", 20, 10, 0.4, 3)
-    return learn.seeded_topics(dfm, "id", _SEEDS, residual=4)
-
-
-@query()
-def mixed_logit(spark, d):
-    c = replies(spark, d).select("link_id", (F.length("body") % 3 == 0).cast("double").alias("y"), F.log1p(F.length("body")).alias("log_length"), (F.col("author") == "assistant").cast("double").alias("assistant"))
-    return learn.mixed_logit(c, "y", ["log_length", "assistant"], "link_id")
-
-
-@query()
-def cascade_logit(spark, d):
-    r = replies(spark, d).select("id", "parent_id", "link_id", (F.length("body") % 3 == 0).cast("double").alias("y"))
-    p = r.select(F.concat(F.lit("t1_"), "id").alias("parent_id"), F.col("y").alias("parent_y"))
-    return learn.mixed_logit(r.join(p, "parent_id"), "y", ["parent_y"], "link_id")
-
-
 @query(f"""WITH {UNITS} SELECT 'units' AS quantity, CAST(count(*) AS DOUBLE) AS value FROM u UNION ALL SELECT 'labelled', CAST(count(quality) AS DOUBLE) FROM u UNION ALL SELECT 'mean_words', round(avg(n_words), 6) FROM u""")
 def key_value_report(spark, d):
     return report.key_values(units(spark, d), {"units": F.count(F.lit(1)), "labelled": F.count("quality"), "mean_words": F.round(F.avg("n_words"), 6)})
