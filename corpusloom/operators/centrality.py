@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, release
+from ..session import materialize
+from ..session import release_in_loop as release
 
 #: Sources that are followed at once; a batch's tables have at most so many rows a node.
 BATCH = 512

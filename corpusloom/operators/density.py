@@ -16,7 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, release
+from ..session import materialize
+from ..session import release_in_loop as release
 from .neighbours import nearest
 from .sampling import ranked
 

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, release
+from ..session import materialize
+from ..session import release_in_loop as release
 from .learn import folds
 
 PENALTIES, SMALLEST = 100, 0.01

@@ -17,7 +17,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..session import materialize, release
+from ..session import materialize
+from ..session import release_in_loop as release
 
 #: An odd number: the middle node is the group's mode.
 NODES = 9
@@ -30,7 +31,7 @@ def _softplus(x: np.ndarray) -> np.ndarray:
 
 
 def group_terms(stats: np.ndarray, u: np.ndarray, log_sd: float, log_weight: np.ndarray, p: int) -> tuple[np.ndarray, ...]:
-    """(log likelihood, gradient, curvature, mode, width) of each group, from its sums at the nodes u (groups, nodes).
+    """(log likelihood, gradient, curvature, mode, the rows' own curvature there) of each group, from its sums at the nodes u (groups, nodes).
 
     stats: (groups, nodes, 1 + p + p * p): log likelihood, its gradient and its curvature in the effects, at each node.
     """
@@ -50,7 +51,7 @@ def group_terms(stats: np.ndarray, u: np.ndarray, log_sd: float, log_weight: np.
     middle = u.shape[1] // 2
     at, bend = u[:, middle], 1 / var - stats[:, middle, 1 + p]
     mode = at + np.clip((stats[:, middle, 1] - at / var) / bend, -2.0, 2.0)
-    return (top + np.log(total))[:, 0], gradient, curvature, mode, 1 / np.sqrt(bend)
+    return (top + np.log(total))[:, 0], gradient, curvature, mode, -stats[:, middle, 1 + p]
 
 
 def mixed_logit(df: DataFrame, y: str, terms: list[str], group: str, nodes: int = NODES, most: int = 40, tolerance: float = 1e-4) -> DataFrame:
@@ -77,17 +78,22 @@ def mixed_logit(df: DataFrame, y: str, terms: list[str], group: str, nodes: int
     sd = np.where(sd > 1e-12, sd, 1.0)
     effects, log_sd = np.zeros(p), math.log(0.7)
     effects[0] = math.log(scale.y / (scale.n - scale.y))
-    groups = materialize(rows.select("g").distinct().select("g", F.lit(0.0).alias("u"), F.lit(math.exp(log_sd)).alias("s")), "mixed-groups")
+    groups = materialize(rows.select("g").distinct().select("g", F.lit(0.0).alias("u"), F.lit(0.0).alias("s")), "mixed-groups")
     width = 1 + p + p * p
     kind = rows.schema["g"].dataType.simpleString()
 
-    def sums(parts: Iterator[pd.DataFrame], b: np.ndarray) -> Iterator[pd.DataFrame]:
+    def at_nodes(d: pd.DataFrame, log_sd: float) -> tuple[np.ndarray, np.ndarray]:
+        """The nodes of each row's group, and their width: s is the curvature of the group's rows at its mode."""
+        wide = 1 / np.sqrt(np.maximum(d["s"].to_numpy(), 0) + math.exp(-2 * log_sd))
+        return d["u"].to_numpy()[:, None] + wide[:, None] * x, wide
+
+    def sums(parts: Iterator[pd.DataFrame], b: np.ndarray, log_sd: float) -> Iterator[pd.DataFrame]:
         for d in parts:
             if not len(d):
                 continue
             own, first = np.unique(d["g"].to_numpy(), return_inverse=True)
             z = np.column_stack([np.ones(len(d)), (d[columns].to_numpy(float).reshape(len(d), -1) - mean) / sd])
-            u = d["u"].to_numpy()[:, None] + d["s"].to_numpy()[:, None] * x
+            u, _ = at_nodes(d, log_sd)
             eta, n, yy = (z @ b)[:, None] + u, d["n"].to_numpy(float)[:, None], d["y"].to_numpy()[:, None]
             q = 1 / (1 + np.exp(-np.clip(eta, -700, 700)))
             out = np.zeros((len(own), nodes, width))
@@ -102,16 +108,16 @@ def mixed_logit(df: DataFrame, y: str, terms: list[str], group: str, nodes: int
         for d in parts:
             if not len(d):
                 continue
-            u = d["u"].to_numpy()[:, None] + d["s"].to_numpy()[:, None] * x
+            u, wide = at_nodes(d, log_sd)
             stats = np.stack(d["v"].to_numpy()).reshape(len(d), nodes, width)
-            like, gradient, curvature, m, s = group_terms(stats, u, log_sd, base + np.log(d["s"].to_numpy())[:, None], p)
+            like, gradient, curvature, m, s = group_terms(stats, u, log_sd, base + np.log(wide)[:, None], p)
             total = np.concatenate([like[:, None], gradient, curvature.reshape(len(d), -1)], axis=1)
             yield pd.DataFrame({"g": d["g"], "u": m, "s": s, "t": total.tolist(), "moved": np.abs(m - d["u"].to_numpy())})
 
     best, step, settled, curvature = -np.inf, np.zeros(p + 1), False, None
     moved = np.inf
     for turn in range(most):
-        at = rows.join(groups, "g").mapInPandas(lambda it, b=effects: sums(it, b), f"g {kind}, v array<double>")
+        at = rows.join(groups, "g").mapInPandas(lambda it, b=effects, l=log_sd: sums(it, b, l), f"g {kind}, v array<double>")
         added = at.groupBy("g").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(nodes * width))).alias("v")).join(groups, "g")
         fresh = materialize(added.mapInPandas(lambda it, l=log_sd: finish(it, l), f"g {kind}, u double, s double, t array<double>, moved double"), "mixed-groups")
         *t, drift = fresh.agg(*(F.sum(F.col("t")[i]) for i in range(1 + (p + 1) + (p + 1) ** 2)), F.max("moved")).first()

@@ -10,7 +10,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..session import materialize, release
+from ..session import materialize
+from ..session import release_in_loop as release
 
 #: Vectors that meet all at once: a leaf of a tree. Larger leaves (of copies, say) are cut by a hash.
 LEAF = 256

@@ -113,7 +113,7 @@ def _documents(spark, d) -> DataFrame:
     """Documents with the label of four levels, surface features, shares of frequent words, and whether the id is held out."""
     frequent = T.FUNCTION_WORDS[:24]
     c = corpus.text_features(comments(spark, d), "body").withColumn("toks", T.tokens(F.col("body")))
-    share = [F.size(F.filter("toks", lambda t, w=w: t == w)) / F.greatest(F.lit(1), F.size("toks")) for w in frequent]
+    share = [T.ratio(T.tokens_in(F.col("toks"), [w]), F.size("toks")) for w in frequent]
     x = c.select("id", F.array(F.log1p("n_words"), "caps_ratio", *(F.log1p(v) for v in SURFACE[2:5]), F.log1p(T.link_count(F.col("body"))), *share).alias("x"))
     truth = units(spark, d).select("id", "truth")
     return x.join(truth, "id").withColumn("test", F.pmod(F.crc32(F.col("id").cast("string").cast("binary")), F.lit(5)) == 0)

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gc
 import tempfile
+import time
 import uuid
 import zipfile
 from pathlib import Path
@@ -75,18 +76,34 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return out
 
 
-def release(*tables: DataFrame) -> None:
-    """Deletes tables that `materialize` wrote, once what was made of them is stored itself.
-
-    The session is also asked to collect what is no longer referred to, by
-    which Spark removes the shuffle files of jobs that are done.
-    """
+def _delete(*tables: DataFrame) -> None:
     for t in tables:
         path = t.__dict__.pop("stored_at", None)
         if path:
             jvm = t.sparkSession._jvm
             there = jvm.org.apache.hadoop.fs.Path(path)
             there.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(there, True)
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes tables that `materialize` wrote, once what was made of them is stored itself.
+
+    The session is also asked to collect what is no longer referred to, by
+    which Spark removes the shuffle files of jobs that are done.
+    """
+    _delete(*tables)
     if tables:
+        _COLLECTED[0] = time.monotonic()
         gc.collect()
         tables[0].sparkSession._jvm.System.gc()
+
+
+_COLLECTED = [0.0]
+
+
+def release_in_loop(*tables: DataFrame, pause: float = 20.0) -> None:
+    """As `release`, for loops of short rounds: the session is asked to collect once in so many seconds."""
+    if time.monotonic() - _COLLECTED[0] > pause:
+        release(*tables)
+    else:
+        _delete(*tables)
