@@ -145,11 +145,11 @@ class Frame:
     canvas: np.ndarray  # height x width x 4, as shown
 
 
-def read_gif(data: bytes, pixels: int = PIXELS, all_pixels: int = ALL_PIXELS) -> Iterator[Frame]:
+def read_gif(data: bytes, pixels: int = PIXELS, all_pixels: int | None = ALL_PIXELS) -> Iterator[Frame]:
     """The frames of a GIF in order; stops at the trailer or where the data ends.
 
     A ValueError for data that are no GIF, and for one that declares a screen
-    or frame of more pixels than `pixels`, or frames of more than `all_pixels`.
+    or frame of more pixels than `pixels`, or frames of more than `all_pixels` (None: no limit).
     """
     if data[:6] not in (b"GIF87a", b"GIF89a"):
         raise ValueError("no GIF")
@@ -195,7 +195,7 @@ def read_gif(data: bytes, pixels: int = PIXELS, all_pixels: int = ALL_PIXELS) ->
             size = data[at]
             at += 1
             painted += max(w * h, wide * high)
-            if w * h > pixels or painted > all_pixels or not 1 <= size <= 8:
+            if w * h > pixels or (all_pixels is not None and painted > all_pixels) or not 1 <= size <= 8:
                 raise ValueError("a frame beyond the limits")
             samples = lzw_decode(joined(), size, w * h).ljust(w * h, b"\0")
             if packed & 0x40:

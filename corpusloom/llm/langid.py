@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import itertools
 from collections.abc import Iterator
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
@@ -268,7 +269,7 @@ def keep_identified(docs: DataFrame, model: Identifier | None, text_col: str = "
                 kept, texts = np.zeros(b.num_rows, bool), b.column(at).to_pylist()
                 vectors = [(i, x) for i, t in enumerate(texts) if t and (x := ngrams(t)) is not None]
                 if vectors:
-                    letters = [min(LETTERS, sum(map(str.isalpha, texts[i][: 8 * LETTERS]))) / LETTERS for i, _ in vectors]
+                    letters = [sum(1 for _ in islice(filter(str.isalpha, texts[i]), LETTERS)) / LETTERS for i, _ in vectors]  # wherever in the text they are
                     kept[[i for i, _ in vectors]] = [s >= floor * k for (_, s), k in zip(m.predict(np.array([x for _, x in vectors])), letters, strict=True)] if m else True
                 yield b.filter(pa.array(kept))
 

@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import load, slices, slim
-from .gif import read_gif, write_gif
+from .gif import ALL_PIXELS, read_gif, write_gif
 
 UNIT = 64
 #: Bytes that a batch of results holds, or one row.
@@ -55,12 +55,13 @@ def colour_histogram(canvas: np.ndarray) -> list[int]:
     return [*np.bincount(cell[seen], minlength=64).tolist(), int((~seen).sum())]
 
 
-def decode_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = ()) -> DataFrame:
+def decode_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "media", keep: tuple[str, ...] = (), all_pixels: int | None = ALL_PIXELS) -> DataFrame:
     """(id, keep..., media, frames): the timed frames of each GIF, with samples and colour histograms.
 
     Null media, bytes that are no GIF, and a GIF that declares more pixels
     than the limits of `gif` have null frames; a GIF without images has an
-    empty list. Repeated rows and null ids are rows each; an empty table gives
+    empty list. all_pixels limits all frames of a GIF together; None is for
+    media that this library wrote, which hold as many frames as their texts need. Repeated rows and null ids are rows each; an empty table gives
     an empty result; of other columns only `keep` are passed on.
     """
     fixed = [id_col, *keep, media_col]
@@ -68,7 +69,7 @@ def decode_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "medi
 
     def frames(data: bytes | None) -> list[dict] | None:
         try:
-            return None if data is None else [{n: getattr(f, n) for n in ("start_ms", "delay_ms", "left", "top", "width", "height", "disposal", "transparent", "samples")} | {"histogram": colour_histogram(f.canvas)} for f in read_gif(data)]
+            return None if data is None else [{n: getattr(f, n) for n in ("start_ms", "delay_ms", "left", "top", "width", "height", "disposal", "transparent", "samples")} | {"histogram": colour_histogram(f.canvas)} for f in read_gif(data, all_pixels=all_pixels)]
         except (ValueError, IndexError, struct_error):
             return None
 
@@ -88,7 +89,7 @@ def decode_media(rows: DataFrame, id_col: str = "doc_id", media_col: str = "medi
 
 def op10_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     stored = encode_text_media(load(spark, sf_dir, "documents"))
-    read = decode_media(stored, keep=("n_bytes",))
+    read = decode_media(stored, keep=("n_bytes",), all_pixels=None)  # written above
     payload = read.withColumn("payload", F.expr("aggregate(frames, cast('' as binary), (a, f) -> concat(a, f.samples))"))
     total = F.expr("transform(sequence(0, 64), i -> aggregate(frames, 0L, (a, f) -> a + element_at(f.histogram, int(i) + 1)))")
     return payload.select(

@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import load, new_path, partitions, slices, slim
 from .mph import MinimalPerfectHash, fingerprint, probe
-from .tokens import default_path, encoded
+from .tokens import default_path, encoded, vocabulary
 
 MAGIC = b"CLTOKEN1"
 END_ID = 0
@@ -160,7 +160,7 @@ class WholeShard(Shard):
         return out
 
 
-def write_store(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shards: int | None = None, vocabulary: int = 50_257) -> dict:
+def write_store(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", end_id: int = END_ID, shards: int | None = None) -> dict:
     """Writes the texts' ids, each followed by the end id, and returns the manifest, which it also stores.
 
     Keys are 64-bit integers. Documents of equal keys stay one after another,
@@ -170,7 +170,7 @@ def write_store(docs: DataFrame, folder: str, tokenizer: str, id_col: str = "doc
     """
     spark = docs.sparkSession
     shards = shards or partitions(spark)
-    width = 2 if max(vocabulary, end_id + 1) <= 1 << 16 else 4
+    width = 2 if max(vocabulary(tokenizer), end_id + 1) <= 1 << 16 else 4
     rows = slim(docs, id_col, text_col)
     bounds = np.unique(rows.approxQuantile(id_col, [i / shards for i in range(1, shards)], 0.1 / shards)) if shards > 1 else np.zeros(0)
     bounds = bounds.astype(np.int64)

@@ -85,6 +85,11 @@ class Encoder(dict):
         return b"".join(map(self.__getitem__, PIECES.findall(text)))
 
 
+def vocabulary(path: str) -> int:
+    """One more than the file's largest id, added tokens included."""
+    return 1 + max(encoder(path).tokenizer.get_vocab(with_added_tokens=True).values())
+
+
 def encoded(texts: list[str], path: str) -> Iterator[tuple[int, bytes]]:
     """(position, ids) of each text, in order; a text that is the same as the one before isn't worked off again."""
     e, last, ids = encoder(path), None, b""

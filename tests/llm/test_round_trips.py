@@ -186,3 +186,43 @@ def test_archive_of_another_payload_is_refused(tmp_path):
     (_, _), (headers, block) = list(warc.read_archive(str(tmp_path), w.name))
     with pytest.raises(ValueError, match="digest"):
         warc._page(headers, block)
+
+
+def test_media_of_any_number_of_frames(spark, data):
+    from corpusloom.llm import media
+
+    docs = spark.createDataFrame([(1, "some words " * 20_000), (2, "short")], "doc_id long, text string")
+    stored = media.encode_text_media(docs)
+    assert {r.doc_id: r.frames is None for r in media.decode_media(stored, all_pixels=70_000).collect()} == {1: True, 2: False}
+    whole = {r.doc_id: b"".join(bytes(f.samples) for f in r.frames) for r in media.decode_media(stored, all_pixels=None).collect()}
+    assert whole[1].rstrip(b"\0") == b"some words " * 20_000
+
+
+def test_language_stage_reads_behind_long_prefixes(spark):
+    from corpusloom.llm import langid
+
+    class Toss:
+        least = 0.3
+
+        def predict(self, x):
+            return [("en", 0.1)] * len(x)
+
+    rows = [(1, "7 " * 3000 + "bcd fgh jkl " * 100), (2, "!" * 2000 + "bcdfg " * 400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert langid.keep_identified(docs, Toss(), least=0.3).count() == 0
+
+
+def test_ids_beyond_two_bytes(spark, tmp_path):
+    import json
+
+    from corpusloom.llm import token_store, tokens
+
+    assert tokens.vocabulary(tokens.default_path()) <= 1 << 16
+    with open(tokens.default_path(), encoding="utf-8") as f:
+        file = json.load(f)
+    word = min(file["model"]["vocab"], key=lambda w: (w != "a", w))
+    file["model"]["vocab"][word] = 70_000
+    (tmp_path / "large.json").write_text(json.dumps(file))
+    assert tokens.vocabulary(str(tmp_path / "large.json")) == 70_001
+    manifest = token_store.write_store(spark.createDataFrame([(5, "a")], "doc_id long, text string"), str(tmp_path / "store"), str(tmp_path / "large.json"))
+    assert token_store.lookup(manifest, 5).tolist() == [70_000, 0]
