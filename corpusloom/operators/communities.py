@@ -25,7 +25,7 @@ from .sampling import ranked
 LEAST_GAIN = 1e-6
 EPS = 1e-9
 #: The share of the nodes that may move in one round, and how few wishes are met apart at once.
-SHARE, FEW = 0.7, 8
+SHARE, FEW = 0.5, 2
 
 
 def _uniform(seed: int, *parts: Column | str | int) -> Column:
