@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import centrality, communities, corpus, density, dictionaries, elastic, graph, layout, mixed, topics
+from ..operators import centrality, communities, corpus, density, dictionaries, elastic, embed, graph, layout, minibatch, mixed, neighbours, topics
+from ..session import materialize
 from .adapters import TRIPLES, comments, replies, table, triples, units
 from .catalogue import _SEEDS, TOK, _dfm, in_list, lexicon, query
 
@@ -54,6 +55,33 @@ def umap_layout(spark, d):
     return x.select("vec_id", F.col("at")[0].alias("x"), F.col("at")[1].alias("y"))
 
 
+# --- embeddings of texts, and clusters of them
+
+
+def _text_vectors(spark, d) -> DataFrame:
+    return embed.text_vectors(_dfm(spark, d)[1], "id").rows
+
+
+@query()
+def text_embeddings(spark, d):
+    """Latent semantic vectors of whole documents; a document without a word has none."""
+    return comments(spark, d).select("id").join(_text_vectors(spark, d), "id", "left")
+
+
+@query()
+def text_neighbours(spark, d):
+    """The five documents nearest to each in meaning."""
+    x = neighbours.nearest(_text_vectors(spark, d), "id", "embedding", 5, metric="cosine")
+    return x.select("id", "nbr", "rank", "dist")
+
+
+@query()
+def minibatch_clusters(spark, d):
+    """Fourteen clusters of the documents' vectors; none for a document without a word."""
+    x = materialize(text_embeddings(spark, d), "text-vectors")
+    return minibatch.fit(x, "id", "embedding", 14).assign(x, "embedding").select("id", "cluster", "distance")
+
+
 # --- models
 
 
