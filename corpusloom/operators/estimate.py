@@ -123,12 +123,16 @@ def normalised_mutual_information(cells: DataFrame, a: str, b: str) -> DataFrame
 
 
 def normal_tail(z: Column) -> Column:
-    """The two-sided tail of the standard normal distribution, by a rational approximation (error below 2e-7)."""
-    # Coefficients of the approximation of the complementary error function
-    p, a = 0.3275911, [0.254829592, -0.284496736, 1.421413741, -1.453152027, 1.061405429]
+    """The two-sided tail of the standard normal distribution, to a relative error below 1e-10 however small it is (the least doubles apart).
+
+    A power series near zero, a continued fraction beyond. A null stays null.
+    """
     x = F.abs(z) / math.sqrt(2)
-    t = 1 / (1 + p * x)
-    return reduce(lambda s, c: (s + F.lit(c)) * t, a[::-1], F.lit(0.0)) * F.exp(-x * x)
+    down = F.sequence(F.lit(60), F.lit(1))
+    series = F.aggregate(down, F.lit(1.0), lambda s, k: 1 + 2 * x * x / (2 * k + 1) * s)
+    fraction = F.aggregate(down, F.lit(0.0), lambda s, k: k / 2 / (x + s))
+    bell = F.exp(-x * x) / math.sqrt(math.pi)
+    return F.when(x < 2, 1 - 2 * x * bell * series).otherwise(bell / (x + fraction))
 
 
 def removal_bound(observed: Column, removed: Column) -> Column:

@@ -42,11 +42,14 @@ def alignment(df: DataFrame, row: str, column: str, levels: list[str]) -> DataFr
     return df.where(F.col(column).isNotNull()).groupBy(row).agg(*(F.count_if(F.col(column) == v).alias(v) for v in levels))
 
 
-def headline_checks(df: DataFrame, values: dict[str, Column], stated: dict[str, float], tolerance: float) -> DataFrame:
-    """(headline, derived, stated, holds): stated figures against figures derived anew in one pass, within a share of the stated."""
-    told = F.create_map(*(F.lit(x) for kv in stated.items() for x in kv))
-    x = key_values(df, values).select(F.col("quantity").alias("headline"), F.col("value").alias("derived"), told[F.col("quantity")].alias("stated"))
-    return x.withColumn("holds", F.abs(F.col("derived") - F.col("stated")) <= tolerance * F.abs("stated"))
+def headline_checks(df: DataFrame, values: dict[str, Column], stated: DataFrame, tolerance: float) -> DataFrame:
+    """(headline, derived, stated, holds): figures derived in one pass, against a table (quantity, value) of stated ones, within a share of these.
+
+    A figure that nothing states, or that the rows do not give, has a null and holds not.
+    """
+    told = stated.select(F.col("quantity").alias("headline"), F.col("value").alias("stated"))
+    x = key_values(df, values).select(F.col("quantity").alias("headline"), F.col("value").alias("derived")).join(told, "headline", "left")
+    return x.withColumn("holds", F.coalesce(F.abs(F.col("derived") - F.col("stated")) <= tolerance * F.abs("stated"), F.lit(False)))
 
 
 def top_rows(df: DataFrame, group: str, value: str, tie: str, k: int) -> DataFrame:

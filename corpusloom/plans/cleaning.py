@@ -213,6 +213,15 @@ def row_filters(spark, d):
     return e.crossJoin(F.broadcast(last)).where((ym <= F.col("last")) & corpus.is_finite(x) & F.col("event_type").rlike("^(click|view)")).select(F.col("event_id").alias("id"), "value")  # one row
 
 
+@query("SELECT o_orderkey AS id, strftime(o_orderdate, '%Y-%m') AS ym FROM orders WHERE strftime(o_orderdate, '%Y-%m') <= (SELECT strftime(max(o_orderdate) - INTERVAL 1 YEAR, '%Y-%m') FROM orders)")
+def month_bound(spark, d):
+    """Orders up to the month a year before the last one, by the month as text."""
+    o = table(spark, d, "orders")
+    last = o.agg(F.date_format(F.add_months(F.max("o_orderdate").cast("date"), -12), "yyyy-MM").alias("last"))
+    ym = F.date_format("o_orderdate", "yyyy-MM")
+    return o.crossJoin(F.broadcast(last)).where(ym <= F.col("last")).select(F.col("o_orderkey").alias("id"), ym.alias("ym"))  # one row
+
+
 @query("SELECT doc_id AS id FROM documents WHERE length(text) >= 80")
 def length_filter(spark, d):
     return comments(spark, d).where(F.length("body") >= 80).select("id")

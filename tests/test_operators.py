@@ -124,8 +124,9 @@ def test_bootstrap_and_tails(spark):
     draws = estimate.bootstrap(e, "e", "id", 400, 200).agg(F.avg("correction").alias("m"), F.stddev("correction").alias("s")).first()
     assert abs(draws.m - 2.99) < 0.05 and abs(draws.s - 2 / 20) < 0.02
     assert estimate.bootstrap(e, "e", "id", 400, 50, stratum="s").count() == 50
-    for z in (0.0, 0.5, 1.96, 4.0):
-        assert abs(one(spark, str(z), lambda c: estimate.normal_tail(c.cast("double"))) - math.erfc(z / math.sqrt(2))) < 1e-6
+    for z in (0.0, 0.5, 1.96, 2.8, 2.9, 4.0, 8.0, 12.0, -12.0, 30.0):
+        assert math.isclose(one(spark, str(z), lambda c: estimate.normal_tail(c.cast("double"))), math.erfc(abs(z) / math.sqrt(2)), rel_tol=1e-10)
+    assert one(spark, None, lambda c: estimate.normal_tail(c.cast("double"))) is None
 
 
 def test_annotation(spark):
