@@ -589,9 +589,19 @@ def json_records_validate(spark, d):
     return e.select(F.col("event_id").alias("id"), F.col("r.k").alias("k"), annotate.first_fault(rules).alias("reason"))
 
 
-@query(rf"""WITH x AS (SELECT i.item_id AS id, i.text AS t, d.text AS s FROM benchmark i JOIN documents d ON d.doc_id = i.item_id) SELECT id, list_bool_or(list_transform(list_filter(string_split(trim(regexp_replace(lower(substring(t, 1, 30)), '[^a-z0-9 ]+', ' ', 'g')), ' '), lambda w: length(w) >= 3 AND w NOT IN {in_list(graph.GROUNDING_STOP)}), lambda w: contains(' ' || regexp_replace(regexp_replace(lower(s), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g') || ' ', ' ' || w))) AS grounded FROM x""")
+def _alias_sql() -> str:
+    """Whether an alias of entity t is in the padded text s, as SQL."""
+    squash = "trim(regexp_replace(regexp_replace('{}', '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g'))"
+    held = lambda a: "contains(s, ' ' || " + squash.format(a.replace("'", "''")) + " || ' ')"
+    return " OR ".join(f"(lower(trim(t)) = '{k}' AND ({' OR '.join(held(a) for a in v)}))" for k, v in graph.ALIASES.items())
+
+
+@query(rf"""WITH x AS (SELECT i.item_id AS id, i.text AS t, ' ' || regexp_replace(regexp_replace(lower(d.text), '[^a-z0-9 ]+', ' ', 'g'), ' +', ' ', 'g') || ' ' AS s FROM benchmark i JOIN documents d ON d.doc_id = i.item_id),
+y AS (SELECT *, list_filter(string_split(regexp_replace(lower(t), '[^a-z0-9 ]+', ' ', 'g'), ' '), lambda w: length(w) > 0) AS words FROM x), z AS (SELECT *, list_filter(words, lambda w: length(w) >= 3 AND w NOT IN {in_list(graph.GROUNDING_STOP)}) AS strong FROM y)
+SELECT id, {_alias_sql()} OR coalesce(list_bool_or(list_transform(if(len(strong) > 0, strong, words), lambda w: contains(s, ' ' || w))), false) AS grounded FROM z""")
 def groundedness(spark, d):
-    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.substring("text", 1, 30).alias("entity"))
+    """Whether a word of an item's whole text, or an alias of it, begins in the document of its id."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("id"), F.col("text").alias("entity"))
     x = b.join(comments(spark, d).select("id", "body"), "id")
     return x.select("id", graph.grounded(F.col("entity"), F.col("body")).alias("grounded"))
 
