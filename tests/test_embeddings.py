@@ -111,3 +111,12 @@ def test_clusters_of_few_rows_and_of_none(spark):
     assert {r.distance for r in minibatch.fit(df, "id", "v", 3).assign(df, "v").collect()} == {0.0}
     empty = df.limit(0)
     assert minibatch.fit(empty, "id", "v", 3).assign(empty, "v").count() == 0
+
+
+def test_vectors_of_few_directions_at_a_time(spark):
+    """A bound on the memory changes nothing, and what a round puts out is the terms' vectors once a task, not once a block of documents."""
+    dfm = _dfm(spark, _texts(60, 5))
+    one, many = (embed.text_vectors(dfm, "id", dims=5, extra=4, memory=m) for m in (embed.MEMORY, 60_000))
+    assert np.allclose(one.singular, many.singular)
+    a, b = ({r.id: r.embedding for r in x.rows.collect()} for x in (one, many))
+    assert sorted(a) == list(range(60)) and all(np.allclose(a[i], b[i], atol=1e-6) for i in a)
