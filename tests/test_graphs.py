@@ -150,3 +150,36 @@ def test_layout_keeps_neighbourhoods(spark):
 
 def test_curve_is_that_of_the_usual_distances():
     assert layout.curve(1.0, 0.1) == pytest.approx((1.577, 0.895), abs=0.01)  # the published fit for these two
+
+
+def test_betweenness_of_twins(spark, monkeypatch):
+    """Nodes alike count as one node several times: exact, twins of the source and one-way twins included, in few tables."""
+    from corpusloom.operators import centrality
+
+    rng = random.Random(5)
+    pairs = [(f"l{i}", f"r{j}") for i in range(30) for j in range(4)]
+    pairs += [(b, a) for a, b in pairs] + [(f"s{i}", "l0") for i in range(9)] + [("r1", f"t{i}") for i in range(7)] + [("t0", "t0"), ("z", "z")]
+    odd = [(f"o{rng.randrange(12)}", f"o{rng.randrange(12)}") for _ in range(30)] + [("o1", "s2"), ("t3", "o4")]
+    made, write = [], centrality.materialize
+    monkeypatch.setattr(centrality, "materialize", lambda df, tag: (made.append(tag), write(df, tag))[1])
+    for rows, most in ((pairs, 40), (pairs + odd, 400)):
+        e = spark.createDataFrame(rows, "subject string, object string")
+        del made[:]
+        got = {r.node: r.betweenness for r in centrality.betweenness(e, batch=8).collect()}
+        want = {n: 0.0 for p in rows for n in p}
+        near = {n: {b for a, b in rows if a == n and b != n} for n in want}
+        for s in want:  # plain Brandes
+            dist, paths, order = {s: 0}, {s: 1.0}, [s]
+            for x in order:
+                for y in sorted(near[x]):
+                    if y not in dist:
+                        dist[y], paths[y] = dist[x] + 1, 0.0
+                        order.append(y)
+                    if dist[y] == dist[x] + 1:
+                        paths[y] += paths[x]
+            flow = dict.fromkeys(order, 0.0)
+            for x in reversed(order):
+                flow[x] = sum(paths[x] / paths[y] * (1 + flow[y]) for y in near[x] if dist[y] == dist[x] + 1)
+                want[x] += flow[x] if x != s else 0
+        assert got == pytest.approx(want)
+        assert len(made) < most
