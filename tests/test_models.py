@@ -31,6 +31,24 @@ def test_seeded_topics_are_recovered(spark):
     assert topics.seeded_lda(dfm.limit(0), "id", {"a": ["b"]}).topics().count() == 0
 
 
+def test_seeded_topics_at_any_partitioning(spark):
+    """The same topics however the rows are dealt, and a sweep writes topic counts by document and term, not the cells."""
+    rng = np.random.default_rng(4)
+    rows = [(d, f"w{t}", int(n)) for d in range(90) for t, n in enumerate(rng.poisson(0.6, 40)) if n]
+    dfm = spark.createDataFrame(rows, "id long, term string, n int")
+    found = []
+    for parts, block in (("2", 10**6), ("7", 30)):
+        old = spark.conf.get("spark.sql.shuffle.partitions")
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+        try:
+            m = topics.seeded_lda(dfm, "id", {"a": ["w1", "w2"], "b": ["w3"]}, residual=2, sweeps=3, block=block)
+            found.append(sorted(map(tuple, m.state.select("doc", "term", "n", "z0", "z1", "z2", "z3").collect())))
+        finally:
+            spark.conf.set("spark.sql.shuffle.partitions", old)
+    assert found[0] == found[1]
+    assert [r[:3] for r in found[0]] == sorted(rows)
+
+
 def _plain_likelihood(rows, effects, log_sd):
     """The marginal log likelihood by a fine sum over each group's intercept."""
     u = np.linspace(-12, 12, 4001)
