@@ -28,7 +28,10 @@ def reject_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) keeps the document of the smallest id."""
+    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more) keeps the document of the smallest id.
+
+    Candidates are SimHash fingerprints linked by Golay-code keys, and minima of shingle sets; each is verified exactly.
+    """
     return similar.keep_one(docs)
 
 

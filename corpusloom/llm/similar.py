@@ -1,6 +1,8 @@
 """Near-dedup by similarity: groups of texts whose word shingles overlap by a given share.
 
-Candidates come from minima of the shingle sets under many hash functions: two
+Candidates come from two sources. SimHash fingerprints within two bits of each other,
+found by Golay-code keys (`simhash`), make pairs of nearly equal texts. For the
+rest there are minima of the shingle sets under many hash functions: two
 sets have the same minimum as often as their Jaccard similarity says, however
 the texts differ (words here and there, or blocks cut off, put in or replaced).
 A band is a few minima together; texts that share one band at least meet in
@@ -30,6 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from . import simhash
 from .common import materialize, partitions, release, slices, slim
 from .mph import mix
 from .simhash import components, skewed_join
@@ -267,6 +270,19 @@ def _shingle_sets(texts: DataFrame, distinct: DataFrame, wanted: DataFrame, shin
     return held.mapInArrow(sets, "h long, n long, s binary").dropDuplicates(["h"])
 
 
+def _fingerprint_links(texts: DataFrame, distinct: DataFrame) -> DataFrame:
+    """(a, b): candidates by SimHash. Texts of one fingerprint meet its first text; first texts meet where Golay keys link their fingerprints (`simhash.links`)."""
+    one = texts.join(distinct.select("h", F.col("row.id").alias("of"), F.col("row.r").alias("of_r")), texts["id"].eqNullSafe(F.col("of")) & (texts["r"] == F.col("of_r"))).select("h", "text")
+    marks = materialize(simhash.fingerprints(one, "h", "text").groupBy("h").agg(F.min("fp").alias("fp")), "fingerprints")
+    first = materialize(marks.groupBy("fp").agg(F.min("h").alias("first")), "first-texts")
+    end = lambda x: first.select(F.col("fp").alias(x), F.col("first").alias(f"h{x}"))
+    near = simhash.links(first.select("fp")).join(end("a"), "a").join(end("b"), "b").select(F.greatest("ha", "hb").alias("a"), F.least("ha", "hb").alias("b"))
+    same = marks.join(first, "fp").where("h <> first").select(F.col("h").alias("a"), F.col("first").alias("b"))
+    out = materialize(near.union(same), "fingerprint-links")
+    release(marks, first)
+    return out
+
+
 def _verified(edges: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The edges whose texts' shingle sets overlap enough."""
 
@@ -343,12 +359,15 @@ def _rooted(docs: DataFrame, id_col: str, text_col: str, similarity: float, shin
     found = signed.repartition("key").sortWithinPartitions("key", "h").mapInArrow(lambda batches: _candidates(batches, least, ROWS * bands), "a long, b long, key long")
     found = materialize(found.distinct(), "candidates")
     release(shared)
-    edges, opened = found.where("key is null").select("a", "b"), found.where("key is not null").select("key", F.col("a").alias("h"))
-    sets = materialize(_shingle_sets(texts, distinct, found.select(F.explode(F.array("a", "b")).alias("h")).where("h is not null").distinct(), shingle), "shingle-sets")
+    marked, opened = _fingerprint_links(texts, distinct), found.where("key is not null").select("key", F.col("a").alias("h"))
+    edges = materialize(found.where("key is null").select("a", "b").union(marked).distinct(), "candidate-edges")
+    release(marked)
+    wanted = edges.select(F.explode(F.array("a", "b")).alias("h")).union(opened.select("h")).distinct()
+    sets = materialize(_shingle_sets(texts, distinct, wanted, shingle), "shingle-sets")
     verified = materialize(_verified(edges, sets, similarity), "verified")
     roots = components(verified)
     merged = materialize(_across(opened, roots, sets, similarity), "merged")
-    release(verified, found, sets)
+    release(verified, found, edges, sets)
     tops = components(merged)
     of = distinct.select("h", "row").join(roots, F.col("h") == roots.node, "left").select("h", "row", F.coalesce("root", "h").alias("near"))
     tops = tops.select(F.col("node").alias("near"), F.col("root").alias("top"))

@@ -811,3 +811,18 @@ def test_language_stage_rejects_toss_ups(spark, data):
     assert langid.keep_identified(table, model).count() <= 0.25 * len(odd)
     known = docs.where("text rlike '[a-z]'")
     assert langid.keep_identified(known, model).count() >= 0.985 * known.count()
+
+
+def test_near_duplicates_meet_by_fingerprints(spark):
+    """The stage's candidates hold the links of the SimHash fingerprints, found by Golay keys."""
+    rng = np.random.default_rng(8)
+    texts = [" ".join(f"w{i}" for i in rng.integers(0, 5000, 1500)) for _ in range(12)]
+    texts += [t.rsplit(" ", 1)[0] + " other" for t in texts[:6]] + ["  " + texts[7].upper()]
+    h = [similar.text_key(similar.words_of(t)) for t in texts]
+    rows = spark.createDataFrame(list(enumerate(texts)), "id long, text string").select("id", F.xxhash64("text").alias("r"), "text")
+    names = spark.createDataFrame([(i, k) for i, k in enumerate(h)], "id long, h long")
+    distinct = rows.join(names, "id").groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("bare"), "id", "r")).alias("row"))
+    got = {frozenset(r) for r in similar._fingerprint_links(rows, distinct).collect()}
+    fp = {k: simhash.fingerprint(t) for k, t in zip(h, texts, strict=True)}
+    want = {frozenset(p) for p in itertools.combinations(set(h), 2) if (fp[p[0]] ^ fp[p[1]]).bit_count() <= 2}
+    assert want and got == want
