@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -25,8 +26,8 @@ def _top(pairs: DataFrame, k: int) -> DataFrame:
     return near.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
 
 
-def _meet(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
-    """The k nearest of each among these, by Euclidean distance, themselves left out."""
+def _meet(ids: np.ndarray, x: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(id, nbr, dist): the k nearest of each among these, by Euclidean distance, themselves left out."""
     sq = (x * x).sum(axis=1)
     d = np.maximum(sq[:, None] + sq[None, :] - 2 * (x @ x.T), 0)
     np.fill_diagonal(d, np.inf)
@@ -36,7 +37,37 @@ def _meet(ids: np.ndarray, x: np.ndarray, k: int) -> pd.DataFrame:
     row = np.repeat(np.arange(len(ids)), near.shape[1])
     dist = np.sqrt(((x[row] - x[near.ravel()]) ** 2).sum(axis=1))  # without the cancellation above
     ok = np.isfinite(d[row, near.ravel()])
-    return pd.DataFrame({"id": ids[row][ok], "nbr": ids[near.ravel()][ok], "dist": dist[ok]})
+    return ids[row][ok], ids[near.ravel()][ok], dist[ok]
+
+
+def _meet_sorted(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """(id, nbr, dist) of rows (g, id, v) sorted by g: those of one g meet; a group that goes on in the next batch is carried over."""
+
+    def out(g: np.ndarray, ids: np.ndarray, x: np.ndarray) -> pa.RecordBatch:
+        cuts = np.concatenate([[0], np.flatnonzero(g[1:] != g[:-1]) + 1, [len(g)]])
+        met = [_meet(ids[lo:hi], x[lo:hi], k) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(np.concatenate([m[i] for m in met])) for i in range(3)], ["id", "nbr", "dist"])
+
+    held = None
+    for b in batches:
+        if not b.num_rows:
+            continue
+        now = (b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).flatten().to_numpy().reshape(b.num_rows, -1))
+        if held is not None:
+            now = tuple(np.concatenate(pair) for pair in zip(held, now, strict=True))
+        at = int(np.searchsorted(now[0], now[0][-1]))  # where the last group begins
+        if at:
+            yield out(*(c[:at] for c in now))
+        held = tuple(c[at:] for c in now)
+    if held is not None:
+        yield out(*held)
+
+
+def _met(rows: DataFrame, k: int) -> DataFrame:
+    """(id, nbr, dist): the k nearest of each row (g, id, v) within its group g; a task works off many groups."""
+    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # few bytes, but work: not to be merged into few tasks
+    dealt = rows.select("g", "id", "v").repartition(parts, "g").sortWithinPartitions("g", "id")
+    return dealt.mapInArrow(lambda batches: _meet_sorted(batches, k), "id long, nbr long, dist double")
 
 
 def nearest(df: DataFrame, key: str, vector: str, k: int, metric: str = "euclidean", trees: int = TREES, rounds: int = 2, leaf: int = LEAF, seed: int = 11) -> DataFrame:
@@ -48,7 +79,7 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, metric: str = "euclide
     Each tree cuts the space by the signs of random projections about their mean, so deep that
     a leaf has about `leaf` vectors, which meet all at once. Then, in each
     round, the neighbours of a vector and some that it is a neighbour of meet
-    each other. A task holds one leaf or one neighbourhood.
+    each other. A task works off its leaves or neighbourhoods one by one.
     """
     spark = df.sparkSession
     if metric not in ("euclidean", "cosine"):
@@ -89,13 +120,12 @@ def nearest(df: DataFrame, key: str, vector: str, k: int, metric: str = "euclide
     coded = rows.mapInPandas(code, "id long, v array<double>, tree int, leaf long")
     sizes = rows.mapInPandas(code, "id long, v array<double>, tree int, leaf long").groupBy("tree", "leaf").agg(F.count(F.lit(1)).alias("n"))
     cut = coded.join(sizes, ["tree", "leaf"]).withColumn("part", F.pmod(F.xxhash64("id", "tree"), F.ceil(F.col("n") / leaf)))
-    meet = lambda p: _meet(p["id"].to_numpy(), np.stack(p["v"].to_numpy()), k)
-    best = materialize(_top(cut.groupBy("tree", "leaf", "part").applyInPandas(meet, "id long, nbr long, dist double"), k), "neighbours")
+    best = materialize(_top(_met(cut.withColumn("g", F.xxhash64("tree", "leaf", "part")), k), k), "neighbours")
     for r in range(rounds if n > leaf else 0):
         back = Window.partitionBy("nbr").orderBy(F.xxhash64("id", F.lit(r)))
         some = best.withColumn("r", F.row_number().over(back)).where(F.col("r") <= k)
         at = best.select(F.col("id").alias("middle"), F.col("nbr").alias("id")).unionByName(some.select(F.col("nbr").alias("middle"), "id")).unionByName(rows.select(F.col("id").alias("middle"), "id")).distinct()
-        found = at.join(rows, "id").groupBy("middle").applyInPandas(meet, "id long, nbr long, dist double")
+        found = _met(at.join(rows, "id").withColumnRenamed("middle", "g"), k)
         before, best = best, materialize(_top(best.select("id", "nbr", "dist").unionByName(found), k), "neighbours")
         release(before)
     release(rows)

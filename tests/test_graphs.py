@@ -183,3 +183,20 @@ def test_betweenness_of_twins(spark, monkeypatch):
                 want[x] += flow[x] if x != s else 0
         assert got == pytest.approx(want)
         assert len(made) < most
+
+
+def test_neighbourhoods_meet_across_batches():
+    """A task works off many groups, those that span batches included; what meets is what meets group by group."""
+    import pyarrow as pa
+
+    rng = np.random.default_rng(6)
+    g, x = np.sort(rng.integers(0, 9, 60)), rng.normal(size=(60, 3))
+    ids = rng.permutation(60)
+    rows = lambda lo, hi: pa.RecordBatch.from_arrays([pa.array(g[lo:hi]), pa.array(ids[lo:hi]), pa.array(x[lo:hi].tolist(), pa.list_(pa.float64()))], ["g", "id", "v"])
+    cuts = [0, 7, 7, 19, 20, 41, 60]
+    got = sorted(r for b in neighbours._meet_sorted((rows(*c) for c in itertools.pairwise(cuts)), 2) for r in zip(*(b.column(i).to_pylist() for i in range(2)), strict=True))
+    want = []
+    for i in range(60):
+        near = sorted((((x[i] - x[j]) ** 2).sum(), int(ids[j])) for j in range(60) if j != i and g[j] == g[i])[:2]
+        want += [(int(ids[i]), n) for _, n in near]
+    assert got == sorted(want)
