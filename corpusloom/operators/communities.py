@@ -7,9 +7,10 @@ nodes of the next level, which begins with the communities that they lie in.
 
 Every phase is a loop of joins over adjacency and labels, a table a round, so no
 task or driver holds the graph. Moves of one round may spoil each
-other: a round takes the wishes of a share of the nodes, and where modularity
-did not rise it is taken back, and only moves are made that touch no community
-that another move of more gain touches; the gains of these add up exactly.
+other: a round takes the wishes of a share of the nodes. Where modularity did
+not rise it is taken back and a smaller share is tried; with each rise the share
+grows again. Where a share is a few wishes alone, moves are made that touch no
+community that another move of more gain touches; the gains of these add up exactly.
 """
 
 from __future__ import annotations
@@ -24,8 +25,8 @@ from .sampling import ranked
 #: A round that raises modularity by less ends its phase.
 LEAST_GAIN = 1e-6
 EPS = 1e-9
-#: The share of the nodes that may move in one round, and how few wishes are met apart at once.
-SHARE, FEW = 0.5, 2
+#: The largest share of the nodes that may move in one round, what it is divided by where they spoil each other and multiplied by where they don't, and how few wishes are met apart.
+SHARE, LESS, MORE, FEW = 0.5, 4.0, 1.5, 2
 
 
 def _uniform(seed: int, *parts: Column | str | int) -> Column:
@@ -36,13 +37,14 @@ def _uniform(seed: int, *parts: Column | str | int) -> Column:
 
 def _wishes(adjacency: DataFrame, labels: DataFrame, total: float, resolution: float) -> DataFrame:
     """(node, k, own, c, inside, gain, to): each node's best move and what it would gain; inside is its weight to its own community."""
-    strength = labels.groupBy("c").agg(F.sum("k").alias("strength"))
-    to = adjacency.join(labels.select(F.col("node").alias("b"), F.col("c").alias("to")), "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("w"))
-    to = to.join(strength.select(F.col("c").alias("to"), "strength"), "to").join(labels.select("node", "k", "c"), "node")
+    strength = labels.groupBy("c").agg(F.sum("k").alias("whole"))
+    held = labels.join(strength, "c")
+    there = held.select(F.col("node").alias("b"), F.col("c").alias("to"), F.col("whole").alias("strength"))
+    to = adjacency.join(there, "b").groupBy(F.col("a").alias("node"), "to").agg(F.sum("w").alias("w"), F.first("strength").alias("strength"))
     other = F.col("to") != F.col("c")
     pull = F.round(F.col("w") - resolution * F.col("k") * F.col("strength") / total, 9)
-    best = to.groupBy("node").agg(F.sum(F.when(other, 0.0).otherwise(F.col("w"))).alias("inside"), F.max(F.when(other, F.struct(pull.alias("pull"), "to"))).alias("best"))
-    out = labels.join(best, "node", "left").join(strength.withColumnRenamed("strength", "whole"), "c")
+    best = (F.sum(F.when(other, 0.0).otherwise(F.col("w"))).alias("inside"), F.max(F.when(other, F.struct(pull.alias("pull"), "to"))).alias("best"))
+    out = to.join(held, "node", "right").groupBy("node", "k", "own", "c", "whole").agg(*best)
     inside = F.coalesce("inside", F.lit(0.0))
     gain = F.col("best.pull") - (inside - resolution * F.col("k") * (F.col("whole") - F.col("k")) / total)
     return out.select("node", "k", "own", "c", inside.alias("inside"), (2 * gain / total).alias("gain"), F.col("best.to").alias("to"))
@@ -66,26 +68,27 @@ def _apart(wishes: DataFrame) -> DataFrame:
 
 def _move(adjacency: DataFrame, labels: DataFrame, total: float, resolution: float, seed: int, least: float) -> tuple[DataFrame, float]:
     """(wishes at the labels that no round raises further, their modularity)."""
-    best, quality, round_ = None, 0.0, 0
+    best, quality, round_, share, n = None, 0.0, 0, SHARE, 0
     apart = False  # whether the labels at hand came of moves apart
     while True:
         wishes = materialize(_wishes(adjacency, labels, total, resolution), "wishes")
-        now, n = _quality(wishes, total, resolution)
-        rose = best is None or now > quality + least
-        if rose:
+        now, wish = _quality(wishes, total, resolution)
+        if best is None or now > quality + least:
             if best is not None:
                 release(best)
-            best, quality = wishes, now
-            if not n:
-                return best, quality
-            some = _uniform(seed, round_, "node") < SHARE
-            together = wishes.select("node", "k", "own", F.when((F.col("gain") > EPS) & some, F.col("to")).otherwise(F.col("c")).alias("c"))
-            labels, apart = (together, False) if n > FEW else (_apart(wishes), True)
+                share = share if apart else min(SHARE, share * MORE)
+            best, quality, n = wishes, now, wish
         else:
             release(wishes)
             if apart:
                 return best, quality
-            labels, apart = _apart(best), True
+            share /= LESS
+        if not n:
+            return best, quality
+        apart = n * share <= FEW
+        some = _uniform(seed, round_, "node") < share
+        together = best.select("node", "k", "own", F.when((F.col("gain") > EPS) & some, F.col("to")).otherwise(F.col("c")).alias("c"))
+        labels = _apart(best) if apart else together
         round_ += 1
 
 

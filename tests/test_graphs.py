@@ -56,6 +56,20 @@ def test_apart_moves_add_up(spark):
     assert moved and after - q == pytest.approx(sum(gain[n] for n in moved), abs=1e-9)
 
 
+def test_moves_that_spoil_each_other_take_few_rounds(spark, monkeypatch):
+    """Weights at random between all of 300 and 10 nodes: few communities, which most moves touch."""
+    rng = random.Random(3)
+    g = spark.createDataFrame([(f"s{a}", f"b{b}", float(rng.randrange(10, 30))) for a in range(300) for b in range(10)], "a string, b string, weight double")
+    both = g.selectExpr("a", "b", "weight as w").union(g.selectExpr("b as a", "a as b", "weight as w")).cache()
+    labels = both.groupBy("a").agg({"w": "sum"}).selectExpr("a as node", "`sum(w)` as k", "0D as own", "a as c").cache()
+    rounds, write = [], communities.materialize
+    monkeypatch.setattr(communities, "materialize", lambda df, tag: rounds.append(tag) or write(df, tag))
+    total = labels.agg({"k": "sum"}).first()[0]
+    best, quality = communities._move(both, labels, total, 1.0, 1, 1e-6)
+    assert len(rounds) < 60
+    assert communities._quality(best, total, 1.0)[0] == quality > 0
+
+
 def _blobs(seed=1):
     rng = np.random.default_rng(seed)
     parts = [rng.normal(c, s, (n, 3)) for c, s, n in (((0, 0, 0), 0.3, 60), ((6, 0, 0), 0.9, 60), ((0, 8, 0), 0.1, 30))]
