@@ -8,7 +8,7 @@ import time
 import urllib.request
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -114,16 +114,17 @@ def annotate(batches: DataFrame, annotator: Annotator, ceiling: int = 2400, atte
     follow `next_pause`. A task that runs again gives the same keys.
     """
 
-    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         pause = pace
         for p in parts:
             out = []
-            for ids, texts in zip(p["ids"], p["texts"], strict=True):
+            for ids, texts in zip(p.column("ids"), p.column("texts"), strict=True):  # one batch's texts are Python objects at a time
+                ids, texts = ids.as_py(), texts.as_py()
                 best, room = [], ceiling
                 for _ in range(attempts):
                     time.sleep(pause)
                     try:
-                        got = [r for r in annotator(list(ids), list(texts), room) if fields is None or valid(r, fields)]
+                        got = [r for r in annotator(ids, texts, room) if fields is None or valid(r, fields)]
                         pause = next_pause(pause, False, shortest)
                     except (OSError, ValueError):
                         got, pause = [], next_pause(pause, True, shortest)
@@ -132,9 +133,9 @@ def annotate(batches: DataFrame, annotator: Annotator, ceiling: int = 2400, atte
                         break
                     room *= 2
                 out.append([json.dumps(r, sort_keys=True) for r in best])
-            yield pd.DataFrame({"cache_key": p["cache_key"], "ids": p["ids"], "results": out})
+            yield pa.RecordBatch.from_arrays([p.column("cache_key"), p.column("ids"), pa.array(out, pa.list_(pa.string()))], ["cache_key", "ids", "results"])
 
-    return batches.select("cache_key", "ids", "texts").mapInPandas(run, "cache_key string, ids array<string>, results array<string>")
+    return batches.select("cache_key", "ids", "texts").mapInArrow(run, "cache_key string, ids array<string>, results array<string>")
 
 
 def keyword_annotator(ids: list[str], texts: list[str], ceiling: int) -> list[dict]:

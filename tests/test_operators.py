@@ -1,6 +1,7 @@
 """Operators on small fixtures: awkward values, published results, invariants."""
 
 import math
+import sys
 
 import numpy as np
 import pytest
@@ -141,6 +142,21 @@ def test_annotation(spark):
     assert spark.range(1).select(annotate.first_fault(rules).alias("r")).first().r == "stance without relevance"
 
 
+def test_annotator_holds_one_batch_of_texts(spark):
+    """However many batches come in one Arrow batch, the texts of one of them alone are Python objects."""
+
+    def ask(ids, texts, ceiling):
+        return [{"id": ids[0], "blocks": sys.getallocatedblocks()}]
+
+    def least(rows):
+        texts = F.transform(F.sequence(F.lit(0), F.lit(39)), lambda i: F.concat_ws(" ", F.lit("text"), "id", i))
+        b = spark.range(0, rows, 1, 1).select(F.col("id").cast("string").alias("cache_key"), F.array(F.col("id").cast("string")).alias("ids"), texts.alias("texts"))
+        return annotate.annotate(b, ask).select(F.explode("results").alias("r")).agg(F.min(F.get_json_object("r", "$.blocks").cast("long"))).first()[0]
+
+    least(10)
+    assert least(8000) - least(10) < 100_000  # of 320,000 texts
+
+
 def test_annotators(spark, tmp_path):
     import http.server
     import json
