@@ -117,8 +117,9 @@ def mixed_logit(df: DataFrame, y: str, terms: list[str], group: str, nodes: int
     best, step, settled, curvature = -np.inf, np.zeros(p + 1), False, None
     moved = np.inf
     for turn in range(most):
-        at = rows.join(groups, "g").mapInPandas(lambda it, b=effects, l=log_sd: sums(it, b, l), f"g {kind}, v array<double>")
-        added = at.groupBy("g").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(nodes * width))).alias("v")).join(groups, "g")
+        near = groups.hint("shuffle_hash")  # never through the driver, round for round
+        at = rows.join(near, "g").mapInPandas(lambda it, b=effects, l=log_sd: sums(it, b, l), f"g {kind}, v array<double>")
+        added = at.groupBy("g").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(nodes * width))).alias("v")).join(near, "g")
         fresh = materialize(added.mapInPandas(lambda it, l=log_sd: finish(it, l), f"g {kind}, u double, s double, t array<double>, moved double"), "mixed-groups")
         *t, drift = fresh.agg(*(F.sum(F.col("t")[i]) for i in range(1 + (p + 1) + (p + 1) ** 2)), F.max("moved")).first()
         t = np.array(t)

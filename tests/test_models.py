@@ -90,6 +90,14 @@ def test_mixed_logit_against_plain_likelihood(spark):
     assert len(none) == 3 and not any(r.converged for r in none)
 
 
+def test_mixed_logit_sends_no_groups_through_the_driver(spark, monkeypatch):
+    plans, write = [], mixed.materialize
+    monkeypatch.setattr(mixed, "materialize", lambda df, tag: plans.append(df._jdf.queryExecution().executedPlan().toString()) or write(df, tag))
+    df = spark.createDataFrame([(i % 20, float(i % 3 == 0)) for i in range(200)], "g long, y double")
+    assert mixed.mixed_logit(df, "y", [], "g", most=2).count() == 2
+    assert any("ShuffledHashJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
 def test_variance_has_little_bias(spark):
     """Small groups in three worlds: the mean variance is within a tenth of the truth."""
     found = []
