@@ -142,6 +142,21 @@ def test_annotation(spark):
     assert spark.range(1).select(annotate.first_fault(rules).alias("r")).first().r == "stance without relevance"
 
 
+def test_class_tfidf_counts_once(spark):
+    """Whatever the counts are made of is worked out once, not once for each total."""
+    seen = spark.sparkContext.accumulator(0)
+
+    def watched(parts):
+        for p in parts:
+            seen.add(len(p))
+            yield p
+
+    rows = spark.createDataFrame([("a", "x", 1), ("a", "y", 2), ("b", "x", 3)], "venue string, term string, n long").mapInPandas(watched, "venue string, term string, n long")
+    got = {(r.venue, r.term): r.score for r in lexicon.class_tfidf(rows, "venue", 5).collect()}
+    assert seen.value == 3
+    assert got == pytest.approx({("a", "x"): math.log(2) / 3, ("a", "y"): 2 / 3 * math.log(3), ("b", "x"): math.log(2)})
+
+
 def test_annotator_holds_one_batch_of_texts(spark):
     """However many batches come in one Arrow batch, the texts of one of them alone are Python objects."""
 
