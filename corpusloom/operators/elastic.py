@@ -4,7 +4,7 @@ The penalised likelihood is climbed by bounds: the curvature of the loss never e
 multiple of the Gram matrix, which is summed once, a matrix a fold; an iteration is one
 pass over the rows that sums the gradients of every penalty and fold at their present
 coefficients; then coordinate descent minimises each bound. Coefficients begin at zero, where the
-path begins, and each penalty goes on from where it stands. The driver sees sums of a size given by features, penalties and folds.
+path begins, and each penalty goes on from where it stands until it has settled. The driver sees sums of a size given by features, penalties and folds.
 """
 
 from __future__ import annotations
@@ -24,6 +24,8 @@ from .learn import folds
 PENALTIES, SMALLEST = 100, 0.01
 #: A path ends where no coefficient moves by more in an iteration, or after so many passes.
 TOLERANCE, PASSES = 1e-4, 60
+#: A penalty that has settled in so many iterations in a row is left where it stands, and costs later passes nothing.
+CALM = 2
 
 
 @dataclass
@@ -154,21 +156,27 @@ def path(df: DataFrame, label: str, features: str, mix: float = 0.1, penalties:
     first = added(gradients, models * width * c + k, one)[: models * width * c].reshape(models, width, c)
     top = float(np.abs(first[k][1:]).max()) / n / max(mix, 1e-3)
     levels = top * smallest ** (np.arange(penalties) / max(1, penalties - 1))
-    l1, l2 = np.repeat(levels * mix, c), np.repeat(levels * (1 - mix), c)
-    done, settled, loss, before, pace = 0, False, None, w.copy(), 1.0
+    done, settled, loss, before, pace = 0, False, np.zeros((k, penalties)), w.copy(), 1.0
+    live, calm = np.arange(penalties), np.zeros(penalties, int)  # penalties still under way; iterations in a row in which one has hardly moved
     while done < passes and not settled:
         ahead = (1 + np.sqrt(1 + 4 * pace**2)) / 2
-        at = w + (pace - 1) / ahead * (w - before) if done else w  # momentum; the bound holds anywhere
-        got = added(gradients, models * width * penalties * c + k * penalties, at)
-        g, loss = got[: models * width * penalties * c].reshape(models, width, penalties * c), got[models * width * penalties * c :].reshape(k, penalties)
-        new = np.empty_like(w)
+        now = w[:, :, live]
+        at = now + (pace - 1) / ahead * (now - before[:, :, live]) if done else now  # momentum; the bound holds anywhere
+        got = added(gradients, models * width * len(live) * c + k * len(live), at)
+        g, loss[:, live] = got[: models * width * len(live) * c].reshape(models, width, len(live) * c), got[models * width * len(live) * c :].reshape(k, len(live))
+        new = np.empty_like(at)
+        l1, l2 = np.repeat(levels[live] * mix, c), np.repeat(levels[live] * (1 - mix), c)
         for m in range(models):
             bound, v = 0.5 * curve[m], at[m].reshape(width, -1)  # the curvature of a multinomial loss is at most half the Gram matrix
-            new[m] = _descend(bound, g[m] / size[m] + bound @ v, v.copy(), l1, l2).reshape(width, penalties, c)
-        turned = float(((at - new) * (new - w)).sum()) > 0  # momentum that leads back is dropped
-        moved = float(np.abs(new - w).max())
-        before, w, pace, done = w, new, 1.0 if turned else ahead, done + 1
-        settled = moved < tolerance
+            new[m] = _descend(bound, g[m] / size[m] + bound @ v, v.copy(), l1, l2).reshape(width, len(live), c)
+        turned = float(((at - new) * (new - now)).sum()) > 0  # momentum that leads back is dropped
+        moved = np.abs(new - now).max(axis=(0, 1, 3))
+        before, w = w, w.copy()
+        w[:, :, live] = new
+        pace, done = 1.0 if turned else ahead, done + 1
+        settled = float(moved.max()) < tolerance
+        calm[live] = np.where(moved < tolerance, calm[live] + 1, 0)
+        live = live[calm[live] < CALM]
     release(rows)
     each = loss / hit.sum(axis=1, keepdims=True)
     deviance = loss.sum(axis=0) / n

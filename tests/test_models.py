@@ -157,3 +157,16 @@ def test_elastic_net_path_against_plain_solver(spark, c):
     assert all(abs(sum(r.p) - 1) < 1e-9 for r in scored)
     assert np.mean([m.classes[int(np.argmax(r.p))] == r.y for r in scored]) > 1.6 / c
     assert elastic.path(df.where("y = 'class1'"), "y", "v") is None
+
+
+def test_settled_penalties_cost_no_more_passes(spark, monkeypatch):
+    from corpusloom.operators import elastic
+
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(300, 5)) @ rng.normal(size=(5, 5))
+    y = (x[:, 0] + rng.normal(size=300) > 0).astype(int)
+    df = spark.createDataFrame([(f"class{k}", v) for k, v in zip(y, x.tolist(), strict=True)], "y string, v array<double>")
+    widths, descend = [], elastic._descend
+    monkeypatch.setattr(elastic, "_descend", lambda gram, linear, w, *rest: widths.append(w.shape[1]) or descend(gram, linear, w, *rest))
+    m = elastic.path(df, "y", "v", penalties=20, k=2)
+    assert m.converged and widths[0] == 40 and widths[-1] < 20 and sum(widths) < 0.8 * 40 * len(widths)
