@@ -5,10 +5,13 @@ sign is a frequent word, the end, or "another word". Every word of the
 training texts, and the start of a text, is a context with a restaurant of its
 own; all of them share one parent, the restaurant of signs without a context.
 Restaurants are distributed by their word, and grow with the corpus. (2) Which
-other word it is comes from one restaurant over all other words of the
-training texts. (3) Its base is half uniform over them and half spells the
-word by a hierarchical Pitman-Yor trigram model of the bytes of all distinct
-words. What the base has left is the probability of the event "a word that
+other word it is: with c of the C other words that followed the word before,
+it has (c + strength * p) / (C + strength). So a context tells all words apart,
+not the signs alone; the two strengths, of contexts that are signs and of the
+others, are those of the greatest leave-one-out likelihood. Here p, without
+context, comes from one restaurant over all other words of the training texts.
+(3) Its base is half uniform over them and half spells the word by a
+hierarchical Pitman-Yor trigram model of the bytes of all distinct words. What the base has left is the probability of the event "a word that
 training has not seen", one event as in the base score. So after any word the
 probabilities of all known words, the end and that event sum to one, and a
 score is the log10 probability of the whole text.
@@ -23,9 +26,10 @@ Counts are merged within a task before they are shuffled, packed by a hash
 bucket of the word they follow. To score, a task packs its texts' words by
 bucket in the same way, each distinct word once, with the texts that have it
 and the signs after it; a bucket meets the restaurants of its words, and sums
-come back to the texts. What follows a frequent word or the start never
-travels. A word of which a third of all tokens consist is one row of at most
-as many counts as there are signs.
+come back to the texts. Counts of pairs lie with the second word, so that p is at
+hand there; what C takes from p is a factor that lies with the first. Which sign
+follows a frequent word or the start never travels. A word of which a third of
+all tokens consist is one row of at most as many counts as there are signs.
 """
 
 from __future__ import annotations
@@ -47,7 +51,7 @@ from .common import fold, load, materialize, partitions, release, slim, tidy
 from .mph import mix
 from .pitman_yor import STRENGTH, PitmanYor, Restaurants, draw_tables, estimated_discount, gamma, uniform
 
-#: Words that are signs of their own: the most frequent ones, ties by hash. It bounds the signs, not the contexts.
+#: Words that are signs of their own: the most frequent ones, ties by hash. It bounds the signs, neither the contexts nor what they tell apart.
 FREQUENT = 1024
 #: Rounds of seating contexts and parent in turn before the kept sweeps; sweeps over the contexts in a round; kept sweeps.
 ROUNDS, SWEEPS, SAMPLES = 2, 1, 3
@@ -57,6 +61,8 @@ BUCKET_TOKENS = 1 << 21
 #: Occurrences in one stored pair; a word that a text has more often takes several pairs.
 MOST = (1 << 16) - 1
 UNIFORM = 0.5
+#: Strengths of contexts over the other words, of which the likeliest are taken.
+STRENGTHS = 2.0 ** np.arange(22)
 #: Byte classes of the spelling table: at most the 256 bytes.
 BYTES = 256
 WORD, END = 0, 1
@@ -133,7 +139,7 @@ class Spelling:
 
 @dataclass
 class Model:
-    lexicon: DataFrame | None  # (bucket, h, word, c, signs, counts), a row a known word and one for the start
+    lexicon: DataFrame | None  # (bucket, h, word, c, signs, counts, signs_before, times_before, others_before, others_times), a row a known word and one for the start
     buckets: int
     tokens: int
     types: int
@@ -150,6 +156,7 @@ class Model:
     log_next: np.ndarray | None  # log10 P(sign | frequent word or start), float32
     free: float = STRENGTH  # the mean weight that the restaurant of other words leaves to its base
     unseen: float = 1.0  # the base's probability of a word that training has not seen
+    pairs: tuple[float, float] | None = None  # strength over the other words of a context that is one of them, and of a sign or the start; None: contexts tell signs apart alone
 
     def light(self) -> Model:
         """What tasks need: of fixed size, without the distributed restaurants."""
@@ -190,11 +197,13 @@ def _flat(arrays: list[np.ndarray], first: int, sign_of: np.ndarray, end: int) -
 
 
 def _packed(*arrays: np.ndarray) -> bytes:
-    return b"".join(len(a).to_bytes(4, "little") + a.tobytes() for a in arrays)
+    """The arrays as bytes, compressed: most hold small numbers."""
+    data = b"".join(len(a).to_bytes(4, "little") + a.tobytes() for a in arrays)
+    return len(data).to_bytes(8, "little") + pa.compress(data, "zstd", asbytes=True)
 
 
 def _unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
-    out, at = [], 0
+    data, out, at = pa.decompress(data[8:], int.from_bytes(data[:8], "little"), "zstd", asbytes=True), [], 0
     for kind in kinds:
         n, at = int.from_bytes(data[at : at + 4], "little"), at + 4
         out.append(np.frombuffer(data, kind, n, at))
@@ -203,15 +212,18 @@ def _unpacked(data: bytes, kinds: list[str]) -> list[np.ndarray]:
 
 
 #: The parts of packed counts, of a packed bucket of texts, of packed sums, and of a chunk's own sums.
-FOLLOW = ["<i8", "<u4", "<u1", "<u2", "<u2", "<u4"]
-BUCKET = ["<i8", "<u4", "<u2", "<u2", "<u2"]
+FOLLOW = ["<i8", "<u4", "<u1", "<u2", "<u2", "<u4", "<u2", "<u2", "<u4", "<u4", "<i8", "<u4"]
+BUCKET = ["<i8", "<u4", "<u2", "<u2", "<u2", "<u2", "<u4", "<i8", "<u2"]
 SUMS = ["<u2", "<i8", "<f8", "<f8"]
 OWN = ["<i8", "<i8", "<f8", "<f8"]
 
 
-def fit(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> Model:
-    """The model of all texts of docs. A null text is empty; without any row all probability is spelling's."""
-    texts = slim(docs, text_col)
+def fit(docs: DataFrame, text_col: str = "text", frequent: int | None = None) -> Model:
+    """The model of all texts of docs. A null text is empty; without any row all probability is spelling's.
+
+    frequent: the caller's own limit on the words that a context tells apart; None: it tells all apart.
+    """
+    texts, signs = slim(docs, text_col), FREQUENT if frequent is None else frequent
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows, arrays, words in chunks(batches, 0):
@@ -223,40 +235,58 @@ def fit(docs: DataFrame, text_col: str = "text", frequent: int = FREQUENT) -> Mo
     words = counts.where(f"kind = {WORD}").select("h", "c")
     ends = counts.where(f"kind = {END}").agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n")).first().n
     tokens, types = words.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count(F.lit(1))).first()
-    top = sorted(map(tuple, words.orderBy(F.desc("c"), "h").limit(frequent).collect()))  # `frequent` rows
-    release(counts)
+    top = sorted(map(tuple, words.orderBy(F.desc("c"), "h").limit(signs).collect()))  # `signs` rows
     model = Model(
         lexicon=None, buckets=max(partitions(docs.sparkSession), -(-(tokens + ends) // BUCKET_TOKENS)), tokens=tokens + ends, types=types + (ends > 0), ends=ends,
         frequent=np.array([h for h, _ in top], np.int64), frequent_count=np.array([c for _, c in top], np.int64), spelling=None,
         rare_tokens=tokens - sum(c for _, c in top), rare_types=types - len(top), context_discount=0.5, rare_discount=0.5, measures=[], rare_y=[], log_next=None,
+        pairs=(1.0, 1.0) if frequent is None else None,
     )
     model.lexicon = materialize(_lexicon(texts, model), "lexicon")
     _seat(model)
+    release(counts)  # and what was shuffled for the lexicon, which by now nothing refers to
     return model
 
 
 def _lexicon(texts: DataFrame, model: Model) -> DataFrame:
-    """(bucket, h, word, c, signs, counts): for each word, and the start, how often which sign follows it."""
+    """For each word, and the start, how often which sign follows it (signs, counts); for each other word how often it follows which sign or the start, and which other word."""
     shared, buckets, size = texts.sparkSession.sparkContext.broadcast(model.light()), model.buckets, model.alphabet  # of fixed size
 
     def follow(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for _, arrays, words in chunks(batches, 0):
             words.append(b"")
             h = hashes(words)
-            _, before, sign = _flat(arrays, len(words) - 1, shared.value.signs(h), size - 1)
+            sign_of = shared.value.signs(h)
+            _, before, sign = _flat(arrays, len(words) - 1, sign_of, size - 1)
             sort = np.lexsort((h, h % buckets))  # by bucket, by hash within it; as pmod
             place = np.empty(len(h), np.int64)
             place[sort] = np.arange(len(h))
-            h, place = h[sort], place[before]
-            pair, c = np.unique(place * size + sign, return_counts=True)
+            h, first = h[sort], place[before]
+            sign_of[-1] = size - 1  # of the start before a text
+            other, second = np.zeros(0, np.int64), np.zeros(0, np.int64)
+            if shared.value.pairs:
+                other, flat = np.nonzero(sign == size - 2)[0], np.concatenate(arrays)
+                second = place[flat[sign_of[flat] == size - 2]]
+            sign_before = sign_of[before[other]]
+            by_sign = sign_before != size - 2
+            near, c_near = np.unique(second[by_sign] * size + sign_before[by_sign], return_counts=True)
+            far, c_far = np.unique(second[~by_sign] * len(h) + first[other[~by_sign]], return_counts=True)
+            near_owner, far_owner = near // size, far // len(h)
+            near, far = (near % size).astype("<u2"), h[far % len(h)]
+            each_near, each_far = np.bincount(near_owner, minlength=len(h)).astype("<u2"), np.bincount(far_owner, minlength=len(h)).astype("<u4")
+            pair, c = np.unique(first * size + sign, return_counts=True)
             owner, sign = pair // size, (pair % size).astype("<u2")
             each = np.bincount(owner, minlength=len(h)).astype("<u2")
             held = [words[i] for i in sort.tolist()]
             long_words = np.array(list(map(len, held)), "<u4")
             of = h % buckets
             cuts = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1, [len(of)]])
-            ends = np.searchsorted(owner, cuts)
-            rows = [(int(of[lo]), _packed(h[lo:hi].astype("<i8"), long_words[lo:hi], np.frombuffer(b"".join(held[lo:hi]), "<u1"), each[lo:hi], sign[at:to], c[at:to].astype("<u4"))) for lo, hi, at, to in zip(cuts[:-1], cuts[1:], ends[:-1], ends[1:], strict=True)]
+            ends = np.array([np.searchsorted(x, cuts) for x in (owner, near_owner, far_owner)])
+            rows = []
+            for lo, hi, (at, n_at, f_at), (to, n_to, f_to) in zip(cuts[:-1], cuts[1:], ends.T[:-1], ends.T[1:], strict=True):
+                follows = h[lo:hi].astype("<i8"), long_words[lo:hi], np.frombuffer(b"".join(held[lo:hi]), "<u1"), each[lo:hi], sign[at:to], c[at:to].astype("<u4")
+                precede = each_near[lo:hi], near[n_at:n_to], c_near[n_at:n_to].astype("<u4"), each_far[lo:hi], far[f_at:f_to].astype("<i8"), c_far[f_at:f_to].astype("<u4")
+                rows.append((int(of[lo]), _packed(*follows, *precede)))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary())], ["bucket", "payload"])
 
     def merge(table: pa.Table) -> pa.Table:
@@ -269,20 +299,56 @@ def _lexicon(texts: DataFrame, model: Model) -> DataFrame:
         pair, at = np.unique(np.repeat(of, each) * size + sign, return_inverse=True)
         n = np.bincount(at, c, len(pair)).astype("<i8")
         owner = pair // size
-        cuts = np.searchsorted(owner, np.arange(len(known) + 1))
         starts = np.cumsum(long_words) - long_words
         signs, counts = (pair % size).astype("<u2").tobytes(), n.tobytes()
         words = [letters[a : a + k] for a, k in zip(starts[first].tolist(), long_words[first].tolist(), strict=True)]
-        bounds = list(zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True))
+        bounds = lambda owner: itertools.pairwise(np.searchsorted(owner, np.arange(len(known) + 1)).tolist())
+        near, far, c_near, c_far = (np.concatenate([p[i] for p in parts]) for i in (7, 10, 8, 11))
+        near, at = np.unique(np.repeat(of, np.concatenate([p[6] for p in parts])) * size + near, return_inverse=True)
+        near_owner, near, c_near = near // size, (near % size).astype("<u2").tobytes(), np.bincount(at, c_near, len(near)).astype("<u4").tobytes()
+        far_owner = np.repeat(of, np.concatenate([p[9] for p in parts]))
+        sort = np.lexsort((far, far_owner))
+        far_owner, far = far_owner[sort], far[sort]
+        new = np.nonzero(np.append(True, (np.diff(far_owner) != 0) | (np.diff(far) != 0))[: len(far)])[0]
+        c_far = (np.add.reduceat(c_far[sort], new) if len(new) else c_far).astype("<u4").tobytes()
+        far_owner, far = far_owner[new], far[new].tobytes()
+        parted = lambda data, owner, width: pa.array([data[width * a : width * z] for a, z in bounds(owner)], pa.binary())
         out = pa.table({
             "bucket": pa.array(np.full(len(known), table.column("bucket")[0].as_py(), np.int32)), "h": pa.array(known), "word": pa.array(words, pa.binary()), "c": pa.array(np.bincount(owner, n, len(known)).astype(np.int64)),
-            "signs": pa.array([signs[2 * a : 2 * z] for a, z in bounds], pa.binary()), "counts": pa.array([counts[8 * a : 8 * z] for a, z in bounds], pa.binary()),
+            "signs": parted(signs, owner, 2), "counts": parted(counts, owner, 8),
+            "signs_before": parted(near, near_owner, 2), "times_before": parted(c_near, near_owner, 4), "others_before": parted(far, far_owner, 8), "others_times": parted(c_far, far_owner, 4),
         })
         tidy()
         return out
 
     packed = texts.mapInArrow(follow, "bucket int, payload binary")
-    return packed.groupBy("bucket").applyInArrow(merge, "bucket int, h long, word binary, c long, signs binary, counts binary")
+    return packed.groupBy("bucket").applyInArrow(merge, "bucket int, h long, word binary, c long, signs binary, counts binary, signs_before binary, times_before binary, others_before binary, others_times binary")
+
+
+def _lists(column: pa.ChunkedArray | pa.Array, kind: str) -> tuple[np.ndarray, np.ndarray]:
+    """(row, value) of the packed lists of a column."""
+    held = column.to_pylist()
+    return np.repeat(np.arange(len(held)), np.array(list(map(len, held)), np.int64) // np.dtype(kind).itemsize), np.frombuffer(b"".join(held), kind)
+
+
+def _left_out(rows: pa.RecordBatch, model: Model, contexts: _Contexts) -> np.ndarray:
+    """What the rows add to the leave-one-out log likelihood of the other words, by each of STRENGTHS: of contexts that are other words, then of signs and the start."""
+    out, c, sign = np.zeros((2, len(STRENGTHS))), rows.column("c").to_numpy(), len(model.frequent)
+    strength = STRENGTHS[:, None]
+    for kind, column in enumerate(("others_times", "times_before")):
+        row, n = _lists(rows.column(column), "<u4")
+        many = n > 1  # of the others, log p does not depend on the strength
+        out[kind] += (len(n) - many.sum()) * np.log(STRENGTHS)
+        p, n = c[row[many]] / model.rare_tokens, n[many].astype(float)
+        for lo in range(0, len(n), 1 << 16):
+            out[kind] += np.log(n[lo : lo + (1 << 16)] - 1 + strength * p[lo : lo + (1 << 16)]) @ n[lo : lo + (1 << 16)]
+    before = contexts.sign == sign
+    is_sign = ((model.signs(contexts.h) < sign) | (contexts.h == START))[contexts.of[before]]
+    for kind in (0, 1):
+        n = contexts.seats.c[before][is_sign == kind]
+        for lo in range(0, len(n), 1 << 16):
+            out[kind] -= np.log(n[lo : lo + (1 << 16)] - 1 + strength) @ n[lo : lo + (1 << 16)]
+    return out.ravel()
 
 
 class _Others:
@@ -342,6 +408,11 @@ class _Contexts:
             left[:, s] = rest / SAMPLES
         return own, left
 
+    def left_to_others(self, strength: float) -> np.ndarray:
+        """What each context leaves to the probability of other words without a context."""
+        other = self.sign == len(self.model.frequent)
+        return strength / (strength + np.bincount(self.of[other], self.seats.c[other], len(self.h)))
+
 
 def _sums(model: Model, columns: list[str], step: Callable[[pa.RecordBatch, Model], dict[str, tuple[np.ndarray, np.ndarray]]]) -> dict[str, tuple[np.ndarray, np.ndarray]]:
     """Sums over the lexicon of what `step` gives for each batch of it: keys and numbers by kind.
@@ -382,10 +453,13 @@ def _seat(model: Model) -> None:
         words = [w for w, h in zip(b.column("word").to_pylist(), contexts.h.tolist(), strict=True) if h != START]
         spelled, sign = spelling_keys(words)[0] if words else np.zeros(0, np.int64), contexts.sign
         few = lambda x: (np.minimum(x, 3).astype(np.int64), np.ones(len(x)))
-        return {"spelling": (spelled, np.ones(len(spelled))), "signs": (sign, np.ones(len(sign))), "contexts": few(contexts.seats.c), "others": few(others.c)}
+        likely = {"pairs": (np.arange(2 * len(STRENGTHS)), _left_out(b, m, contexts))} if m.pairs else {}
+        return {"spelling": (spelled, np.ones(len(spelled))), "signs": (sign, np.ones(len(sign))), "contexts": few(contexts.seats.c), "others": few(others.c)} | likely
 
-    found = _sums(model, whole, survey)
+    found = _sums(model, [*whole, "times_before", "others_times"], survey)
     dense = lambda kind, n: np.bincount(*found[kind], n) if kind in found else np.zeros(n)
+    if model.pairs:
+        model.pairs = tuple(STRENGTHS[np.argmax(dense("pairs", 2 * len(STRENGTHS)).reshape(2, -1), axis=1)].tolist())
     if "spelling" in found:
         model.spelling = Spelling(*found["spelling"])
     once, rarely = dense("contexts", 4), dense("others", 4)
@@ -431,11 +505,21 @@ def _seat(model: Model) -> None:
     own, left = contexts.settle()
     p = left @ np.array(model.measures[1:])
     p[contexts.of, contexts.sign] += own
+    if model.pairs:
+        p[:, -2] *= contexts.left_to_others(model.pairs[1])
     table = np.tile(np.mean(model.measures[1:], axis=0), (size, 1))  # a context that training has not seen
     table[np.where(contexts.h == START, size - 1, model.signs(contexts.h))] = p
     model.log_next = np.log10(table).astype(np.float32)
 
 
+def _counts(keys: np.ndarray, n: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """The n of the sorted key that each wanted one equals; 0 where none does."""
+    if not len(keys):
+        return np.zeros(len(wanted))
+    at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+    return np.where(keys[at] == wanted, n[at], 0)
+
+
 def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(id, n_tokens, n_known, base_score, score) of every row of docs.
 
@@ -462,8 +546,8 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         for number, (rows, arrays, words) in enumerate(chunks(batches, 1)):
             chunk, h = part | number, hashes(words)
             sign_of = m.signs(h)
-            size, before, sign = _flat(arrays, len(words), sign_of, end)
-            before = np.append(sign_of, end)[before]
+            size, first, sign = _flat(arrays, len(words), sign_of, end)
+            before = np.append(sign_of, end)[first]
             doc = np.repeat(np.arange(len(arrays)), size)
             here = np.where(before == rare_sign, 0.0, m.log_next[before, sign])
             own = _packed(size.astype("<i8"), np.bincount(doc, known[sign] > 0, len(size)).astype("<i8"), np.bincount(doc, base[sign], len(size)), np.bincount(doc, here, len(size)))
@@ -471,25 +555,33 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
             is_rare = sign == rare_sign
             if is_rare.any():
                 after, flat = np.append(sign[1:], 0)[is_rare], np.concatenate(arrays)
+                before, first = before[is_rare], first[is_rare]
                 rare = np.nonzero(sign_of == rare_sign)[0]
                 sort = rare[np.lexsort((h[rare], h[rare] % buckets))]  # by bucket, by hash within it
                 place = np.zeros(len(h), np.int64)
                 place[sort] = np.arange(len(sort))
-                h, word = h[sort], place[flat[sign_of[flat] == rare_sign]]
-                pair, n = np.unique((word * len(size) + doc[is_rare]) * (end + 1) + after, return_counts=True)
+                h, every, word = h[sort], h, place[flat[sign_of[flat] == rare_sign]]
+                far = np.nonzero(before == rare_sign)[0] if m.pairs else np.zeros(0, np.int64)
+                far = far[np.argsort(word[far], kind="stable")]
+                far_word, far_text, far = word[far], doc[is_rare][far].astype("<u2"), every[first[far]].astype("<i8")
+                each_far = np.bincount(far_word, minlength=len(h)).astype("<u4")
+                if not m.pairs:
+                    before = np.full(len(before), end)
+                pair, n = np.unique(((word * len(size) + doc[is_rare]) * (end + 1) + after) * (end + 1) + before, return_counts=True)
                 while (n > MOST).any():
                     more = n > MOST
                     pair, n = np.concatenate([pair, pair[more]]), np.concatenate([np.minimum(n, MOST), n[more] - MOST])
                     again = np.argsort(pair, kind="stable")
                     pair, n = pair[again], n[again]
-                pair, after, n = pair // (end + 1), (pair % (end + 1)).astype("<u2"), n.astype("<u2")
+                pair, before, n = pair // (end + 1), (pair % (end + 1)).astype("<u2"), n.astype("<u2")
+                pair, after = pair // (end + 1), (pair % (end + 1)).astype("<u2")
                 word, text = pair // len(size), (pair % len(size)).astype("<u2")
                 each = np.bincount(word, minlength=len(h)).astype("<u4")
                 of = h % buckets
                 cuts = np.concatenate([[0], np.nonzero(np.diff(of))[0] + 1, [len(of)]])
-                ends = np.searchsorted(word, cuts)
-                for lo, hi, at, to in zip(cuts[:-1], cuts[1:], ends[:-1], ends[1:], strict=True):
-                    out.append((int(of[lo]), None, _packed(h[lo:hi].astype("<i8"), each[lo:hi], text[at:to], after[at:to], n[at:to])))
+                ends = np.array([np.searchsorted(x, cuts) for x in (word, far_word)])
+                for lo, hi, (at, f_at), (to, f_to) in zip(cuts[:-1], cuts[1:], ends.T[:-1], ends.T[1:], strict=True):
+                    out.append((int(of[lo]), None, _packed(h[lo:hi].astype("<i8"), each[lo:hi], text[at:to], after[at:to], n[at:to], before[at:to], each_far[lo:hi], far[f_at:f_to], far_text[f_at:f_to])))
             yield pa.RecordBatch.from_arrays(
                 [pa.array([chunk] * len(out), pa.int64()), pa.array([x[0] for x in out], pa.int64()), pa.array([x[1] for x in out], pa.list_(rows.schema.field(0).type)), pa.array([x[2] for x in out], pa.binary())],
                 ["chunk", "bucket", "ids", "payload"],
@@ -507,7 +599,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         count, rest = np.append(others.c, 0).astype(float), np.vstack([rest, np.full((1, SAMPLES), 1 / SAMPLES)])
         pair = seats.of * size + seats.sign
         parts = [_unpacked(x.as_py(), BUCKET) for x in left.column("payload")]
-        words, each, text, after, n = (np.concatenate([p[i] for p in parts]) for i in range(5))
+        words, each, text, after, n, before, each_far, far, far_text = (np.concatenate([p[i] for p in parts]) for i in range(9))
         row = np.minimum(np.searchsorted(seats.h, words), max(0, len(seats.h) - 1))
         row = np.where(seats.h[row] == words, row, len(seats.h)) if len(seats.h) else np.zeros(len(words), np.int64)
         seen, p_word, b_word = row < len(seats.h), np.log10(known)[row], m.log_base(count[row])
@@ -517,10 +609,27 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         at = np.minimum(np.searchsorted(pair, key), max(0, len(pair) - 1))
         hit = pair[at] == key if len(pair) else np.zeros(len(key), bool)
         follows = np.where(hit, own[at], 0.0) + np.einsum("ij,ji->i", rest[row[per]], measures[:, after])
-        value, n = p_word[per] + np.log10(follows), n.astype(float)
+        value, n = np.log10(follows), n.astype(float)
         whose = np.repeat(np.arange(len(parts)), [len(p[2]) for p in parts]) << 16 | text
         whose, of = np.unique(whose, return_inverse=True)
-        sums = [np.bincount(of, seen[per] * n, len(whose)).astype("<i8"), np.bincount(of, b_word[per] * n, len(whose)), np.bincount(of, value * n, len(whose))]
+        far_value = np.zeros(0)
+        if m.pairs:
+            log_left = np.log10(np.append(seats.left_to_others(m.pairs[0]), 1.0))
+            value += np.where(after == size - 2, log_left[row[per]], 0.0)
+            owner, sign = _lists(rows.column("signs_before"), "<u2")
+            times = _counts(owner * size + sign, _lists(rows.column("times_before"), "<u4")[1], row[per] * size + before)
+            value += np.where(before == size - 2, 0.0, np.log10(known[row[per]] + times / m.pairs[1]))  # where an other word comes before, see below
+            owner, first = _lists(rows.column("others_before"), "<i8")
+            far_row, name = np.repeat(row, each_far), np.append(seats.h, 0).view(np.uint64)
+            of_pair = lambda row, first: mix(name[row] ^ mix(first.view(np.uint64), 5), 6)
+            held, stored = of_pair(owner, first), _lists(rows.column("others_times"), "<u4")[1]
+            sort = np.argsort(held)
+            times = np.where(far_row < len(seats.h), _counts(held[sort], stored[sort], of_pair(far_row, far)), 0)
+            far_value = np.log10(known[far_row] + times / m.pairs[0])
+        else:
+            value += p_word[per]
+        far_of = np.searchsorted(whose, np.repeat(np.arange(len(parts)), [len(p[8]) for p in parts]) << 16 | far_text)
+        sums = [np.bincount(of, seen[per] * n, len(whose)).astype("<i8"), np.bincount(of, b_word[per] * n, len(whose)), np.bincount(of, value * n, len(whose)) + np.bincount(far_of, far_value, len(whose))]
         cuts = np.searchsorted(whose >> 16, np.arange(len(parts) + 1))
         text = (whose & 0xFFFF).astype("<u2")
         payload = [_packed(text[lo:hi], *(x[lo:hi] for x in sums)) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
@@ -529,7 +638,7 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
         return out
 
     packed = slim(docs, id_col, text_col).mapInArrow(local, f"chunk long, bucket long, ids array<{kind}>, payload binary")
-    lexicon = model.lexicon.where(~F.col("h").isin([*model.frequent.tolist(), START])).select(F.pmod("h", F.lit(buckets)).cast("long").alias("bucket"), "h", "word", "c", "signs", "counts")
+    lexicon = model.lexicon.where(~F.col("h").isin([*model.frequent.tolist(), START])).select(F.pmod("h", F.lit(buckets)).cast("long").alias("bucket"), *model.lexicon.columns[1:])
     back = packed.groupBy("bucket").cogroup(lexicon.groupBy("bucket")).applyInArrow(meet, f"chunk long, ids array<{kind}>, payload binary")
 
     def join(table: pa.Table) -> pa.Table:

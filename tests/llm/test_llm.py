@@ -404,6 +404,56 @@ def test_lm_probabilities_sum_to_one(spark):
     assert all(math.isclose(got[i], expected(t), rel_tol=1e-5) for i, t in enumerate(some))
 
 
+def test_lm_contexts_tell_all_words_apart(spark, monkeypatch):
+    """Words beyond the signs too: scores by plain counts of pairs, for contexts that are signs, the start, other words, and unseen words."""
+    monkeypatch.setattr(lm, "FREQUENT", 6)
+    rng = np.random.default_rng(23)
+    texts = [" ".join(rng.choice([f"w{i}" for i in range(40)], 30, p=np.arange(40, 0, -1) / 820)) for _ in range(40)] + ["w39 w38 w0 w37"] * 12 + ["w0 w36", "w39 w36"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    m = lm.fit(docs)
+    assert len(m.frequent) == 6
+    rows = m.lexicon.toArrow()
+    contexts, others = lm._Contexts(rows, m), lm._Others(rows, m)
+    own, rest = contexts.settle()
+    follows = rest @ np.array(m.measures[1:])
+    follows[contexts.of, contexts.sign] += own
+    total, by_hash = lm.STRENGTH + m.rare_tokens, {h: i for i, h in enumerate(contexts.h.tolist())}
+    plain = (others.c - m.rare_discount * others.mean_tables() + m.free * others.base(np.arange(len(others.c)))) / total
+    plain = dict(zip(contexts.h[others.at].tolist(), plain.tolist(), strict=True))
+    h_of = lambda w: int(lm.hashes([w.encode()])[0])
+    is_other = lambda w: h_of(w) not in m.frequent.tolist()
+    pairs = collections.Counter((a, b) for t in texts for a, b in itertools.pairwise(["", *t.split()]) if is_other(b))
+    after = collections.Counter()
+    for (a, _), n in pairs.items():
+        after[a] += n
+    strength = lambda a: m.pairs[int(a == "" or not is_other(a))]
+    p = lambda a, b: (pairs[a, b] + strength(a) * plain.get(h_of(b), m.free * m.unseen / total)) / (after[a] + strength(a))
+    words = sorted({w for t in texts for w in t.split() if is_other(w)})
+    for a in ("", "w0", "w39", "unseen"):
+        assert math.isclose(sum(p(a, b) for b in words) + p(a, "never"), 1, rel_tol=1e-9)
+
+    def expected(text):
+        sum_, a = 0.0, ""
+        for b in [*text.split(), None]:
+            sign = m.alphabet - 1 if b is None else int(m.signs(np.array([h_of(b)]))[0])
+            at = by_hash.get(h_of(a))
+            sum_ += math.log10(follows[at][sign] if at is not None else np.mean(m.measures[1:], axis=0)[sign])
+            sum_ += math.log10(p(a, b)) if sign == len(m.frequent) else 0.0
+            a = b
+        return sum_
+
+    def likelihood(k, kind):
+        chosen = [(a, b, n) for (a, b), n in pairs.items() if (a == "" or not is_other(a)) == kind]
+        seen = collections.Counter(b for t in texts for b in t.split())
+        return sum(n * math.log(((n - 1) + k * seen[b] / m.rare_tokens) / (after[a] - 1 + k)) for a, b, n in chosen)
+
+    assert m.pairs == tuple(max(lm.STRENGTHS.tolist(), key=lambda k: likelihood(k, kind)) for kind in (False, True))
+    some = [*texts[:5], *texts[-3:], "", "never", "never w39 w38", "w39 never w38 w37", "w38 w38 w38 w39 w0 w38"]
+    for table in (docs.repartition(1), docs.repartition(5)):
+        got = {r.doc_id: r.score for r in lm.score(spark.createDataFrame(list(enumerate(some)), "doc_id long, text string").repartition(3), lm.fit(table)).collect()}
+        assert all(math.isclose(got[i], expected(t), rel_tol=1e-5) for i, t in enumerate(some))
+
+
 def test_lm_awkward(spark, awkward, empty):
     for train in (awkward, empty):
         model = lm.fit(train)
