@@ -41,3 +41,24 @@ def test_contract(spark):
 
     assert set(e.oracle_sql()) <= set(e.queries())
     assert e.entry(spark).count() == 6
+
+
+ODD = [(1, "a b a b c the cat"), (2, None), (3, ""), (4, "x"), (None, "a b a b"), (5, "the the a b"), (6, "Été_1 été_1 9 9 9"), (7, "of the"), *((i, "left right left " * (i % 3 + 1) + "p" * (i % 2 + 1)) for i in range(10, 40)), *((i, f"word{i} up down") for i in range(40, 140))]
+
+
+@pytest.mark.parametrize("more", [[], [(1, "a b q a b")], [(None, "a b"), (40, None), (41, "left right")]])
+@pytest.mark.parametrize("name", ["bigram_counts", "dfm_trim", "vocabulary_top"])
+def test_terms_of_odd_texts(spark, tmp_path, name, more):
+    """Ids that come twice, null ids, and texts without tokens or pairs."""
+    docs = [(i, t, f"src{(i or 0) % 3}", "en") for i, t in ODD + more]
+    spark.createDataFrame(docs, "doc_id long, text string, source string, lang string").repartition(3).write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    con.sql(f"CREATE VIEW documents AS SELECT * FROM read_parquet('{tmp_path}/documents.parquet/*.parquet')")
+    got, want = QUERIES[name](spark, str(tmp_path)).toPandas(), con.sql(SQL[name]).df()
+    assert len(want) and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("name", ["bigram_counts", "vocabulary_top"])
+def test_texts_of_unique_ids_are_not_shuffled(spark, data, name):
+    plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(term" in plan and "hashpartitioning(id" not in plan
