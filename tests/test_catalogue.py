@@ -62,3 +62,9 @@ def test_terms_of_odd_texts(spark, tmp_path, name, more):
 def test_texts_of_unique_ids_are_not_shuffled(spark, data, name):
     plan = QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert "hashpartitioning(term" in plan and "hashpartitioning(id" not in plan
+
+
+def test_trimmed_rows_are_not_shuffled_by_term(spark, data):
+    """Where few terms are kept."""
+    plan = QUERIES["dfm_trim"](spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning(term" not in plan
