@@ -1,7 +1,9 @@
 """Embeddings of texts and mini-batch clusters against numpy."""
 
 import numpy as np
+import pyarrow as pa
 import pytest
+from pyspark.sql import functions as F
 
 from corpusloom.operators import embed, minibatch, neighbours
 
@@ -120,3 +122,30 @@ def test_vectors_of_few_directions_at_a_time(spark):
     assert np.allclose(one.singular, many.singular)
     a, b = ({r.id: r.embedding for r in x.rows.collect()} for x in (one, many))
     assert sorted(a) == list(range(60)) and all(np.allclose(a[i], b[i], atol=1e-6) for i in a)
+
+
+def test_vectors_of_rows_are_those_of_their_counts(spark):
+    """Terms are counted within the row: no shuffle deals the texts, and a null id, a null text, a null term and an empty text count for nothing."""
+    texts = _texts(50, 8)
+    rows = [*((d, [*map(str, t), None]) for d, t in enumerate(texts)), (None, ["w0_1", "w0_2"]), (70, None), (71, [])]
+    df = spark.createDataFrame(rows, "id long, t array<string>")
+    got = embed.row_vectors(df, "id", F.col("t"), dims=5, extra=4)
+    want = embed.text_vectors(_dfm(spark, texts), "id", dims=5, extra=4)
+    assert np.allclose(got.singular, want.singular)
+    a, b = ({r.id: r.embedding for r in x.rows.collect()} for x in (got, want))
+    assert sorted(a) == list(range(50)) and all(np.allclose(a[i], b[i], atol=1e-5) for i in a)
+
+
+def test_a_chunk_holds_its_own_terms_alone():
+    """Documents are read once however many terms there are: chunks cover each cell once, and their own terms' vectors fit the memory."""
+    rng = np.random.default_rng(6)
+    cells = [np.unique(rng.integers(0, 5000, 40)).astype(np.int32) for _ in range(300)]
+    cuts = np.concatenate([[0], np.cumsum([len(c) for c in cells])]).astype(np.int32)
+    lists = [pa.ListArray.from_arrays(pa.array(cuts), pa.array(v)) for v in (np.concatenate(cells), np.arange(cuts[-1], dtype=np.float32))]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(300)), *lists], ["doc", "at", "w"])
+    got = list(embed._chunks(iter([batch.slice(0, 130), batch.slice(130)]), 5000, 10, 200, 60_000))
+    assert len(got) > 1 and all(len(own) * 10 * 12 <= 60_000 for _, _, own, _, _ in got)
+    assert [d for docs, *_ in got for h in docs for d in h.to_pylist()] == list(range(300))
+    assert np.array_equal(np.concatenate([own[at] for _, _, own, at, _ in got]), np.concatenate(cells))
+    assert np.array_equal(np.concatenate([w for *_, w in got]), np.arange(cuts[-1]))
+    assert sum(len(ends) - 1 for _, ends, *_ in got) == 300
