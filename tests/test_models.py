@@ -6,7 +6,7 @@ import random
 import numpy as np
 import pytest
 
-from corpusloom.operators import centrality, graph, mixed, topics
+from corpusloom.operators import centrality, draws, graph, mixed, topics
 
 
 def test_seeded_topics_are_recovered(spark):
@@ -49,6 +49,24 @@ def test_seeded_topics_at_any_partitioning(spark):
     assert [r[:3] for r in found[0]] == sorted(rows)
 
 
+@pytest.mark.parametrize("shape", [0.1, 0.5, 1.0, 3.7, 250.0])
+def test_draws_of_many_keys_at_once(shape):
+    """Gamma numbers of the right moments that depend on key, column and salts alone, not on what else is drawn."""
+    h = np.arange(60_000) * 7919 - 12345
+    k = draws.keys(h[:, None], np.arange(2), 3, 1)
+    g = draws.gamma(np.full(k.shape, shape), k)
+    for power in (1, 2, 3):
+        want = math.prod(shape + i for i in range(power))
+        sd = math.sqrt(math.prod(shape + i for i in range(2 * power)) - want**2)
+        assert abs((g**power).mean() - want) < 5 * sd / math.sqrt(g.size)
+    assert abs(np.corrcoef(g.T)[0, 1]) < 0.02
+    some = draws.keys(h[100:140, None], np.arange(2), 3, 1)
+    assert np.array_equal(draws.gamma(np.full(some.shape, shape), some), g[100:140])
+    assert not np.isin(draws.keys(h[:, None], np.arange(2), 3, 2), k).any()
+    x = draws.normal(k)
+    assert abs(x.mean()) < 0.02 and abs(x.var() - 1) < 0.03
+
+
 def _plain_likelihood(rows, effects, log_sd):
     """The marginal log likelihood by a fine sum over each group's intercept."""
     u = np.linspace(-12, 12, 4001)
